@@ -6,9 +6,9 @@ sum below the overlap that the threshold asks for is pruned. One tree over all p
 sharded: sets above the threshold share one of their smallest hashes (prefix), each of which names a shard. Surviving
 pairs are verified on the whole sets.
 
-No pairs are listed within groups of copies: equal sets are one point, and two rounds compare each point of a shard with
-one other point only, verify and merge components. The last round compares whatever is still in different components,
-which makes the result complete. Shards above HOT points are dealt into cells of bounded size in that round.
+No pairs are listed within groups of copies: equal sets are one point, and the first round compares each point of a shard
+with its first and last point only, verifies and merges components. The second round compares whatever is still in
+different components, which makes the result complete. Shards above HOT points are dealt into cells of bounded size then.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing (component_id is the own doc_id).
 Rows that repeat a doc_id are separate texts that report the same doc_id. An empty table gives no rows. Other columns of the
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenrel.llm import textvec
-from screenrel.llm.shared import written
+from screenrel.llm.shared import release, written
 
 GROUPS = 64
 HOT = 4096
@@ -77,21 +77,41 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) ->
             )
 
 
+ENTRIES = "key bigint, point bigint, n bigint, head bigint, head_n bigint, tail bigint, tail_n bigint, shard_size bigint, rank bigint"
+
+
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that hold all points of some shards: those of shards with two points or more, with the shard's size and the point's rank in it."""
+    """Of rows (key, point, n) that hold all points of some shards: those of shards with two points or more, with the shard's first and last point, its size, and the point's rank in it."""
     tables = list(batches)
     if not tables:
         return
     whole = pa.Table.from_batches(tables)
-    key, point = (whole.column(i).to_numpy() for i in (0, 1))
+    key, point, n = (whole.column(i).to_numpy() for i in range(3))
     order = np.lexsort((point, key))
-    key, point = key[order], point[order]
+    key, point, n = key[order], point[order], n[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([start, [len(key)]]))
     rank = np.arange(len(key)) - np.repeat(start, size)
-    size = np.repeat(size, size)
-    keep = size > 1
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in (key, point, size, rank)], ["key", "point", "shard_size", "rank"])
+    head, tail = np.repeat(start, size), np.repeat(start + size - 1, size)
+    keep = np.repeat(size, size) > 1
+    columns = (key, point, n, point[head], n[head], point[tail], n[tail], np.repeat(size, size), rank)
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in columns], [c.split()[0] for c in ENTRIES.split(", ")])
+
+
+def live_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, label, ...) that hold whole shards: those of shards with points of different components."""
+    tables = list(batches)
+    if not tables:
+        return
+    whole = pa.Table.from_batches(tables)
+    key, label = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+    order = np.lexsort((label, key))
+    key, label = key[order], label[order]
+    fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    start = np.flatnonzero(fresh)
+    stop = np.concatenate([start[1:], [len(key)]])
+    keep = np.repeat(label[start] != label[stop - 1], stop - start) if len(key) else fresh
+    yield from whole.take(pa.array(order[keep])).to_batches(max_chunksize=1 << 16)
 
 
 def as_points(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
@@ -148,8 +168,17 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int, mode: str) -> Iterator[pa.RecordBatch]:
-    """Candidates of whole shards (or cells of hot shards). mode first, last: each point with the shard's first or last point; all: all that the tree leaves. Points of one component are never paired."""
+def within_bounds(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, a's size, b's size, a's counts, b's counts) the pairs that the bound allows."""
+    for batch in batches:
+        sizes = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)])
+        vectors = np.concatenate([as_points(batch.column(i), batch.column(i - 2).to_numpy()) for i in (4, 5)])
+        first = np.arange(batch.num_rows)
+        yield batch.select([0, 1]).filter(pa.array(bounded(vectors, sizes, first, first + batch.num_rows, percent)))
+
+
+def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """All pairs that the trees of whole shards (or cells of hot shards) leave. Points of one component are never paired."""
     tables = list(batches)
     if not tables:
         return
@@ -157,33 +186,24 @@ def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int, mode: str) -> I
     key, cell, point, size, label, half = (whole.column(c).to_numpy() for c in ("key", "cell", "point", "n", "label", "half"))
     order = np.lexsort((point, cell, key))
     key, cell, point, size, label, half = (x[order] for x in (key, cell, point, size, label, half))
-    counts = whole.column("counts").combine_chunks()
-    vectors8 = counts.take(pa.array(order))
+    counts = whole.column("counts").combine_chunks().take(pa.array(order))
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]) if len(key) else np.zeros(0, bool)
     start = np.flatnonzero(fresh)
     stop = np.concatenate([start[1:], [len(key)]])
-    lowest, highest = (f.reduceat(label, start) if len(start) else label for f in (np.minimum, np.maximum))
-    live = np.flatnonzero(lowest != highest)
-    step = 2000 if mode == "all" else 20000
-    for i in range(0, len(live), step):
-        blocks = live[i : i + step]
-        length = stop[blocks] - start[blocks]
-        rows = np.repeat(start[blocks] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        vec, n, ids, tags, side = as_points(vectors8.take(pa.array(rows)), size[rows]), size[rows], point[rows], label[rows], half[rows]
+    for i in range(0, len(start), 2000):
+        rows = np.arange(start[i], stop[min(i + 2000, len(start)) - 1])
+        length = stop[i : i + 2000] - start[i : i + 2000]
+        vec, n, ids, tags, side = as_points(counts.slice(rows[0], len(rows)), size[rows]), size[rows], point[rows], label[rows], half[rows]
         base = np.concatenate([[0], np.cumsum(length)])
-        if mode != "all":
-            other = np.repeat(base[:-1] if mode == "first" else base[1:] - 1, length)
-            a, b = np.arange(len(rows)), other
-        else:
-            pairs = []
-            for m in np.unique(length[length <= FANOUT]):
-                x, y = np.triu_indices(m, 1)
-                at = base[:-1][length == m]
-                pairs.append(((at[:, None] + x).ravel(), (at[:, None] + y).ravel()))
-            for k in np.flatnonzero(length > FANOUT):
-                x, y = tree_pairs(vec[base[k] : base[k + 1]], n[base[k] : base[k + 1]], percent)
-                pairs.append((x + base[k], y + base[k]))
-            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        pairs = [(np.zeros(0, np.int64),) * 2]
+        for m in np.unique(length[length <= FANOUT]):
+            x, y = np.triu_indices(m, 1)
+            at = base[:-1][length == m]
+            pairs.append(((at[:, None] + x).ravel(), (at[:, None] + y).ravel()))
+        for k in np.flatnonzero(length > FANOUT):
+            x, y = tree_pairs(vec[base[k] : base[k + 1]], n[base[k] : base[k + 1]], percent)
+            pairs.append((x + base[k], y + base[k]))
+        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
         keep = (tags[a] != tags[b]) & ((side[a] != side[b]) | (side[a] == 2))
         a, b = a[keep], b[keep]
         keep = bounded(vec, n, a, b, percent)
@@ -231,35 +251,51 @@ def own_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield batch.filter(pa.array(keep))
 
 
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of some pairs of points whose whole shingle sets link; only the texts of these pairs are fetched."""
+    wanted = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct()
+    texts = docs.join(points.join(wanted, "point", "left_semi").select("point", "doc_id"), "doc_id").select("point", "text")
+    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string").dropDuplicates(["point"]), "texts")
+    both = pairs.join(texts.select(F.col("point").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("point").alias("b"), F.col("text").alias("right")), "b")
+    links = written(both.select("a", "b", "left", "right").mapInArrow(partial(verify, width=width, percent=percent), PAIRS), "links")
+    release(docs.sparkSession)
+    return links
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of similarity >= percent/100) for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = written(docs.mapInArrow(partial(make_points, width=width, percent=percent), POINTS), "points")
     classes = points.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("first"))
-    firsts = points.join(classes.select("sig1", F.col("first").alias("doc_id")), ["sig1", "doc_id"], "left_semi")
-    entries = firsts.select(F.explode("prefix").alias("key"), F.col("sig1").alias("point")).repartition(parts, "key")
-    entries = written(entries.mapInArrow(shared_keys, "key bigint, point bigint, shard_size bigint, rank bigint"), "entries")
-    labels = written(entries.select("point").distinct().select("point", F.col("point").alias("label")), "labels")
-    suspects = points.select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts").join(labels.select("point"), "point", "left_semi")
-    suspects = suspects.join(classes.select(F.col("sig1").alias("point"), F.col("first").alias("doc_id")), ["point", "doc_id"], "left_semi").dropDuplicates(["point"])
-    suspects = written(suspects, "suspects")
-    texts = docs.join(suspects.select("point", "doc_id"), "doc_id").select("point", "text")
-    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string").dropDuplicates(["point"]), "texts")
-    for mode in ("first", "last", "all"):
-        rows = entries.join(suspects, "point").join(labels, "point")
-        if mode == "all":
-            # a shard of more than HOT points is dealt into cells of two chunks each; half tells the chunks apart, 2 is a cell of one chunk
-            rows = rows.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr(f"sequence(0L, (shard_size - 1) div {HOT})")))
-            cell = F.least("chunk", "other") * 1000003 + F.greatest("chunk", "other")
-            half = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
-        else:
-            cell, half = F.lit(0), F.lit(2)
-        rows = rows.select("key", cell.cast("bigint").alias("cell"), "point", "n", "label", half.cast("bigint").alias("half"), "counts")
-        pairs = written(rows.repartition(parts, "key", "cell").mapInArrow(partial(shard_pairs, percent=percent, mode=mode), PAIRS).distinct(), "pairs")
-        both = pairs.join(texts.select(F.col("point").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("point").alias("b"), F.col("text").alias("right")), "b")
-        links = written(both.select("a", "b", "left", "right").mapInArrow(partial(verify, width=width, percent=percent), PAIRS), "links")
-        labels = components(links, labels)
+    firsts = points.join(classes.select("sig1", F.col("first").alias("doc_id")), ["sig1", "doc_id"], "left_semi").select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts", "prefix")
+    entries = firsts.select(F.explode("prefix").alias("key"), "point", "n").repartition(parts, "key")
+    entries = written(entries.mapInArrow(shared_keys, ENTRIES), "entries")
+    release(spark)
+    suspects = points.select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts").join(classes.select(F.col("sig1").alias("point"), F.col("first").alias("doc_id")), ["point", "doc_id"], "left_semi")
+    suspects = written(suspects.join(entries.select("point").distinct(), "point", "left_semi").dropDuplicates(["point"]), "suspects")
+    labels = suspects.select("point", F.col("point").alias("label"))
+
+    stars = entries.select("point", "n", F.explode(F.array(F.struct(F.col("head").alias("other"), F.col("head_n").alias("size")), F.struct(F.col("tail").alias("other"), F.col("tail_n").alias("size")))).alias("o"))
+    stars = stars.where(f"point <> o.other and 100 * least(n, o.size) >= {percent} * greatest(n, o.size)").select(F.least("point", "o.other").alias("a"), F.greatest("point", "o.other").alias("b")).distinct()
+    sides = [suspects.select(F.col("point").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")) for x in ("a", "b")]
+    stars = stars.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+    stars = written(stars.mapInArrow(partial(within_bounds, percent=percent), PAIRS), "pairs")
+    labels = components(verified(stars, suspects, docs, width, percent), labels)
+
+    live = entries.join(labels, "point").select("key", "label", "point", "shard_size", "rank").repartition(parts, "key")
+    live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, shard_size bigint, rank bigint"), "live")
+    release(spark)
+    # a shard of more than HOT points is dealt into cells of two chunks each; half tells the chunks apart, 2 is a cell of one chunk
+    rows = live.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr(f"sequence(0L, (shard_size - 1) div {HOT})"))).join(suspects.drop("doc_id"), "point")
+    cell = F.least("chunk", "other") * 1000003 + F.greatest("chunk", "other")
+    half = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("key", cell.alias("cell"), "point", "n", "label", half.cast("bigint").alias("half"), "counts")
+    pairs = written(rows.repartition(parts, "key", "cell").mapInArrow(partial(shard_pairs, percent=percent), PAIRS).distinct(), "pairs")
+    release(spark)
+    labels = components(verified(pairs, suspects, docs, width, percent), labels)
+
     least = labels.join(classes.select(F.col("sig1").alias("point"), "first"), "point").groupBy("label").agg(F.min("first").alias("least"))
     merged = labels.join(least, "label").select(F.col("point").alias("sig1"), "least")
     found = classes.join(merged, "sig1", "left").select("sig1", "sig2", F.coalesce("least", "first").alias("component_id"))
