@@ -32,6 +32,7 @@ GROUPS = 64
 HOT = 4096
 FANOUT = 16
 SATURATED = 255
+MAX_BITS = 1 << 25
 _U = np.uint64
 
 POINTS = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, counts binary, prefix array<bigint>"
@@ -251,11 +252,21 @@ def own_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield batch.filter(pa.array(keep))
 
 
+def probable(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is, or by a hash collision may be, among ids. Only a bitmap is broadcast: MAX_BITS / 64 rows at most; a full one lets more rows through, no fewer."""
+    bits = min(MAX_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask"))
+    marked = docs.withColumn("slot", slot).join(F.broadcast(words), F.expr("slot div 64 = word"))
+    return marked.where("mask & shiftleft(1L, cast(slot % 64 as int)) <> 0").select(*docs.columns)
+
+
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of some pairs of points whose whole shingle sets link; only the texts of these pairs are fetched."""
     wanted = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct()
-    texts = docs.join(points.join(wanted, "point", "left_semi").select("point", "doc_id"), "doc_id").select("point", "text")
-    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string").dropDuplicates(["point"]), "texts")
+    wanted = written(points.join(wanted, "point", "left_semi").select("point", "doc_id"), "wanted")
+    texts = probable(docs, wanted).join(wanted, "doc_id").select("point", "text")
+    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string"), "texts")
     both = pairs.join(texts.select(F.col("point").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("point").alias("b"), F.col("text").alias("right")), "b")
     links = written(both.select("a", "b", "left", "right").mapInArrow(partial(verify, width=width, percent=percent), PAIRS), "links")
     release(docs.sparkSession)
