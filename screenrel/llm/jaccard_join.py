@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a count-vector R-tree over the documents' shingle sets.
 
-Method. Each distinct shingle set is a point: its hashes are dealt into GROUPS groups and the group counts are the
-coordinates. The overlap of two sets is at most the sum of the coordinate minima, so a tree node whose box bounds that
+Method. Each distinct shingle set is a point: its hashes are dealt into groups and the group counts are the coordinates.
+Trees have GROUPS coordinates; a point has more of its own, about one for four shingles, which fold into fewer by addition
+and bound pairs of long documents. The overlap of two sets is at most the sum of the coordinate minima, so a tree node whose box bounds that
 sum below the overlap that the threshold asks for is pruned. One tree over all points would not scale, so the tree is
 sharded: sets above the threshold share one of their smallest hashes (prefix), each of which names a shard. Surviving
 pairs are verified on the whole sets.
@@ -49,6 +50,11 @@ def pair_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def group_counts(sizes: np.ndarray) -> np.ndarray:
+    """Coordinates of a point of this size: a power of two, GROUPS at least."""
+    return 1 << np.ceil(np.log2(np.clip(sizes / 4, GROUPS, 1 << 14))).astype(np.int64)
+
+
 def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -57,8 +63,10 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) ->
             n = np.array([len(s) for s in sets], np.int64)
             owner = np.repeat(np.arange(len(sets)), n)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, _U)
-            counts = np.bincount(owner * GROUPS + (flat >> _U(20)).astype(np.int64) % GROUPS, minlength=len(sets) * GROUPS)
-            counts = np.minimum(counts, SATURATED).astype(np.uint8)
+            groups = group_counts(n)
+            at = np.concatenate([[0], np.cumsum(groups)])
+            place = at[:-1][owner] + ((flat >> _U(20)).astype(np.int64) & (groups[owner] - 1))
+            counts = np.minimum(np.bincount(place, minlength=at[-1]), SATURATED).astype(np.uint8).tobytes()
             ends = np.concatenate([[0], np.cumsum(n)])
             sums = [np.concatenate([np.zeros(1, _U), np.cumsum(textvec.mix(flat ^ _U(salt)), dtype=_U)]) for salt in (0x51, 0xA7)]
             sig1, sig2 = ((s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
@@ -71,7 +79,7 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) ->
                     pa.array(n),
                     pa.array(sig1),
                     pa.array(sig2),
-                    pa.array([counts[i : i + GROUPS].tobytes() for i in range(0, len(counts), GROUPS)], pa.binary()),
+                    pa.array([counts[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat[picked].view(np.int64))),
                 ],
                 ["doc_id", "n_shingles", "sig1", "sig2", "counts", "prefix"],
@@ -115,23 +123,43 @@ def live_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole.take(pa.array(order[keep])).to_batches(max_chunksize=1 << 16)
 
 
-def as_points(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
-    """Count vectors; a saturated coordinate counts as the whole set, so bounds stay upper bounds."""
-    raw, offsets = textvec.buffers(column)
-    if not len(sizes):
-        return np.zeros((0, GROUPS), np.int64)
-    vectors = raw[offsets[0] : offsets[-1]].reshape(-1, GROUPS).astype(np.int64)
-    return np.where(vectors == SATURATED, sizes[:, None], vectors)
-
-
-def bounded(vectors: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the summed coordinate minima, and the sizes, allow a link."""
-    out = np.zeros(len(a), bool)
-    for i in range(0, len(a), 8192):
-        x, y = a[i : i + 8192], b[i : i + 8192]
-        need = pair_needed(sizes[x], sizes[y], percent)
-        out[i : i + 8192] = (np.minimum(sizes[x], sizes[y]) >= need) & (np.minimum(vectors[x], vectors[y]).sum(1) >= need)
-    return out
+class Points:
+    """Count vectors of some points; a saturated coordinate counts as the whole set, so bounds stay upper bounds."""
+
+    def __init__(self, column: pa.Array, sizes: np.ndarray):
+        self.raw, self.offsets = textvec.buffers(column)
+        self.sizes = sizes
+
+    def coarse(self) -> np.ndarray:
+        """All vectors folded to GROUPS coordinates."""
+        out, lengths = np.zeros((len(self.sizes), GROUPS), np.int64), np.diff(self.offsets)
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
+            for i in range(0, len(rows), max(1, (1 << 20) // int(length))):
+                some = rows[i : i + max(1, (1 << 20) // int(length))]
+                values = self.raw[self.offsets[some][:, None] + np.arange(length)].astype(np.int64)
+                out[some] = np.where(values == SATURATED, self.sizes[some][:, None], values).reshape(len(some), -1, GROUPS).sum(1)
+        return out
+
+    def own(self, k: int) -> np.ndarray:
+        values = self.raw[self.offsets[k] : self.offsets[k + 1]].astype(np.int64)
+        return np.where(values == SATURATED, self.sizes[k], values)
+
+    def allowed(self, coarse: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sizes and the summed coordinate minima, first of folded and then of whole vectors, allow a link."""
+        out = np.zeros(len(a), bool)
+        for i in range(0, len(a), 8192):
+            x, y = a[i : i + 8192], b[i : i + 8192]
+            need = pair_needed(self.sizes[x], self.sizes[y], percent)
+            out[i : i + 8192] = (np.minimum(self.sizes[x], self.sizes[y]) >= need) & (np.minimum(coarse[x], coarse[y]).sum(1) >= need)
+        for k in np.flatnonzero(out):
+            x, y = self.own(a[k]), self.own(b[k])
+            if len(x) + len(y) > 2 * GROUPS:
+                if len(x) > len(y):
+                    x, y = y, x
+                y = y.reshape(-1, len(x)).sum(0)
+                out[k] = np.minimum(x, y).sum() >= pair_needed(self.sizes[a[k]], self.sizes[b[k]], percent)
+        return out
 
 
 def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +201,9 @@ def within_bounds(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
     """Of rows (a, b, a's size, b's size, a's counts, b's counts) the pairs that the bound allows."""
     for batch in batches:
         sizes = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)])
-        vectors = np.concatenate([as_points(batch.column(i), batch.column(i - 2).to_numpy()) for i in (4, 5)])
+        points = Points(pa.concat_arrays([batch.column(4), batch.column(5)]), sizes)
         first = np.arange(batch.num_rows)
-        yield batch.select([0, 1]).filter(pa.array(bounded(vectors, sizes, first, first + batch.num_rows, percent)))
+        yield batch.select([0, 1]).filter(pa.array(points.allowed(points.coarse(), first, first + batch.num_rows, percent)))
 
 
 def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -194,7 +222,9 @@ def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     for i in range(0, len(start), 2000):
         rows = np.arange(start[i], stop[min(i + 2000, len(start)) - 1])
         length = stop[i : i + 2000] - start[i : i + 2000]
-        vec, n, ids, tags, side = as_points(counts.slice(rows[0], len(rows)), size[rows]), size[rows], point[rows], label[rows], half[rows]
+        n, ids, tags, side = size[rows], point[rows], label[rows], half[rows]
+        points = Points(counts.slice(rows[0], len(rows)), n)
+        vec = points.coarse()
         base = np.concatenate([[0], np.cumsum(length)])
         pairs = [(np.zeros(0, np.int64),) * 2]
         for m in np.unique(length[length <= FANOUT]):
@@ -207,7 +237,7 @@ def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
         keep = (tags[a] != tags[b]) & ((side[a] != side[b]) | (side[a] == 2))
         a, b = a[keep], b[keep]
-        keep = bounded(vec, n, a, b, percent)
+        keep = points.allowed(vec, a, b, percent)
         x, y = ids[a[keep]], ids[b[keep]]
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
