@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a count-vector R-tree over the documents' shingle sets.
 
 Method. Each distinct shingle set is a point: its hashes are dealt into groups and the group counts are the coordinates.
-Trees have GROUPS coordinates; a point has more of its own, about one for four shingles, which fold into fewer by addition
+Trees have GROUPS coordinates; a point has more of its own, at least one for each shingle, which fold into fewer by addition
 and bound pairs of long documents. The overlap of two sets is at most the sum of the coordinate minima, so a tree node whose box bounds that
 sum below the overlap that the threshold asks for is pruned. One tree over all points would not scale, so the tree is
 sharded: sets above the threshold share one of their smallest hashes (prefix), each of which names a shard. Surviving
@@ -52,7 +52,7 @@ def pair_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 def group_counts(sizes: np.ndarray) -> np.ndarray:
     """Coordinates of a point of this size: a power of two, GROUPS at least."""
-    return 1 << np.ceil(np.log2(np.clip(sizes / 4, GROUPS, 1 << 14))).astype(np.int64)
+    return 1 << np.ceil(np.log2(np.clip(sizes, GROUPS, 1 << 16))).astype(np.int64)
 
 
 def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
