@@ -12,9 +12,10 @@ Every block has BLOCK ids (the last may have fewer), starts with fresh models an
 
 Coder. Two hashed tables hold the id last seen after the two ids before (order 2) and after the id before (order 1), with
 hit counts. Whether the order-2, else the order-1 prediction is right is a binary decision whose probability mixes, in
-the logistic domain with learnt weights, the rates of the order-2 count, of the order-1 count and of all hits so far
-(order 0). If both fail, the id itself is coded by an order-0 adaptive binary tree over its 16 bits. All arithmetic is on
-integers, so files decode alike everywhere. The blocks of a frame are independent and coded in step, one vector lane each.
+the logistic domain with learnt weights, the rates of both counts and of all hits so far; it is coded only where there is a
+prediction, and order 1 only where it differs from order 2. If none holds, the id is coded by order 0 as four symbols of four
+bits, each by adaptive bounds that depend on the symbols before it. All arithmetic is on integers, so files decode alike
+everywhere. The blocks of a frame are independent and coded in step, one vector lane each.
 
 Defined cases: a null text is empty and has only the end id; rows that repeat a doc_id are ordered by the hash of their
 text; rows without doc_id come first; other columns are ignored; ids must be below 65,536. Empty tables give no frames.
@@ -37,146 +38,167 @@ from screenrel.llm import textvec
 from screenrel.llm.bpe import Known, spread
 from screenrel.llm.shared import written
 
-MAGIC, VERSION = b"TIDS", 1
-BLOCK = 2048
+MAGIC, VERSION = b"TIDS", 2
+BLOCK = 1024
 FRAME = 1 << 22
-TABLE = 12
-LOW_CONTEXTS = 64
+TABLE = 10
+ROWS, ROW_BITS, LEAST = 1 + 16 + 256 + 256, 15, 32
 RATE = 4
 WEIGHT_RATE = 10
+TOP, BOTTOM = 1 << 48, 1 << 32
+_U = np.uint64
 
 
 @cache
 def curves() -> tuple[np.ndarray, np.ndarray]:
     """stretch by probability (12 bits) and squash by stretched value + 2047, as integers from a rule that rounds alike everywhere."""
-    squash = np.array([int(4096 / (1 + 2.718281828459045 ** (-x / 256)) + 0.5) for x in range(-2047, 2048)], np.int64).clip(1, 4095)
+    squash = np.array([int(4096 / (1 + 2.718281828459045 ** (-x / 256)) + 0.5) for x in range(-2047, 2048)], np.int32).clip(1, 4095)
     stretch = np.searchsorted(squash, np.arange(4096)).clip(0, 4094) - 2047
-    return stretch.astype(np.int64), squash
+    return stretch.astype(np.int32), squash
+
+
+@cache
+def targets() -> np.ndarray:
+    """For each symbol of 16, the lower bounds to which a row of bounds moves when the symbol comes."""
+    s, k = np.arange(16)[:, None], np.arange(16)
+    return np.where(k <= s, k * LEAST, (1 << ROW_BITS) - (16 - k) * LEAST).astype(np.int16)
 
 
 class Lanes:
-    """Coder and models of all blocks of a frame. Encoding and decoding run the same steps; only code() knows which it is."""
+    """Coder and models of all blocks of a frame. Encoding and decoding run the same steps.
+
+    The range coder has 64-bit bounds and moves 16 bits out when the range gets below BOTTOM; where these are not settled by then,
+    the range is cut at the next multiple of BOTTOM, so there is no carry. A state is some lanes with their low, range and value, dense.
+    """
 
     def __init__(self, lanes: int, streams: list[bytes] | None = None):
-        self.low, self.high = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
         self.reading = streams is not None
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
         if self.reading:
-            width = max(map(len, streams)) + 8
-            self.bytes = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in streams), np.uint8).reshape(lanes, width)
-            self.code_value = sum(self.bytes[:, k].astype(np.int64) << (24 - 8 * k) for k in range(4))
-            self.at = np.full(lanes, 4)
+            width = max(map(len, streams)) // 2 + 8
+            self.words = np.frombuffer(b"".join(s.ljust(2 * width, b"\0") for s in streams), "<u2").reshape(lanes, width)
+            self.value, self.at = sum(self.words[:, k].astype(_U) << (48 - 16 * k) for k in range(4)), np.full(lanes, 4)
         else:
-            self.bytes, self.at = np.zeros((lanes, 1024), np.uint8), np.zeros(lanes, np.int64)
-        self.guess = [np.zeros((lanes, 1 << TABLE), np.uint16) for _ in range(2)]
-        self.count = [np.zeros((lanes, 1 << TABLE), np.uint8) for _ in range(2)]
-        self.rates = np.full((lanes, 2 * (16 + 16 + 1)), 2048, np.int32)
-        self.weights = [[np.full(lanes, 1 << 14, np.int64) for _ in range(3)] for _ in range(2)]
-        self.upper = np.full((lanes, 256), 1 << 15, np.uint16)
-        self.lower = np.full((lanes, LOW_CONTEXTS * 256), 1 << 15, np.uint16)
+            self.words, self.at, self.value = np.zeros((lanes, BLOCK), "<u2"), np.zeros(lanes, np.int64), self.low
+        self.seen = np.zeros((2, lanes << TABLE), np.uint32)
+        self.rates = np.full(lanes * 66, 2048, np.int32)
+        self.weights = np.full((2, 3, lanes), 1 << 14, np.int32)
+        self.rows = np.tile((np.arange(16) << (ROW_BITS - 4)).astype(np.int16), (lanes * ROWS, 1))
 
     def load(self, lane: np.ndarray) -> list[np.ndarray]:
-        """The coder's state in some lanes, dense: lane, low, high and, for reading, the value."""
-        return [lane, self.low.take(lane), self.high.take(lane), self.code_value.take(lane) if self.reading else lane]
+        return [lane, self.low.take(lane), self.range.take(lane), self.value.take(lane) if self.reading else lane]
 
     def store(self, state: list[np.ndarray]) -> None:
-        lane, self.low[lane], self.high[lane], value = state[0], state[1], state[2], state[3]
+        lane, self.low[lane], self.range[lane] = state[0], state[1], state[2]
         if self.reading:
-            self.code_value[lane] = value
-
-    def code(self, state: list[np.ndarray], chance: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """One decision a lane, 1 with chance / 65536; returns the bits."""
-        lane, low, high, value = state
-        middle = low + ((high - low) >> 16) * chance
-        if self.reading:
-            bit = value <= middle
-        high = np.where(bit, middle, high)
-        low = np.where(bit, low, middle + 1)
-        while len(ready := np.flatnonzero((low ^ high) < 1 << 24)):
-            width = self.bytes.shape[1]
-            some = lane.take(ready)
-            at = self.at.take(some)
+            self.value[lane] = state[3]
+
+    def settle(self, state: list[np.ndarray]) -> None:
+        """Moves settled bits out of (or new ones into) the state until every range is wide enough."""
+        lane, low, width, value = state
+        while len(ready := (width < BOTTOM).nonzero()[0]):
+            some, lows, wide = lane.take(ready), low.take(ready), width.take(ready)
+            same = (lows ^ (lows + wide)) < TOP
+            at, row = self.at.take(some), self.words.shape[1]
             if self.reading:
-                value[ready] = (value.take(ready) << 8 & 0xFFFFFFFF) | self.bytes.ravel().take(some * width + np.minimum(at, width - 1))
+                value[ready] = value.take(ready) << 16 | self.words.ravel().take(some * row + np.minimum(at, row - 1))
             else:
-                if at.max() >= width:
-                    self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)], 1)
-                    width *= 2
-                self.bytes.ravel()[some * width + at] = high.take(ready) >> 24
+                if at.max() >= row:
+                    self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
+                    row *= 2
+                self.words.ravel()[some * row + at] = lows >> 48
             self.at[some] = at + 1
-            low[ready], high[ready] = low.take(ready) << 8 & 0xFFFFFFFF, (high.take(ready) << 8 & 0xFFFFFFFF) | 0xFF
-        state[1], state[2] = low, high
-        return bit
+            low[ready] = lows << 16
+            width[ready] = np.where(same, wide, (0 - lows) & (BOTTOM - 1)) << 16
 
-    def mixed(self, state: list[np.ndarray], which: int, states: tuple[np.ndarray, np.ndarray], bit: np.ndarray | None) -> np.ndarray:
-        """Whether a prediction holds."""
+    def mixed(self, state: list[np.ndarray], which: int, near: np.ndarray, far: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Whether a prediction holds: rates by its own count, by the other order's and of all, mixed with learnt weights in the logistic domain."""
         stretch, squash = curves()
-        lane, base = state[0], which * 33
-        rows, flat = lane * self.rates.shape[1] + base, self.rates.ravel()
-        places = (rows + states[0], rows + 16 + states[1], rows + 32)
-        rates = [flat.take(p) for p in places]
+        lane = state[0]
+        rows = lane * 66 + 33 * which
+        places = (rows + near, rows + (16 + far), rows + 32)
+        rates = [self.rates.take(p) for p in places]
         inputs = [stretch.take(r) for r in rates]
         weights = [w.take(lane) for w in self.weights[which]]
         dot = (weights[0] * inputs[0] + weights[1] * inputs[1] + weights[2] * inputs[2]) >> 16
-        chance = squash.take(dot.clip(-2047, 2047) + 2047)
-        bit = self.code(state, chance << 4, bit)
-        goal = np.where(bit, 4095, 0)
+        chance = squash.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
+        share = state[2] >> 12
+        cut = share * chance.astype(_U)
+        if self.reading:
+            bit = state[3] - state[1] < cut
+        state[1] = np.where(bit, state[1], state[1] + cut)
+        state[2] = np.where(bit, cut, (share << 12) - cut)
+        self.settle(state)
+        goal = np.where(bit, np.int32(4095), np.int32(0))
         error = goal - chance
         for k in range(3):
-            self.weights[which][k][lane] = weights[k] + (inputs[k] * error >> WEIGHT_RATE)
-            flat[places[k]] = (rates[k] + (goal - rates[k]) // 16).clip(1, 4095)
+            self.weights[which, k][lane] = np.minimum(np.maximum(weights[k] + (inputs[k] * error >> WEIGHT_RATE), -(1 << 17)), 1 << 17)
+            self.rates[places[k]] = np.maximum(rates[k] + ((goal - rates[k]) >> 4), 1)
         return bit
 
-    def tree(self, state: list[np.ndarray], ids: np.ndarray | None) -> np.ndarray:
-        """16 bits of an id, the upper eight first."""
-        value = np.zeros(len(state[0]), np.int64)
-        for table, shift in ((self.upper, 8), (self.lower, 0)):
-            flat = table.ravel()
-            base = state[0] * table.shape[1] + ((value & LOW_CONTEXTS - 1) << 8 if shift == 0 else 0)
-            node = np.ones(len(value), np.int64)
-            for k in range(7, -1, -1):
-                place = base + node
-                chance = flat.take(place).astype(np.int64)
-                bit = self.code(state, chance, None if ids is None else (ids >> (shift + k)) & 1 == 1)
-                flat[place] = chance + (np.where(bit, 65504, 32) - chance >> RATE)
-                node = node * 2 + bit
-            value = value << 8 | (node & 255)
+    def whole(self, state: list[np.ndarray], ids: np.ndarray | None) -> np.ndarray:
+        """An id by order 0: four symbols of four bits, the upper ones first, each by a row of adaptive bounds."""
+        lane = state[0]
+        base, value, first = lane * ROWS, np.zeros(len(lane), np.int64), np.arange(len(lane)) << 4
+        for depth, (offset, mask) in enumerate(((0, 0), (1, 15), (17, 255), (273, 255))):
+            row = base + (value & mask) + offset
+            bounds = self.rows.take(row, axis=0)
+            share = state[2] >> ROW_BITS
+            if self.reading:
+                point = np.minimum((state[3] - state[1]) // share, (1 << ROW_BITS) - 1).astype(np.int16)
+                below = (bounds <= point[:, None]).view(_U)
+                symbol = ((below[:, 0] + below[:, 1]) * 0x0101010101010101 >> 56).astype(np.int64) - 1
+            else:
+                symbol = ids >> (12 - 4 * depth) & 15
+            at = first + symbol
+            start = bounds.ravel().take(at)
+            stop = np.where(symbol == 15, 1 << ROW_BITS, bounds.ravel().take(at + 1, mode="clip"))
+            state[1] = state[1] + share * start.astype(_U)
+            state[2] = share * (stop - start).astype(_U)
+            self.settle(state)
+            self.rows[row] = bounds + ((targets().take(symbol, axis=0) - bounds) >> RATE)
+            value = value << 4 | symbol
         return value
 
-    def step(self, lane: np.ndarray, one: np.ndarray, two: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id in each lane, after ids one and two before it."""
-        base = lane << TABLE
+    def step(self, lanes: int, one: np.ndarray, two: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Codes one id in each of the first lanes, after ids one and two before it. A prediction is coded only where one exists."""
+        base = np.arange(lanes) << TABLE
         slots = (base + ((two * 40503 + one * 30011 >> 3) & (1 << TABLE) - 1), base + (one * 40503 >> 2 & (1 << TABLE) - 1))
-        guess, count = [g.ravel() for g in self.guess], [c.ravel() for c in self.count]
-        guesses = [g.take(s).astype(np.int64) for g, s in zip(guess, slots, strict=True)]
-        counts = [c.take(s) for c, s in zip(count, slots, strict=True)]
-        out = guesses[0].copy()
-        state = self.load(lane)
-        rest = np.flatnonzero(~self.mixed(state, 0, (counts[0], counts[1]), None if ids is None else ids == guesses[0]))
-        self.store(state)
-        if len(rest):
-            state = self.load(lane[rest])
-            second = self.mixed(state, 1, (counts[1][rest], counts[0][rest]), None if ids is None else ids[rest] == guesses[1][rest])
-            self.store(state)
-            out[rest] = guesses[1][rest]
-            rest = rest[~second]
-            if len(rest):
-                state = self.load(lane[rest])
-                out[rest] = self.tree(state, None if ids is None else ids[rest])
+        held = [self.seen[k].take(slots[k]) for k in range(2)]
+        guesses = [(h >> 4).astype(np.int64) - 1 for h in held]
+        counts = [(h & 15).astype(np.int64) for h in held]
+        out = np.full(lanes, -1) if ids is None else ids
+        open_ = np.ones(lanes, bool)
+        for k in range(2):
+            lane = ((guesses[k] >= 0) & open_ & (guesses[0] != guesses[1]) if k else guesses[0] >= 0).nonzero()[0]
+            if len(lane):
+                state, guess = self.load(lane), guesses[k].take(lane)
+                bit = self.mixed(state, k, counts[k].take(lane), counts[1 - k].take(lane), None if ids is None else ids.take(lane) == guess)
                 self.store(state)
+                right = lane[bit]
+                open_[right] = False
+                if ids is None:
+                    out[right] = guess[bit]
+        lane = open_.nonzero()[0]
+        if len(lane):
+            state = self.load(lane)
+            found = self.whole(state, None if ids is None else ids.take(lane))
+            self.store(state)
+            if ids is None:
+                out[lane] = found
         for k in range(2):
-            same = out == guesses[k]
-            guess[k][slots[k]] = out
-            count[k][slots[k]] = np.where(same, np.minimum(counts[k] + 1, 15), 0)
+            grown = np.where(out == guesses[k], np.minimum(counts[k] + 1, 15), 0)
+            self.seen[k][slots[k]] = (out + 1) << 4 | grown
         return out
 
     def streams(self) -> list[bytes]:
+        """The words of all lanes, with the low bounds that are left."""
+        lanes = np.arange(len(self.at))
+        if self.at.max() + 4 > self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros((len(lanes), 4), "<u2")], 1)
         for k in range(4):
-            at = self.at
-            if at.max() + 1 >= self.bytes.shape[1]:
-                self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)], 1)
-            self.bytes[np.arange(len(at)), at] = self.low >> (24 - 8 * k) & 255
-            self.at = at + 1
-        return [row[:n].tobytes() for row, n in zip(self.bytes, self.at.tolist(), strict=True)]
+            self.words[lanes, self.at + k] = self.low >> (48 - 16 * k) & 0xFFFF
+        return [row[: n + 4].tobytes() for row, n in zip(self.words, self.at.tolist(), strict=True)]
 
 
 def coded(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
@@ -186,15 +208,15 @@ def coded(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
     blocks = -(-len(ids) // BLOCK)
     if not blocks:
         return [], []
-    grid = np.zeros((blocks, BLOCK + 2), np.int64)
+    grid = np.zeros((BLOCK + 2, blocks), np.int64)
     body = np.zeros(blocks * BLOCK, np.int64)
     body[: len(ids)] = ids
-    grid[:, 2:] = body.reshape(blocks, BLOCK)
+    grid[2:] = body.reshape(blocks, BLOCK).T
     last = len(ids) - (blocks - 1) * BLOCK
     lanes = Lanes(blocks)
     for k in range(min(BLOCK, len(ids))):
-        lane = np.arange(blocks if k < last else blocks - 1)
-        lanes.step(lane, grid[lane, k + 1], grid[lane, k], grid[lane, k + 2])
+        n = blocks if k < last else blocks - 1
+        lanes.step(n, grid[k + 1, :n], grid[k, :n], grid[k + 2, :n])
     raw = ids.astype("<u4").tobytes()
     return lanes.streams(), [zlib.crc32(raw[4 * k : 4 * (k + BLOCK)]) for k in range(0, len(ids), BLOCK)]
 
@@ -203,13 +225,13 @@ def decoded(streams: list[bytes], checks: list[int], n: int) -> np.ndarray:
     blocks = len(streams)
     if not blocks:
         return np.zeros(0, np.uint32)
-    grid = np.zeros((blocks, BLOCK + 2), np.int64)
+    grid = np.zeros((BLOCK + 2, blocks), np.int64)
     last = n - (blocks - 1) * BLOCK
     lanes = Lanes(blocks, streams)
     for k in range(min(BLOCK, n)):
-        lane = np.arange(blocks if k < last else blocks - 1)
-        grid[lane, k + 2] = lanes.step(lane, grid[lane, k + 1], grid[lane, k], None)
-    ids = grid[:, 2:].reshape(-1)[:n].astype("<u4")
+        m = blocks if k < last else blocks - 1
+        grid[k + 2, :m] = lanes.step(m, grid[k + 1, :m], grid[k, :m], None)
+    ids = grid[2:].T.reshape(-1)[:n].astype("<u4")
     raw = ids.tobytes()
     for k, check in enumerate(checks):
         if zlib.crc32(raw[4 * k * BLOCK : 4 * (k + 1) * BLOCK]) != check:
