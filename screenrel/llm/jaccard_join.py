@@ -1,11 +1,13 @@
 """N-gram Jaccard join: a count-vector R-tree over the documents' shingle sets.
 
-Method. Each distinct shingle set is a point: its hashes are dealt into groups and the group counts are the coordinates.
-Trees have GROUPS coordinates; a point has more of its own, at least one for each shingle, which fold into fewer by addition
-and bound pairs of long documents. The overlap of two sets is at most the sum of the coordinate minima, so a tree node whose box bounds that
-sum below the overlap that the threshold asks for is pruned. One tree over all points would not scale, so the tree is
-sharded: sets above the threshold share one of their smallest hashes (prefix), each of which names a shard. Surviving
-pairs are verified on the whole sets.
+Method. Each distinct shingle set is a point: its hashes are dealt into 65,536 groups and the group counts are the
+coordinates, kept sparse. Trees have GROUPS coordinates, to which the others fold by addition. The overlap of two sets is at
+most the sum of the coordinate minima, so a tree node whose box bounds that sum below the overlap that the threshold asks for
+is pruned, and so is a pair by its whole coordinates. One tree over all points would not scale, so the tree is
+sharded: under any fixed order of hashes, sets above the threshold share one of their first hashes (prefix), each of which
+names a shard. The order puts frequent hashes last, so that passages which many texts hold name few shards. What is found
+frequent (FREQUENT hashes at most, of counts over all texts) changes the work and never the links. Surviving pairs are
+verified on the whole sets.
 
 No pairs are listed within groups of copies: equal sets are one point, and the first round compares each point of a shard
 with its first and last point only, verifies and merges components. The second round compares whatever is still in
@@ -23,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,9 @@ from screenrel.llm.shared import release, written
 GROUPS = 64
 HOT = 4096
 FANOUT = 16
-SATURATED = 255
+FREQUENT = 1 << 16
+RUN = 1 << 20
+FEW = 4
 MAX_BITS = 1 << 25
 _U = np.uint64
 
@@ -50,12 +55,37 @@ def pair_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def group_counts(sizes: np.ndarray) -> np.ndarray:
-    """Coordinates of a point of this size: a power of two, GROUPS at least."""
-    return 1 << np.ceil(np.log2(np.clip(sizes, GROUPS, 1 << 16))).astype(np.int64)
+def frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of texts, the hashes that FEW texts or more of about RUN shingles share, with the number of these texts."""
+    sets, held = [], 0
 
+    def counted():
+        keys, n = np.unique(np.concatenate(sets), return_counts=True)
+        keep = n >= FEW
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], ["key", "n"])
 
-def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk in textvec.chunks(batch.column(0)):
+            found = textvec.shingle_sets(chunk, width)
+            sets += found
+            held += sum(map(len, found))
+            if held >= RUN:
+                yield counted()
+                sets, held = [], 0
+    if sets:
+        yield counted()
+
+
+def last_in_order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent hashes, sorted, and the place of each in the order after all others (from 1, the rarer first)."""
+    counts = docs.select("text").mapInArrow(partial(frequent, width=width), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    keys = np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.int64).view(_U)
+    order = np.argsort(keys)
+    return keys[order], (len(keys) - np.arange(len(keys)))[order]
+
+
+def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int, last: Broadcast) -> Iterator[pa.RecordBatch]:
+    known, places = last.value
     for batch in batches:
         ids = batch.column(0)
         for chunk in textvec.chunks(batch.column(1)):
@@ -63,13 +93,13 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) ->
             n = np.array([len(s) for s in sets], np.int64)
             owner = np.repeat(np.arange(len(sets)), n)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, _U)
-            groups = group_counts(n)
-            at = np.concatenate([[0], np.cumsum(groups)])
-            place = at[:-1][owner] + ((flat >> _U(20)).astype(np.int64) & (groups[owner] - 1))
-            counts = np.minimum(np.bincount(place, minlength=at[-1]), SATURATED).astype(np.uint8).tobytes()
             ends = np.concatenate([[0], np.cumsum(n)])
+            coordinates = np.sort((owner << 16).astype(_U) | (flat >> _U(20) & _U(0xFFFF))).astype("<u2").tobytes()
             sums = [np.concatenate([np.zeros(1, _U), np.cumsum(textvec.mix(flat ^ _U(salt)), dtype=_U)]) for salt in (0x51, 0xA7)]
             sig1, sig2 = ((s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                flat = flat[np.argsort(owner * (2 * FREQUENT) + np.where(known[at] == flat, places[at], 0), kind="stable")]
             take = np.where(n > 0, n - needed(n, percent) + 1, 0)
             starts = np.concatenate([[0], np.cumsum(take)])
             picked = np.repeat(ends[:-1] - starts[:-1], take) + np.arange(starts[-1])
@@ -79,7 +109,7 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int) ->
                     pa.array(n),
                     pa.array(sig1),
                     pa.array(sig2),
-                    pa.array([counts[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
+                    pa.array([coordinates[2 * i : 2 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat[picked].view(np.int64))),
                 ],
                 ["doc_id", "n_shingles", "sig1", "sig2", "counts", "prefix"],
@@ -124,26 +154,22 @@ def live_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Points:
-    """Count vectors of some points; a saturated coordinate counts as the whole set, so bounds stay upper bounds."""
+    """Count vectors of some points, each the sorted coordinates of its shingles."""
 
     def __init__(self, column: pa.Array, sizes: np.ndarray):
-        self.raw, self.offsets = textvec.buffers(column)
+        raw, offsets = textvec.buffers(column)
+        self.flat, self.at = np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), "<u2"), (offsets - offsets[0]) // 2
         self.sizes = sizes
 
     def coarse(self) -> np.ndarray:
         """All vectors folded to GROUPS coordinates."""
-        out, lengths = np.zeros((len(self.sizes), GROUPS), np.int64), np.diff(self.offsets)
-        for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            for i in range(0, len(rows), max(1, (1 << 20) // int(length))):
-                some = rows[i : i + max(1, (1 << 20) // int(length))]
-                values = self.raw[self.offsets[some][:, None] + np.arange(length)].astype(np.int64)
-                out[some] = np.where(values == SATURATED, self.sizes[some][:, None], values).reshape(len(some), -1, GROUPS).sum(1)
-        return out
+        owner = np.repeat(np.arange(len(self.sizes)), np.diff(self.at))
+        return np.bincount(owner * GROUPS + self.flat % GROUPS, minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
 
     def own(self, k: int) -> np.ndarray:
-        values = self.raw[self.offsets[k] : self.offsets[k + 1]].astype(np.int64)
-        return np.where(values == SATURATED, self.sizes[k], values)
+        """A vector as distinct codes: each coordinate with 0, 1, ... below its count, so that shared codes are the sum of minima."""
+        values = self.flat[self.at[k] : self.at[k + 1]].astype(np.int64)
+        return values << 32 | np.arange(len(values)) - np.searchsorted(values, values)
 
     def allowed(self, coarse: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Whether the sizes and the summed coordinate minima, first of folded and then of whole vectors, allow a link."""
@@ -152,13 +178,17 @@ class Points:
             x, y = a[i : i + 8192], b[i : i + 8192]
             need = pair_needed(self.sizes[x], self.sizes[y], percent)
             out[i : i + 8192] = (np.minimum(self.sizes[x], self.sizes[y]) >= need) & (np.minimum(coarse[x], coarse[y]).sum(1) >= need)
-        for k in np.flatnonzero(out):
-            x, y = self.own(a[k]), self.own(b[k])
-            if len(x) + len(y) > 2 * GROUPS:
-                if len(x) > len(y):
-                    x, y = y, x
-                y = y.reshape(-1, len(x)).sum(0)
-                out[k] = np.minimum(x, y).sum() >= pair_needed(self.sizes[a[k]], self.sizes[b[k]], percent)
+        codes: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero(out).tolist():
+            x, y = int(a[k]), int(b[k])
+            if len(codes) > 4096:
+                codes.clear()
+            for z in (x, y):
+                if z not in codes:
+                    codes[z] = self.own(z)
+            both = np.concatenate((codes[x], codes[y]))
+            both.sort()
+            out[k] = np.count_nonzero(both[1:] == both[:-1]) >= pair_needed(self.sizes[x], self.sizes[y], percent)
         return out
 
 
@@ -308,7 +338,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = written(docs.mapInArrow(partial(make_points, width=width, percent=percent), POINTS), "points")
+    last = spark.sparkContext.broadcast(last_in_order(docs, width))
+    points = written(docs.mapInArrow(partial(make_points, width=width, percent=percent, last=last), POINTS), "points")
     classes = points.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("first"))
     firsts = points.join(classes.select("sig1", F.col("first").alias("doc_id")), ["sig1", "doc_id"], "left_semi").select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts", "prefix")
     entries = firsts.select(F.explode("prefix").alias("key"), "point", "n").repartition(parts, "key")
