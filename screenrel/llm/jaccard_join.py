@@ -120,7 +120,10 @@ ENTRIES = "key bigint, point bigint, n bigint, head bigint, head_n bigint, tail
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, point, n) that hold all points of some shards: those of shards with two points or more, with the shard's first and last point, its size, and the point's rank in it."""
+    """Of rows (key, point, n) that hold all points of some shards: those of shards with two points or more, with the shard's first and last point, its size, and the point's rank in it.
+
+    Near copies share many shards of the same points, so the key becomes a hash of these: one such shard is enough.
+    """
     tables = list(batches)
     if not tables:
         return
@@ -133,6 +136,8 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank = np.arange(len(key)) - np.repeat(start, size)
     head, tail = np.repeat(start, size), np.repeat(start + size - 1, size)
     keep = np.repeat(size, size) > 1
+    members = np.add.reduceat(textvec.mix(point.view(_U) ^ _U(0x3D)), start) if len(key) else np.zeros(0, _U)
+    key = np.repeat(members.view(np.int64), size)
     columns = (key, point, n, point[head], n[head], point[tail], n[tail], np.repeat(size, size), rank)
     yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in columns], [c.split()[0] for c in ENTRIES.split(", ")])
 
@@ -343,7 +348,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = points.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("first"))
     firsts = points.join(classes.select("sig1", F.col("first").alias("doc_id")), ["sig1", "doc_id"], "left_semi").select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts", "prefix")
     entries = firsts.select(F.explode("prefix").alias("key"), "point", "n").repartition(parts, "key")
-    entries = written(entries.mapInArrow(shared_keys, ENTRIES), "entries")
+    entries = written(entries.mapInArrow(shared_keys, ENTRIES).dropDuplicates(["key", "point"]), "entries")
     release(spark)
     suspects = points.select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts").join(classes.select(F.col("sig1").alias("point"), F.col("first").alias("doc_id")), ["point", "doc_id"], "left_semi")
     suspects = written(suspects.join(entries.select("point").distinct(), "point", "left_semi").dropDuplicates(["point"]), "suspects")
