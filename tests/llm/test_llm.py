@@ -72,7 +72,8 @@ def test_token_store_finds_damage():
         token_store.unpack(bytes(payload))
 
 
-def test_jaccard(docs, texts):
+def brute_components(texts):
+    """doc_id to (set size, smallest linked doc_id), by the definition."""
     sets = {}
     for doc, text in texts.items():
         w = re.findall(rb"[^\x20\x09-\x0D]+", fold(text))
@@ -94,8 +95,30 @@ def test_jaccard(docs, texts):
             if 100 * n >= 80 * (len(sets[doc]) + len(sets[other]) - n):
                 a, b = sorted((find(doc), find(other)))
                 root[b] = a
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def test_jaccard(docs, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
-    assert got == {d: (len(s), find(d)) for d, s in sets.items()}
+    assert got == brute_components(texts)
+
+
+def test_jaccard_of_groups(spark, monkeypatch):
+    """Chains of near copies that all hold one passage, in shards that are dealt into cells, with and without frequent hashes."""
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(60)]
+        for k in range(25):
+            words[(7 * k) % 60] = f"g{g}x{k}"
+            rows.append((100 * g + k, " ".join([*words, *passage])))
+    rows += [(1000 + k, " ".join([*passage, f"q{k}", f"r{k}", f"s{k % 3}"])) for k in range(60)]
+    want = brute_components(dict(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, few in ((4096, 4), (8, 4), (4096, 10**6)):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()} == want
 
 
 def test_fingerprints(docs, texts):
@@ -237,6 +260,51 @@ def test_language(docs):
     assert {(r.lang_pred, r.score) for r in got.where("doc_id in (-1, -2, -3)").collect()} == {("und", 0.0)}
 
 
+def brute_dedup(texts):
+    """doc_id to text without the later repeated runs of lines, by the definition; None where only white space is left."""
+    lines = {d: t.split("\n") if t else [] for d, t in texts.items()}
+    places = defaultdict(list)
+    for doc in sorted(lines):
+        n = [len(re.findall(rb"[^\x20\x09-\x0D]+", x.encode())) for x in lines[doc]]
+        for i in range(len(n)):
+            stop, total = i, 0
+            while stop < len(n) and total < line_dedup.MIN_WORDS:
+                total, stop = total + n[stop], stop + 1
+            if n[i] and total >= line_dedup.MIN_WORDS:
+                places[tuple(lines[doc][i:stop])].append((doc, i))
+    gone = defaultdict(set)
+    for (first, j), *later in places.values():
+        for doc, i in later:
+            a, b = lines[doc], lines[first]
+            low = high = 0
+            while i - low > 0 and j - low > 0 and a[i - low - 1] == b[j - low - 1]:
+                low += 1
+            while i + high < len(a) and j + high < len(b) and a[i + high] == b[j + high]:
+                high += 1
+            gone[doc] |= set(range(i - low, i + high))
+    kept = {d: "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d]) if gone[d] else t for d, t in texts.items()}
+    return {d: None if gone[d] and not t.strip(" \t\r\n") else t for d, t in kept.items()}
+
+
+def test_pipeline_equals_brute_force(spark, sf):
+    import corpus_pipeline
+
+    known = corpus_pipeline.language(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    texts = {r.doc_id: r.text for r in known.select("doc_id", "text").collect()}
+    texts = {d: t for d, t in brute_dedup(texts).items() if t is not None}
+    texts = {d: texts[d] for d, (_, first) in brute_components(texts).items() if d == first}
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9) if w else 0)}
+    sizes = {len(x) for x in windows}
+    texts = {d: t for d, t in texts.items() if not any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))}
+    tok = tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    want = {d: hashlib.sha256(",".join(map(str, tok.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for d, t in texts.items()}
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
