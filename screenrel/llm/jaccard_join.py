@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenrel.llm import textvec
-from screenrel.llm.shared import release, written
+from screenrel.llm.shared import forget, release, written
 
 GROUPS = 64
 HOT = 4096
@@ -332,8 +332,10 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, p
     wanted = written(points.join(wanted, "point", "left_semi").select("point", "doc_id"), "wanted")
     texts = probable(docs, wanted).join(wanted, "doc_id").select("point", "text")
     texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string"), "texts")
+    release(docs.sparkSession)
     both = pairs.join(texts.select(F.col("point").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("point").alias("b"), F.col("text").alias("right")), "b")
     links = written(both.select("a", "b", "left", "right").mapInArrow(partial(verify, width=width, percent=percent), PAIRS), "links")
+    forget(texts)
     release(docs.sparkSession)
     return links
 
@@ -345,13 +347,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = spark.sparkContext.broadcast(last_in_order(docs, width))
     points = written(docs.mapInArrow(partial(make_points, width=width, percent=percent, last=last), POINTS), "points")
-    classes = points.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("first"))
+    sets = written(points.select("doc_id", "n_shingles", "sig1", "sig2"), "sets")
+    classes = sets.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("first"))
     firsts = points.join(classes.select("sig1", F.col("first").alias("doc_id")), ["sig1", "doc_id"], "left_semi").select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts", "prefix")
     entries = firsts.select(F.explode("prefix").alias("key"), "point", "n").repartition(parts, "key")
     entries = written(entries.mapInArrow(shared_keys, ENTRIES).dropDuplicates(["key", "point"]), "entries")
     release(spark)
-    suspects = points.select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts").join(classes.select(F.col("sig1").alias("point"), F.col("first").alias("doc_id")), ["point", "doc_id"], "left_semi")
-    suspects = written(suspects.join(entries.select("point").distinct(), "point", "left_semi").dropDuplicates(["point"]), "suspects")
+    chosen = classes.select(F.col("sig1").alias("point"), F.col("first").alias("doc_id")).join(entries.select("point").distinct(), "point", "left_semi")
+    suspects = points.select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts").join(chosen, ["point", "doc_id"], "left_semi")
+    suspects = written(suspects.dropDuplicates(["point"]), "suspects")
+    forget(points)
+    release(spark)
     labels = suspects.select("point", F.col("point").alias("label"))
 
     stars = entries.select("point", "n", F.explode(F.array(F.struct(F.col("head").alias("other"), F.col("head_n").alias("size")), F.struct(F.col("tail").alias("other"), F.col("tail_n").alias("size")))).alias("o"))
@@ -359,10 +365,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     sides = [suspects.select(F.col("point").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")) for x in ("a", "b")]
     stars = stars.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
     stars = written(stars.mapInArrow(partial(within_bounds, percent=percent), PAIRS), "pairs")
+    release(spark)
     labels = components(verified(stars, suspects, docs, width, percent), labels)
 
     live = entries.join(labels, "point").select("key", "label", "point", "shard_size", "rank").repartition(parts, "key")
     live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, shard_size bigint, rank bigint"), "live")
+    forget(entries)
     release(spark)
     # a shard of more than HOT points is dealt into cells of two chunks each; half tells the chunks apart, 2 is a cell of one chunk
     rows = live.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr(f"sequence(0L, (shard_size - 1) div {HOT})"))).join(suspects.drop("doc_id"), "point")
@@ -376,4 +384,4 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     least = labels.join(classes.select(F.col("sig1").alias("point"), "first"), "point").groupBy("label").agg(F.min("first").alias("least"))
     merged = labels.join(least, "label").select(F.col("point").alias("sig1"), "least")
     found = classes.join(merged, "sig1", "left").select("sig1", "sig2", F.coalesce("least", "first").alias("component_id"))
-    return points.select("doc_id", "n_shingles", "sig1", "sig2").join(found, ["sig1", "sig2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(found, ["sig1", "sig2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -32,3 +32,12 @@ def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of queries whose results are written: it does so when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
