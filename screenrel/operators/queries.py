@@ -325,6 +325,14 @@ def group_headers(d):
     return f"SELECT page_id, gx, header_id, header FROM (SELECT g.page_id, g.gx, t.id AS header_id, t.text AS header, row_number() OVER (PARTITION BY g.page_id, g.gx ORDER BY g.y0 - t.y1, -(least(g.x1, t.x1) - greatest(g.x0, t.x0)), t.ord) AS k FROM ({box}) g JOIN components t ON g.page_id = t.page_id AND t.type = 'text' AND g.y0 - t.y1 BETWEEN 0 AND 120 AND least(g.x1, t.x1) > greatest(g.x0, t.x0)) q WHERE k = 1"
 
 
+@operator("components")
+def inferred_parent(d):
+    """Smallest component around each inferred container that is larger and no member of it."""
+    area = "(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
+    member = "c.type = 'card' AND c.ord < 30 AND c.x0 = i.gx"
+    return f"SELECT page_id, gx, parent FROM (SELECT i.page_id, i.gx, c.id AS parent, row_number() OVER (PARTITION BY i.page_id, i.gx ORDER BY {area.format('c')}, c.ord) AS k FROM ({inferred_containers(d)}) i LEFT JOIN components c ON i.page_id = c.page_id AND {contains('c', 'i')} AND {area.format('c')} > {area.format('i')} AND NOT ({member})) q WHERE k = 1"
+
+
 @operator("components")
 def position_order(d):
     return "SELECT page_id, id, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, ord) AS place FROM components"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,34 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), kind.alias("format"))
 
 
+def image_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height from the header of a PNG or JPEG file; None for anything else and for files that end too early."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    at = 2 if content[:2] == b"\xff\xd8" else len(content)
+    while at + 9 <= len(content) and content[at] == 0xFF:
+        kind, length = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 1 if kind == 0xFF else 2 + length
+    return None
+
+
+def dataset_profile(spark: SparkSession, path: str, side: int = 1280, overlap: float = 0.2) -> DataFrame:
+    """File, size, first 12 digits of the sha256 and number of fixed crops of each image of a folder; files that cannot be read have an error. Only headers leave the JVM."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(path)
+    heads = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.substring(F.sha2("content", 256), 1, 12).alias("sha256"), F.substring("content", 1, 1 << 20).alias("head"))
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [image_size(bytes(h)) for h in rows["head"]]
+            yield pd.DataFrame({"file": rows["file"], "sha256": rows["sha256"], "width": [f and f[0] for f in found], "height": [f and f[1] for f in found]}, dtype=object)
+
+    step = max(1, int(side * (1 - overlap)))
+    sizes = heads.mapInPandas(sized, "file string, sha256 string, width long, height long")
+    return sizes.withColumn("regions", F.expr(f"((width - 1) div {step} + 1) * ((height - 1) div {step} + 1)")).withColumn("error", F.when(F.col("width").isNull(), "not an image"))
+
+
 def scan_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Tokens of recognisers that write JSON arrays of text, bbox and confidence; malformed files are skipped."""
     rows = spark.read.option("mode", "DROPMALFORMED").option("multiLine", "true").schema("text string, bbox array<int>, confidence double").json(path)
