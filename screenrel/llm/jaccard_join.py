@@ -368,7 +368,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     release(spark)
     labels = components(verified(stars, suspects, docs, width, percent), labels)
 
-    live = entries.join(labels, "point").select("key", "label", "point", "shard_size", "rank").repartition(parts, "key")
+    # the stars hold all pairs of a shard of three points
+    live = entries.where("shard_size > 3").join(labels, "point").select("key", "label", "point", "shard_size", "rank").repartition(parts, "key")
     live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, shard_size bigint, rank bigint"), "live")
     forget(entries)
     release(spark)
