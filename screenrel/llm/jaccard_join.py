@@ -158,6 +158,15 @@ def live_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole.take(pa.array(order[keep])).to_batches(max_chunksize=1 << 16)
 
 
+def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive items, from at[k] to at[k + 1] each, in runs of about RUN elements; a longer item is a run of its own."""
+    first = 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + RUN, "right")) - 1)
+        yield first, last
+        first = last
+
+
 class Points:
     """Count vectors of some points, each the sorted coordinates of its shingles."""
 
@@ -168,8 +177,11 @@ class Points:
 
     def coarse(self) -> np.ndarray:
         """All vectors folded to GROUPS coordinates."""
-        owner = np.repeat(np.arange(len(self.sizes)), np.diff(self.at))
-        return np.bincount(owner * GROUPS + self.flat % GROUPS, minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
+        out = np.zeros((len(self.sizes), GROUPS), np.int32)
+        for i, j in runs(self.at):
+            owner = np.repeat(np.arange(j - i) * GROUPS, np.diff(self.at[i : j + 1]))
+            out[i:j] = np.bincount(owner + self.flat[self.at[i] : self.at[j]] % GROUPS, minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
+        return out
 
     def own(self, k: int) -> np.ndarray:
         """A vector as distinct codes: each coordinate with 0, 1, ... below its count, so that shared codes are the sum of minima."""
@@ -183,14 +195,15 @@ class Points:
             x, y = a[i : i + 8192], b[i : i + 8192]
             need = pair_needed(self.sizes[x], self.sizes[y], percent)
             out[i : i + 8192] = (np.minimum(self.sizes[x], self.sizes[y]) >= need) & (np.minimum(coarse[x], coarse[y]).sum(1) >= need)
-        codes: dict[int, np.ndarray] = {}
+        codes, held = {}, 0
         for k in np.flatnonzero(out).tolist():
             x, y = int(a[k]), int(b[k])
-            if len(codes) > 4096:
-                codes.clear()
+            if held > RUN:
+                codes, held = {}, 0
             for z in (x, y):
                 if z not in codes:
                     codes[z] = self.own(z)
+                    held += len(codes[z])
             both = np.concatenate((codes[x], codes[y]))
             both.sort()
             out[k] = np.count_nonzero(both[1:] == both[:-1]) >= pair_needed(self.sizes[x], self.sizes[y], percent)
@@ -250,15 +263,18 @@ def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     key, cell, point, size, label, half = (whole.column(c).to_numpy() for c in ("key", "cell", "point", "n", "label", "half"))
     order = np.lexsort((point, cell, key))
     key, cell, point, size, label, half = (x[order] for x in (key, cell, point, size, label, half))
-    counts = whole.column("counts").combine_chunks().take(pa.array(order))
+    counts = whole.column("counts").combine_chunks()
+    counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
+    del tables, whole
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]) if len(key) else np.zeros(0, bool)
     start = np.flatnonzero(fresh)
     stop = np.concatenate([start[1:], [len(key)]])
-    for i in range(0, len(start), 2000):
-        rows = np.arange(start[i], stop[min(i + 2000, len(start)) - 1])
-        length = stop[i : i + 2000] - start[i : i + 2000]
+    volume = np.concatenate([[0], np.cumsum(size)])[np.concatenate([start, stop[-1:]])]
+    for i, j in runs(volume):
+        rows = np.arange(start[i], stop[j - 1])
+        length = stop[i:j] - start[i:j]
         n, ids, tags, side = size[rows], point[rows], label[rows], half[rows]
-        points = Points(counts.slice(rows[0], len(rows)), n)
+        points = Points(counts.take(pa.array(order[rows])), n)
         vec = points.coarse()
         base = np.concatenate([[0], np.cumsum(length)])
         pairs = [(np.zeros(0, np.int64),) * 2]
