@@ -294,13 +294,13 @@ def axis_clusters(d):
     return f"SELECT page_id, type, cluster, count(*) AS members, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(gap) OVER (PARTITION BY page_id, type ORDER BY {d.div('x0 + x1', '2')}, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM (SELECT *, {gap} AS gap FROM components WHERE type NOT IN ('text', 'label')) a) b GROUP BY page_id, type, cluster HAVING count(*) >= 2"
 
 
-COLUMNS = "SELECT page_id, x0 AS gx, ord, x0, y0, x1, y1, id FROM components WHERE type = 'card' AND ord < 30"
+COLUMNS = "SELECT page_id, type, x0 AS gx, ord, x0, y0, x1, y1, id FROM components WHERE type NOT IN ('text', 'label', '')"
 
 
 def gaps(d) -> str:
-    gap = "greatest(0, y0 - lag(y1) OVER (PARTITION BY page_id, gx ORDER BY y0, ord))"
-    ranked = f"SELECT page_id, gx, gap, row_number() OVER (PARTITION BY page_id, gx ORDER BY gap) AS k, count(gap) OVER (PARTITION BY page_id, gx) AS n FROM (SELECT page_id, gx, CASE WHEN lag(y1) OVER (PARTITION BY page_id, gx ORDER BY y0, ord) IS NOT NULL THEN {gap} END AS gap FROM ({COLUMNS}) c) g WHERE gap IS NOT NULL"
-    return f"SELECT page_id, gx, max(CASE WHEN k = {d.div('n', '2')} + 1 THEN gap END) AS gap_median, max(gap) - min(gap) AS gap_spread FROM ({ranked}) r GROUP BY page_id, gx"
+    gap = "greatest(0, y0 - lag(y1) OVER (PARTITION BY page_id, type, gx ORDER BY y0, ord))"
+    ranked = f"SELECT page_id, type, gx, gap, row_number() OVER (PARTITION BY page_id, type, gx ORDER BY gap) AS k, count(gap) OVER (PARTITION BY page_id, type, gx) AS n FROM (SELECT page_id, type, gx, CASE WHEN lag(y1) OVER (PARTITION BY page_id, type, gx ORDER BY y0, ord) IS NOT NULL THEN {gap} END AS gap FROM ({COLUMNS}) c) g WHERE gap IS NOT NULL"
+    return f"SELECT page_id, type, gx, max(CASE WHEN k = {d.div('n', '2')} + 1 THEN gap END) AS gap_median, max(gap) - min(gap) AS gap_spread FROM ({ranked}) r GROUP BY page_id, type, gx"
 
 
 @operator("components")
@@ -316,21 +316,21 @@ def even_groups(d):
 @operator("components")
 def inferred_containers(d):
     trust = "CASE WHEN gap_median = 0 THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - CAST(gap_spread AS DOUBLE) / gap_median)) END"
-    return f"SELECT c.page_id, c.gx, count(*) AS members, min(c.x0) AS x0, min(c.y0) AS y0, max(c.x1) AS x1, max(c.y1) AS y1, {rounded(f'max({trust})', 6)} AS confidence FROM ({COLUMNS}) c JOIN ({gaps(d)}) g ON c.page_id = g.page_id AND c.gx = g.gx WHERE {trust} >= CAST(0.5 AS DOUBLE) GROUP BY c.page_id, c.gx HAVING count(*) >= 2"
+    return f"SELECT c.page_id, c.type, c.gx, count(*) AS members, min(c.x0) AS x0, min(c.y0) AS y0, max(c.x1) AS x1, max(c.y1) AS y1, {rounded(f'max({trust})', 6)} AS confidence FROM ({COLUMNS}) c JOIN ({gaps(d)}) g ON c.page_id = g.page_id AND c.type = g.type AND c.gx = g.gx WHERE {trust} >= CAST(0.5 AS DOUBLE) GROUP BY c.page_id, c.type, c.gx HAVING count(*) >= 2"
 
 
 @operator("components")
 def group_headers(d):
-    box = f"SELECT page_id, gx, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1 FROM ({COLUMNS}) c GROUP BY page_id, gx"
-    return f"SELECT page_id, gx, header_id, header FROM (SELECT g.page_id, g.gx, t.id AS header_id, t.text AS header, row_number() OVER (PARTITION BY g.page_id, g.gx ORDER BY g.y0 - t.y1, -(least(g.x1, t.x1) - greatest(g.x0, t.x0)), t.ord) AS k FROM ({box}) g JOIN components t ON g.page_id = t.page_id AND t.type = 'text' AND g.y0 - t.y1 BETWEEN 0 AND 120 AND least(g.x1, t.x1) > greatest(g.x0, t.x0)) q WHERE k = 1"
+    box = f"SELECT page_id, type, gx, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1 FROM ({COLUMNS}) c GROUP BY page_id, type, gx HAVING count(*) >= 2"
+    return f"SELECT page_id, type, gx, header_id, header FROM (SELECT g.page_id, g.type, g.gx, t.id AS header_id, t.text AS header, row_number() OVER (PARTITION BY g.page_id, g.type, g.gx ORDER BY g.y0 - t.y1, -(least(g.x1, t.x1) - greatest(g.x0, t.x0)), t.ord) AS k FROM ({box}) g JOIN components t ON g.page_id = t.page_id AND t.type = 'text' AND g.y0 - t.y1 BETWEEN 0 AND 120 AND least(g.x1, t.x1) > greatest(g.x0, t.x0)) q WHERE k = 1"
 
 
 @operator("components")
 def inferred_parent(d):
     """Smallest component around each inferred container that is larger and no member of it."""
     area = "(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
-    member = "c.type = 'card' AND c.ord < 30 AND c.x0 = i.gx"
-    return f"SELECT page_id, gx, parent FROM (SELECT i.page_id, i.gx, c.id AS parent, row_number() OVER (PARTITION BY i.page_id, i.gx ORDER BY {area.format('c')}, c.ord) AS k FROM ({inferred_containers(d)}) i LEFT JOIN components c ON i.page_id = c.page_id AND {contains('c', 'i')} AND {area.format('c')} > {area.format('i')} AND NOT ({member})) q WHERE k = 1"
+    member = "coalesce(c.type, '') = i.type AND c.x0 = i.gx"
+    return f"SELECT page_id, type, gx, parent FROM (SELECT i.page_id, i.type, i.gx, c.id AS parent, row_number() OVER (PARTITION BY i.page_id, i.type, i.gx ORDER BY {area.format('c')}, c.ord) AS k FROM ({inferred_containers(d)}) i LEFT JOIN components c ON i.page_id = c.page_id AND {contains('c', 'i')} AND {area.format('c')} > {area.format('i')} AND NOT ({member})) q WHERE k = 1"
 
 
 @operator("components")

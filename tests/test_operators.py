@@ -70,6 +70,35 @@ def test_engine_runs_on_own_relations(spark):
     assert [(r.a, r.relation, r.b) for r in got] == [("outer", "contains", "inner")]
 
 
+def test_groups_hold_every_member(spark):
+    """Cards past ord 30 and other types, against gaps, boxes and parents worked out by hand."""
+    column = [("card", 40, 100, 300, 120), ("card", 40, 240, 300, 120), ("card", 40, 380, 300, 120), ("card", 40, 540, 300, 120)]
+    icons = [("icon", 600, 100, 20, 20), ("icon", 600, 130, 20, 20), ("icon", 600, 160, 20, 20)]
+    others = [("text", 40, 70, 100, 20), ("text", 600, 60, 50, 20), ("panel", 590, 90, 60, 120), ("label", 40, 0, 9, 9), ("label", 40, 50, 9, 9)]
+    rows = [(1, 28 + k, f"c{k}", kind, f"t{k}" if kind == "text" else None, x, y, x + w, y + h) for k, (kind, x, y, w, h) in enumerate(column + icons + others)]
+    df = spark.createDataFrame(rows, "page_id long, ord long, id string, type string, text string, x0 long, y0 long, x1 long, y1 long")
+    run = lambda name, *names: sorted(tuple(r[n] for n in names) for r in engine.Engine(spark, {"components": df}).run(name).collect())
+    assert run("group_gaps", "type", "gx", "gap_median", "gap_spread") == [("card", 40, 20, 20), ("icon", 600, 10, 0)]
+    assert run("even_groups", "page_id", "even") == [(1, 1)]
+    assert run("inferred_containers", "type", "gx", "members", "y0", "y1", "confidence") == [("icon", 600, 3, 100, 180, 1.0)]
+    assert run("group_headers", "type", "gx", "header_id") == [("card", 40, "c7"), ("icon", 600, "c8")]
+    assert run("inferred_parent", "type", "gx", "parent") == [("icon", 600, "c9")]
+
+
+def test_groups_of_the_tables_equal_brute_force(spark, sf):
+    groups, want = {}, {}
+    for r in engine.relation(spark, sf, "components").collect():
+        if r.type not in ("text", "label"):
+            groups.setdefault((r.page_id, r.type, r.x0), []).append((r.y0, r.ord, r.y1))
+    for key, members in groups.items():
+        members.sort()
+        found = sorted(max(0, b[0] - a[2]) for a, b in zip(members, members[1:], strict=False))
+        if found:
+            want[key] = (found[len(found) // 2], found[-1] - found[0])
+    assert {(r.page_id, r.type, r.gx): (r.gap_median, r.gap_spread) for r in engine.over_tables(spark, sf, "group_gaps").collect()} == want
+    assert {len(m) for (_, kind, _), m in groups.items() if kind == "card"} == {4}
+
+
 def test_sources(spark, tmp_path):
     from screenrel.sources import files
 
