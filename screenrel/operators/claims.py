@@ -63,15 +63,15 @@ def page_type(d):
     return f"SELECT p.page_id, coalesce(s.type, 'generic') AS type, CASE WHEN s.type IS NULL THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0.1 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(s.score AS DOUBLE) / (2 * z.n))) END AS confidence FROM ({pages}) p LEFT JOIN ({scored}) s ON p.page_id = s.page_id AND s.k = 1 LEFT JOIN ({size}) z ON s.type = z.type"
 
 
-def canonical(d) -> str:
-    """element_id, run, raw_label, concept ('' for garbage): the best alias by strong phrase, strong word, weak phrase, weak word."""
+def canonical(d, keys: tuple[str, ...] = ("element_id",)) -> str:
+    """keys, run, raw_label, concept ('' for garbage): the best alias by strong phrase, strong word, weak phrase, weak word."""
     bad = " OR ".join(f"instr(lower(raw_label), '{g}') > 0" for g in GARBAGE)
     clean = f"concat(' ', {d.replace('lower(raw_label)', '[^a-z]+', ' ')}, ' ')"
     for word in STOPWORDS:
         clean = f"replace({clean}, ' {word} ', ' ')"
     labels = f"SELECT raw_label, clean FROM (SELECT raw_label, {clean} AS clean FROM (SELECT DISTINCT raw_label FROM label_samples) r WHERE NOT ({bad})) c WHERE trim(clean) <> '' AND length(trim(clean)) - length(replace(trim(clean), ' ', '')) < 4"
     found = f"SELECT raw_label, concept, row_number() OVER (PARTITION BY raw_label ORDER BY weak, CASE WHEN instr(alias, ' ') > 0 THEN 0 ELSE 1 END, instr(clean, concat(' ', alias, ' ')), concept) AS k FROM ({labels}) l JOIN {values(ALIASES, 'alias, concept, weak')} a ON instr(l.clean, concat(' ', a.alias, ' ')) > 0"
-    return f"SELECT s.element_id, s.run, s.raw_label, coalesce(f.concept, '') AS concept FROM label_samples s LEFT JOIN ({found}) f ON s.raw_label = f.raw_label AND f.k = 1"
+    return f"SELECT {', '.join(f's.{k}' for k in keys)}, s.run, s.raw_label, coalesce(f.concept, '') AS concept FROM label_samples s LEFT JOIN ({found}) f ON s.raw_label = f.raw_label AND f.k = 1"
 
 
 @operator("label_samples")
@@ -79,9 +79,10 @@ def canonical_label(d):
     return canonical(d)
 
 
-def vote(d) -> str:
-    counted = f"SELECT element_id, concept, count(*) AS n, row_number() OVER (PARTITION BY element_id ORDER BY CASE WHEN concept = '' THEN 1 ELSE 0 END, count(*) DESC, concept) AS k, sum(count(*)) OVER (PARTITION BY element_id) AS runs FROM ({canonical(d)}) c GROUP BY element_id, concept"
-    return f"SELECT element_id, concept, n, runs, CAST(n AS DOUBLE) / runs AS agreement FROM ({counted}) q WHERE k = 1 AND concept <> ''"
+def vote(d, keys: tuple[str, ...] = ("element_id",)) -> str:
+    by = ", ".join(keys)
+    counted = f"SELECT {by}, concept, count(*) AS n, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN concept = '' THEN 1 ELSE 0 END, count(*) DESC, concept) AS k, sum(count(*)) OVER (PARTITION BY {by}) AS runs FROM ({canonical(d, keys)}) c GROUP BY {by}, concept"
+    return f"SELECT {by}, concept, n, runs, CAST(n AS DOUBLE) / runs AS agreement FROM ({counted}) q WHERE k = 1 AND concept <> ''"
 
 
 @operator("label_samples")
@@ -91,7 +92,8 @@ def label_vote(d):
 
 @operator("label_samples")
 def accepted_labels(d):
-    return f"SELECT element_id, concept, k FROM (SELECT element_id, concept, row_number() OVER (ORDER BY element_id) AS k FROM ({vote(d)}) v WHERE 10 * n >= 4 * runs) q WHERE k <= 12"
+    """Labels that at least 0.7 of an element's runs agree on, and their places on the page, of which there are 12."""
+    return f"SELECT page_id, element_id, concept, k FROM (SELECT page_id, element_id, concept, row_number() OVER (PARTITION BY page_id ORDER BY element_id) AS k FROM ({vote(d, ('page_id', 'element_id'))}) v WHERE 10 * n >= 7 * runs) q WHERE k <= 12"
 
 
 @operator("summaries")

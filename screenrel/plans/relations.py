@@ -39,7 +39,7 @@ def rects(d) -> str:
 
 
 def label_samples(d) -> str:
-    return f"SELECT user_id AS element_id, event_id AS run, CASE event_type WHEN 'click' THEN 'magnifier icon' WHEN 'view' THEN 'search' WHEN 'error' THEN '<svg' ELSE event_type END AS raw_label FROM {d.table('events')}"
+    return f"SELECT {d.div('user_id', '60')} AS page_id, user_id AS element_id, event_id AS run, CASE event_type WHEN 'click' THEN 'magnifier icon' WHEN 'view' THEN 'search' WHEN 'error' THEN '<svg' ELSE event_type END AS raw_label FROM {d.table('events')}"
 
 
 def summaries(d) -> str:

@@ -99,6 +99,15 @@ def test_groups_of_the_tables_equal_brute_force(spark, sf):
     assert {len(m) for (_, kind, _), m in groups.items() if kind == "card"} == {4}
 
 
+def test_accepted_labels_are_capped_by_page(spark):
+    """Of ten runs, seven or more must agree; twelve places a page; equal element ids on two pages are two elements."""
+    agreeing = {1: [7] * 14 + [6], 2: [6, 10, 7]}
+    rows = [(page, e, run, "gear" if run < n else "trash") for page, ns in agreeing.items() for e, n in enumerate(ns) for run in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, element_id long, run long, raw_label string")
+    got = sorted((r.page_id, r.k, r.element_id, r.concept) for r in engine.Engine(spark, {"label_samples": df}).run("accepted_labels").collect())
+    assert got == [(1, k + 1, k, "settings") for k in range(12)] + [(2, 1, 1, "settings"), (2, 2, 2, "settings")]
+
+
 def test_sources(spark, tmp_path):
     from screenrel.sources import files
 
