@@ -1,10 +1,11 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of lines from a line on that has MIN_WORDS words. Its fingerprint is the least line hash in
-it, together with the digest of the window: any repeated run of MIN_WORDS words holds a whole window, so it shares a
-fingerprint (the guarantee). Positions with equal fingerprints meet in a join with their first position (least doc_id,
-then text hash, then line); the match is extended both ways over the line hashes of both documents, and the lines of the
-later run are deleted. Pairs are only made with the first position, so a fingerprint with n positions makes n - 1 pairs.
+A window is the shortest run of lines from a line on, or up to a line, that has MIN_WORDS words. Its fingerprint is the
+least line hash in it, together with the digest of the window. A run of MIN_WORDS words or more is the union of the windows
+within it: those from its lines on leave fewer than MIN_WORDS words at its end, and the one up to its last line holds these.
+So a line is in a repeated run just if a window around it has an earlier position (by doc_id, then text hash, then line), in
+whichever document; such windows are deleted. Positions with equal fingerprints are only compared with the first of them, so
+a fingerprint with n positions makes n - 1 pairs.
 
 Defined cases: null and empty texts stay as they are; blank lines count as lines without words; copies of one document
 lose all lines but in the first; rows equal in doc_id and text are one document, and are edited alike; runs of fewer than
@@ -28,7 +29,7 @@ MIN_WORDS = 50
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, text) to one row a text: its line hashes and, for each window, digest, fingerprint and first and end line."""
+    """(doc_id, tag, text) to one row a text: for each window, digest, fingerprint and first and end line."""
     for batch in batches:
         for chunk in textvec.chunks(batch.column(2)):
             data, offsets = chunk.data, chunk.offsets
@@ -43,9 +44,13 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.concatenate([[0], np.cumsum(words)])
             at = np.searchsorted(owner, np.arange(chunk.size + 1))
             stop = np.searchsorted(total, total[:-1] + MIN_WORDS, "left")  # end line of each window
-            inside = (stop <= np.repeat(at[1:], np.diff(at))) & (words > 0)
-            first = np.flatnonzero(inside)
-            stop = stop[first]
+            first = np.flatnonzero(stop <= np.repeat(at[1:], np.diff(at)))
+            begin = np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1  # first line of the window up to each line
+            last = np.flatnonzero(begin >= np.repeat(at[:-1], np.diff(at)))
+            last = last[stop[begin[last]] != last + 1]  # others are windows from their first line on as well
+            first, stop = np.concatenate([first, begin[last]]), np.concatenate([stop[first], last + 1])
+            order = np.argsort(first, kind="stable")
+            first, stop = first[order], stop[order]
             powers = textvec.powers(0xE7037ED1A0B428DB | 1, len(hashes) + 1)
             inverse = textvec.powers(pow(0xE7037ED1A0B428DB | 1, -1, 1 << 64), len(hashes) + 1)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[: len(hashes)], dtype=np.uint64)])
@@ -56,9 +61,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = np.repeat(at[:-1], np.diff(cut))
             rows = batch.slice(chunk.first, chunk.size)
             lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (digest.view(np.int64), least.view(np.int64), (first - base).astype(np.int64), (stop - base).astype(np.int64))]
-            raw = hashes.tobytes()
-            lines = pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), lines, *lists], ["doc_id", "tag", "lines", "digest", "least", "first", "stop"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), *lists], ["doc_id", "tag", "digest", "least", "first", "stop"])
 
 
 def _owners(offsets: np.ndarray, breaks: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -67,44 +70,35 @@ def _owners(offsets: np.ndarray, breaks: np.ndarray, full: np.ndarray) -> np.nda
     return np.repeat(np.arange(len(full)), np.diff(inside) + full)
 
 
-def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, shift, first lines, end lines, own lines, earlier lines) to the deleted line ranges of the own text; line k matches k - shift there."""
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, windows of a text in any order) to the same with windows that overlap or touch made into one run, in order."""
+    kind = pa.struct([("first", pa.int64()), ("stop", pa.int64())])
     for batch in batches:
-        ids, tags, firsts, stops = [], [], [], []
-        columns = [batch.column(i).to_pylist() for i in range(7)]
-        for doc, tag, shift, begin, end, own, other in zip(*columns, strict=True):
-            a, b = np.frombuffer(own, np.int64), np.frombuffer(other, np.int64)
-            low, high = max(0, shift), min(len(a), len(b) + shift)
-            same = a[low:high] == b[low - shift : high - shift]
-            breaks = np.concatenate([[low - 1], low + np.flatnonzero(~same), [high]])
-            k = np.unique(np.searchsorted(breaks, np.array(begin), "right"))
-            for x, y in zip(breaks[k - 1] + 1, breaks[k], strict=True):
-                ids.append(doc)
-                tags.append(tag)
-                firsts.append(int(x))
-                stops.append(int(y))
-            _ = end
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, tags, firsts, stops)], ["doc_id", "tag", "first", "stop"])
+        sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        first, stop = (x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
+        base = np.repeat(np.arange(len(sizes)), sizes) * (int(stop.max(initial=0)) + 1)  # so that texts lie apart
+        order = np.argsort(first + base, kind="stable")
+        reach = np.maximum.accumulate((stop + base)[order])
+        heads = np.flatnonzero(np.concatenate([[True], (first + base)[order][1:] > reach[:-1]]) | (base[order] != np.concatenate([[-1], base[order][:-1]]))) if len(first) else np.zeros(0, np.int64)
+        tails = np.concatenate([heads[1:], [len(first)]])[: len(heads)] - 1
+        runs = pa.StructArray.from_arrays([pa.array(first[order][heads]), pa.array(reach[tails] - base[order][tails])], fields=list(kind))
+        cut = np.searchsorted(heads, np.concatenate([[0], np.cumsum(sizes)])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cut), runs)], ["doc_id", "tag", "runs"])
 
 
 def deleted_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, first, stop: line ranges that repeat an earlier run; tag is xxhash64 of the text."""
+    """doc_id, tag, runs: the line ranges (first, stop) that repeat an earlier run; tag is xxhash64 of the text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").where("text is not null and text <> ''")
-    marks = written(rows.mapInArrow(fingerprints, "doc_id bigint, tag bigint, lines binary, digest array<bigint>, least array<bigint>, first array<bigint>, stop array<bigint>"), "lines")
-    lines = marks.select("doc_id", "tag", "lines")
+    marks = written(rows.mapInArrow(fingerprints, "doc_id bigint, tag bigint, digest array<bigint>, least array<bigint>, first array<bigint>, stop array<bigint>"), "lines")
     places = marks.select("doc_id", "tag", F.explode(F.arrays_zip("digest", "least", "first", "stop")).alias("w")).select("doc_id", "tag", "w.*")
     origin = places.groupBy("digest", "least").agg(F.min(F.struct("doc_id", "tag", "first")).alias("o"), F.max(F.struct("doc_id", "tag", "first")).alias("latest")).where("o <> latest").select("digest", "least", "o")
     later = places.join(origin, ["digest", "least"]).where("struct(doc_id, tag, first) <> o")
-    runs = later.groupBy("doc_id", "tag", F.col("o.doc_id").alias("from_doc"), F.col("o.tag").alias("from_tag"), (F.col("first") - F.col("o.first")).alias("shift")).agg(F.collect_set("first").alias("begin"), F.collect_set("stop").alias("end"))
-    own = lines.withColumnRenamed("lines", "own").dropDuplicates(["doc_id", "tag"])
-    other = own.select(F.col("doc_id").alias("from_doc"), F.col("tag").alias("from_tag"), F.col("own").alias("other"))
-    both = runs.join(own, ["doc_id", "tag"]).join(other, ["from_doc", "from_tag"])
-    return both.select("doc_id", "tag", "shift", "begin", "end", "own", "other").mapInArrow(extended, "doc_id bigint, tag bigint, first bigint, stop bigint")
+    return later.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "stop")).alias("runs")).mapInArrow(united, "doc_id bigint, tag bigint, runs array<struct<first: bigint, stop: bigint>>")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text without its later repeated runs, and _n_lines, _removed: the numbers of the deleted lines (from 0)."""
-    removed = deleted_runs(docs).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "stop")).alias("_runs")).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "_runs")
+    removed = deleted_runs(docs).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("runs").alias("_runs"))
     joined = docs.join(removed, (docs["doc_id"].cast("bigint") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_tag")), "left")
     numbers = "case when _runs is null then cast(array() as array<int>) else filter(sequence(0, size(split(text, '\\n', -1)) - 1), i -> exists(_runs, r -> i >= r.first and i < r.stop)) end"
     kept = "case when _runs is null then text else array_join(filter(split(text, '\\n', -1), (x, i) -> not exists(_runs, r -> i >= r.first and i < r.stop)), '\\n') end"

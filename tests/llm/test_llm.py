@@ -227,6 +227,38 @@ def test_line_dedup(spark):
     assert got[2].text == "z" and got[7].text == "" and got[5].text is None and got[1].text == rows[0][1]
 
 
+def repeated_lines(texts):
+    """doc_id to the lines in runs of MIN_WORDS words or more that any earlier position holds, by the definition."""
+    lines = [(d, t.split("\n")) for d, t in sorted(texts.items())]
+    gone = {d: set() for d, _ in lines}
+    for k, (doc, a) in enumerate(lines):
+        for other, b in lines[: k + 1]:
+            for shift in range(1 if other == doc else 1 - len(b), len(a)):
+                run = []
+                for i in range(max(0, shift), min(len(a), len(b) + shift) + 1):
+                    if i < min(len(a), len(b) + shift) and a[i] == b[i - shift]:
+                        run.append(i)
+                    else:
+                        if sum(len(a[r].split()) for r in run) >= line_dedup.MIN_WORDS:
+                            gone[doc] |= set(run)
+                        run = []
+    return {d: sorted(x) for d, x in gone.items()}
+
+
+def test_line_dedup_against_every_earlier_document(spark):
+    """Later holders carry a run on beyond the first one; blank lines at either end belong to runs."""
+    import random
+
+    start, tail = ["a " * 30, "b " * 30], ["c c c", "", "d d"]
+    texts = {1: "\n".join([*start, "x"]), 2: "\n".join(["", *start, *tail]), 3: "\n".join(["", *start, *tail, "z"])}
+    rnd = random.Random(5)
+    for doc in range(10, 70):
+        texts[doc] = "\n".join(rnd.choice(["", "", "e " * 5, "f " * 20, "g " * 20, "h " * 49, "i " * 60, "j"]) for _ in range(rnd.randrange(1, 16)))
+    got = {r.doc_id: sorted(r["_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == repeated_lines({d: t for d, t in texts.items() if t}) | {d: [] for d, t in texts.items() if not t}
+    assert got[3] == [0, 1, 2, 3, 4, 5] and any(got[d] for d in range(10, 70))
+
+
 def test_secrets(docs, texts):
     rules = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 8), ("access", re.compile("AKIA[A-Z0-9]+"), 16), ("hex", re.compile("[0-9a-f]+"), 32)]
     for r in secrets.scan(docs).collect():
