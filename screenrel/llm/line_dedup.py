@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by windows over line hashes.
 
-A window is the shortest run of lines from a line on, or up to a line, that has MIN_WORDS words. Its fingerprint is the
-least line hash in it, together with the digest of the window. A run of MIN_WORDS words or more is the union of the windows
+A window is the shortest run of lines from a line on, or up to a line, that has MIN_WORDS words. All windows are joined by
+exact digest, in place of winnowing: none is thinned out. A run of MIN_WORDS words or more is the union of the windows
 within it: those from its lines on leave fewer than MIN_WORDS words at its end, and the one up to its last line holds these.
 So a line is in a repeated run just if a window around it has an earlier position (by doc_id, then text hash, then line), in
-whichever document; such windows are deleted. Positions with equal fingerprints are only compared with the first of them, so
-a fingerprint with n positions makes n - 1 pairs.
+whichever document; such windows are deleted. Positions with equal digests are only compared with the first of them, so a
+digest with n positions makes n - 1 pairs.
 
 Defined cases: null and empty texts stay as they are; blank lines count as lines without words; copies of one document
 lose all lines but in the first; rows equal in doc_id and text are one document, and are edited alike; runs of fewer than
@@ -29,7 +29,7 @@ MIN_WORDS = 50
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, text) to one row a text: for each window, digest, fingerprint and first and end line."""
+    """(doc_id, tag, text) to one row a text: for each window, digest and first and end line."""
     for batch in batches:
         for chunk in textvec.chunks(batch.column(2)):
             data, offsets = chunk.data, chunk.offsets
@@ -55,13 +55,11 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inverse = textvec.powers(pow(0xE7037ED1A0B428DB | 1, -1, 1 << 64), len(hashes) + 1)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[: len(hashes)], dtype=np.uint64)])
             digest = textvec.mix((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))
-            pairs = np.stack([first, stop], 1).ravel()
-            least = np.minimum.reduceat(np.concatenate([hashes, np.full(1, 2**64 - 1, np.uint64)]), pairs)[::2] if len(first) else np.zeros(0, np.uint64)
             cut = np.searchsorted(first, at).astype(np.int32)
             base = np.repeat(at[:-1], np.diff(cut))
             rows = batch.slice(chunk.first, chunk.size)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (digest.view(np.int64), least.view(np.int64), (first - base).astype(np.int64), (stop - base).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), *lists], ["doc_id", "tag", "digest", "least", "first", "stop"])
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (digest.view(np.int64), (first - base).astype(np.int64), (stop - base).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), *lists], ["doc_id", "tag", "digest", "first", "stop"])
 
 
 def _owners(offsets: np.ndarray, breaks: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -89,10 +87,10 @@ def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deleted_runs(docs: DataFrame) -> DataFrame:
     """doc_id, tag, runs: the line ranges (first, stop) that repeat an earlier run; tag is xxhash64 of the text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").where("text is not null and text <> ''")
-    marks = written(rows.mapInArrow(fingerprints, "doc_id bigint, tag bigint, digest array<bigint>, least array<bigint>, first array<bigint>, stop array<bigint>"), "lines")
-    places = marks.select("doc_id", "tag", F.explode(F.arrays_zip("digest", "least", "first", "stop")).alias("w")).select("doc_id", "tag", "w.*")
-    origin = places.groupBy("digest", "least").agg(F.min(F.struct("doc_id", "tag", "first")).alias("o"), F.max(F.struct("doc_id", "tag", "first")).alias("latest")).where("o <> latest").select("digest", "least", "o")
-    later = places.join(origin, ["digest", "least"]).where("struct(doc_id, tag, first) <> o")
+    marks = written(rows.mapInArrow(fingerprints, "doc_id bigint, tag bigint, digest array<bigint>, first array<bigint>, stop array<bigint>"), "lines")
+    places = marks.select("doc_id", "tag", F.explode(F.arrays_zip("digest", "first", "stop")).alias("w")).select("doc_id", "tag", "w.*")
+    origin = places.groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "first")).alias("o"), F.max(F.struct("doc_id", "tag", "first")).alias("latest")).where("o <> latest").select("digest", "o")
+    later = places.join(origin, "digest").where("struct(doc_id, tag, first) <> o")
     return later.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "stop")).alias("runs")).mapInArrow(united, "doc_id bigint, tag bigint, runs array<struct<first: bigint, stop: bigint>>")
 
 
