@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenrel.llm.shared import written
+
 #: Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_RULES = 1000
-DEPTH = 8
 MANY = 8
 FEW = 4.0
 CHI_SQUARE = 9.21
@@ -47,9 +48,9 @@ def ruled(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """urls (host, path, ruled, ...) with template: its leaf in the tree of its host."""
-    rows = urls.withColumn("_parts", F.slice(F.filter(F.split("path", "/"), lambda x: x != ""), 1, depth)).withColumn("template", F.lit(""))
+    rows = urls.withColumn("_parts", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
     deepest = rows.agg(F.max(F.size("_parts"))).first()[0] or 0
     for level in range(deepest):
         rows = rows.withColumn("_part", F.get("_parts", F.lit(level)))
@@ -62,6 +63,7 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         alike = counts.join(nodes.where(f"kinds > 1 and not (kinds > {MANY} and all < kinds * {FEW})"), ["host", "template"]).where(f"{chi} <= {CHI_SQUARE}").select("host", "template", "_part", F.lit("~").alias("_like"))
         rows = rows.join(wild, ["host", "template"], "left").join(alike, ["host", "template", "_part"], "left")
         rows = rows.withColumn("template", F.when(F.col("_part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_wild", "_like", "_part")))).drop("_wild", "_like", "_part")
+        rows = written(rows, "urls")  # else the plan would grow as a power of the level
     return rows.drop("_parts")
 
 

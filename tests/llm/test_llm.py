@@ -284,6 +284,13 @@ def test_urls(spark):
     assert {r.template for r in rows if r.page_id < 40} == {"/spam/*"} and {r.verdict for r in rows if r.page_id < 40} == {"block"} and {r.verdict for r in rows if r.page_id >= 100} == {"allow"}
 
 
+def test_urls_that_differ_in_the_ninth_segment(spark):
+    deep = "/".join("abcdefgh")
+    urls = [f"http://h.net/{deep}/{kind}/{k}" for kind in ("spam", "ok") for k in range(40)]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), tuple(("block", "h.net", f"/{deep}/spam/{k}") for k in range(1, 10))).collect()
+    assert {(r.verdict, r.template) for r in rows} == {("block", f"/{deep}/spam/*"), ("allow", f"/{deep}/ok/*")}
+
+
 def test_language(docs):
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     got = language_id.identify(docs, docs.where(~held))
