@@ -1,6 +1,6 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Training counts hashed n-grams (1 to 4 characters of letters, with word edges) for each label over all labelled rows,
+Training counts hashed n-grams (1 to 3 characters of letters, with word edges) for each label over all labelled rows,
 adds the counts up with a map-side combine, and broadcasts the log-probability matrix: BUCKETS x labels, at most
 MAX_LABELS labels, so at most BUCKETS * MAX_LABELS * 4 bytes. Scoring sums matrix rows of a text's n-grams in numpy.
 
