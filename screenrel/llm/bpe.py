@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from screenrel.llm import textvec
+from screenrel.llm.piece_cache import PieceCache, spread
 
-MAX_KNOWN = 1 << 20
 SPACE, LETTER, NUMBER, OTHER = 3, 1, 2, 0
 #: The endings that the byte-level pattern cuts after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -119,54 +119,12 @@ class Vocabulary:
         return [[x for x in symbol[s:e] if x >= 0] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of consecutive ranges, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-class Known:
-    """Distinct pieces seen by this worker, by hash, with their ids and the ids in decimal; at most MAX_KNOWN, then it starts anew."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self):
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.digits = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        self.id_at, self.id_n, self.digit_at, self.digit_n = (np.zeros(0, np.int64) for _ in range(4))
-
-    def slots_of(self, hashes: np.ndarray, piece_of, encode) -> np.ndarray:
-        """The slot of each piece; new ones are got by piece_of(index) and encoded together."""
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > MAX_KNOWN:
-            self.clear()
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.hashes)
-        new[inside] = self.hashes[at[inside]] != distinct[inside]
-        if new.any():
-            lists = encode([piece_of(i) for i in first[new]])
-            digits = ["".join(f"{x}," for x in ids).encode() for ids in lists]
-            n, d = np.array([len(x) for x in lists], np.int64), np.array([len(x) for x in digits], np.int64)
-            self.id_at = np.concatenate([self.id_at, len(self.ids) + np.cumsum(n) - n])
-            self.digit_at = np.concatenate([self.digit_at, len(self.digits) + np.cumsum(d) - d])
-            base = len(self.id_n)
-            self.id_n, self.digit_n = np.concatenate([self.id_n, n]), np.concatenate([self.digit_n, d])
-            self.ids = np.concatenate([self.ids, np.array([x for ids in lists for x in ids], np.int64)])
-            self.digits = np.concatenate([self.digits, np.frombuffer(b"".join(digits), np.uint8)])
-            self.slots = np.insert(self.slots, at[new], base + np.arange(int(new.sum())))
-            self.hashes = np.insert(self.hashes, at[new], distinct[new])
-            at = np.searchsorted(self.hashes, distinct)
-        return self.slots[at][inverse]
-
-
-_tools: dict[str, tuple[Vocabulary, Known]] = {}
-
-
-def tools(path: str) -> tuple[Vocabulary, Known]:
+_tools: dict[str, tuple[Vocabulary, PieceCache]] = {}
+
+
+def tools(path: str) -> tuple[Vocabulary, PieceCache]:
     if path not in _tools:
-        _tools[path] = (Vocabulary(path), Known())
+        _tools[path] = (Vocabulary(path), PieceCache(digits=True))
     return _tools[path]
 
 
@@ -227,14 +185,19 @@ def pieces(chunk: textvec.Chunk, special: dict[bytes, int]) -> tuple[np.ndarray,
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def encoded_chunks(column: pa.Array, path: str) -> Iterator[tuple[textvec.Chunk, Known, np.ndarray, np.ndarray]]:
+def encoded_chunks(column: pa.Array, path: str) -> Iterator[tuple[textvec.Chunk, PieceCache, np.ndarray, np.ndarray]]:
     """For each chunk: known pieces, the slot of each of its pieces, and the number of pieces before each text."""
     vocabulary, known = tools(path)
     for chunk in textvec.chunks(column):
         at, before = pieces(chunk, vocabulary.special)
         raw = chunk.data.tobytes()
         hashes = chunk.hashes(at[:-1], at[1:], textvec.EXACT)
-        yield chunk, known, known.slots_of(hashes, lambda i: raw[at[i] : at[i + 1]], vocabulary.merged), before  # noqa: B023
+
+        def encode(some):
+            lists = vocabulary.merged([raw[at[i] : at[i + 1]] for i in some.tolist()])  # noqa: B023
+            return np.array([x for ids in lists for x in ids], np.int32), np.array([len(ids) for ids in lists], np.int64)
+
+        yield chunk, known, known.slots_of(chunk.data, at[:-1], at[1:], hashes, encode), before
 
 
 def digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -242,9 +205,8 @@ def digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in batches:
         counts, ids_sha, text_sha = [], [], []
         for chunk, known, slots, before in encoded_chunks(batch.column(1), path):
-            n, d = known.id_n[slots], known.digit_n[slots]
-            ids = known.ids[spread(known.id_at[slots], n)]
-            digits = known.digits[spread(known.digit_at[slots], d)].tobytes()
+            (ids, n), (digits, d) = known.ids_of(slots), known.digits_of(slots)
+            digits = digits.tobytes()
             at = np.concatenate([[0], np.cumsum(n)])[before]
             digit_at = np.concatenate([[0], np.cumsum(d)])[before]
             size = vocabulary.lengths[ids]
@@ -261,8 +223,7 @@ def encode_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
     """(doc_id, text) to (doc_id, ids)."""
     for batch in batches:
         for chunk, known, slots, before in encoded_chunks(batch.column(1), path):
-            n = known.id_n[slots]
-            ids = known.ids[spread(known.id_at[slots], n)].astype(np.int32)
+            ids, n = known.ids_of(slots)
             at = np.concatenate([[0], np.cumsum(n)])[before].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.size).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], ["doc_id", "ids"])
 

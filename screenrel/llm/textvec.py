@@ -6,25 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
+LONG = 64
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 12)
-        have = np.full(size, base, _U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 4 * CHUNK_BYTES:
-            _powers[base] = have
-    return have[:n]
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,16 +23,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def byte_table(fold: bool) -> np.ndarray:
-    """A random-looking 64-bit value for each byte; with fold, A-Z share those of a-z."""
-    codes = np.arange(256, dtype=_U)
-    if fold:
-        codes[65:91] += _U(32)
-    return mix(codes + _U(0x1234567))
-
-
-FOLDED = byte_table(True)
-EXACT = byte_table(False)
+#: What each byte counts as in hashes: itself, or with A-Z as a-z.
+EXACT = np.arange(256, dtype=np.uint8)
+FOLDED = EXACT + np.where((EXACT >= 65) & (EXACT < 91), 32, 0).astype(np.uint8)
+
+
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on (zeros after the end) as one little-endian integer, without a copy for each."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range. Eight bytes at a time go through a full mix, so it is no polynomial, and ranges of equal
+    length up to eight bytes never collide; ranges of more than LONG bytes go through xxh3."""
+    size = ends - starts
+    eight = words_of(data)
+    out = mix(mix(size.astype(_U) + _U(0xD6E8FEB86659FD93 + seed)) ^ (eight[starts] & _MASKS[np.minimum(size, 8)]))
+    live, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        left = size[live] - done
+        out[live] = mix(out[live] ^ (eight[starts[live] + done] & _MASKS[np.minimum(left, 8)]))
+        live, done = live[left > 8], done + 8
+    if len(live := np.flatnonzero(size > LONG)):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[live] = [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(starts[live].tolist(), ends[live].tolist(), strict=True)]
+    return out
+
+
+def hash_runs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of 64-bit values: runs are cut into lengths of powers of two, whose hashes are made by doubling."""
+    size = stops - starts
+    out, at = mix(size.astype(_U) + _U(0xA0761D6478BD642F)), starts.copy()
+    level, step, most = values, 1, int(size.max(initial=0))
+    while step <= most:
+        live = np.flatnonzero(size & step)
+        out[live] = mix(out[live] * _U(0x9E3779B97F4A7C15) ^ level[at[live]])
+        at[live] += step
+        level = mix(level[:-step] * _U(0x9E3779B97F4A7C15) ^ level[step:]) if len(level) > step else level[:0]
+        step *= 2
+    return out
 
 
 class Chunk:
@@ -73,13 +91,9 @@ class Chunk:
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         return starts, ends
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each byte range, equal for equal bytes under the table."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum(table[self.data] * powers(_BASE, n), out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * powers(_BASE_INV, n + 1)[starts]
-        return mix(raw + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        return hash_ranges(self.data if table is EXACT else table[self.data], starts, ends, seed)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +133,12 @@ def shingle_sets(chunk: Chunk, width: int) -> list[np.ndarray]:
     stop = np.repeat(at[1:], np.diff(at))
     index = np.arange(n)
     total = np.zeros(n, _U)
-    for k, factor in enumerate(powers(0xA0761D6478BD642F | 1, width + 1)[1:]):
+    for k in range(width):
         shifted = np.full(n, 0x632BE59BD9B4E019, _U)
         shifted[: max(0, n - k)] = words[k:]
         shifted[index + k >= stop] = 0x632BE59BD9B4E019
-        total += shifted * factor
+        total = (total ^ shifted) * _U(0x9E3779B97F4A7C15)
+        total ^= total >> _U(32)
     keep = index + width <= stop
     keep[at[:-1][(np.diff(at) > 0) & (np.diff(at) < width)]] = True
     picked = np.flatnonzero(keep)

@@ -1,32 +1,27 @@
-"""Token ids in binary files, coded by an adaptive context-mixing range coder.
+"""Token ids in binary files, coded by an adaptive context-mixing range coder (id_coder).
 
 File format. Documents in ascending doc_id are packed into frames of whole documents; a frame is one row of a Parquet
 file (part, seq, n_ids, payload), so any store that Spark writes can hold it. A payload is
 
     header     "TIDS", version, documents, ids, blocks (little-endian unsigned 32-bit each after the magic)
-    documents  doc_id (signed 64-bit) of each, then ids of each (unsigned 32-bit)
-    blocks     coded bytes of each, then crc32 of its ids as little-endian unsigned 32-bit (unsigned 32-bit each)
-    streams    the blocks' coded bytes, one after the other
+    documents  1 or 0 for each, as it has a doc_id or not (a byte each), then doc_id (signed 64-bit), then ids (unsigned 32-bit)
+    blocks     coded bytes of each (unsigned 32-bit)
+    streams    the blocks, one after the other, each with the crc32 of its ids first
 
-Every block has BLOCK ids (the last may have fewer), starts with fresh models and is checked when read.
-
-Coder. Two hashed tables hold the id last seen after the two ids before (order 2) and after the id before (order 1), with
-hit counts. Whether the order-2, else the order-1 prediction is right is a binary decision whose probability mixes, in
-the logistic domain with learnt weights, the rates of both counts and of all hits so far; it is coded only where there is a
-prediction, and order 1 only where it differs from order 2. If none holds, the id is coded by order 0 as four symbols of four
-bits, each by adaptive bounds that depend on the symbols before it. All arithmetic is on integers, so files decode alike
-everywhere. The blocks of a frame are independent and coded in step, one vector lane each.
+Every block has BLOCK ids (the last of a frame may have fewer), starts with fresh models and is checked when read.
 
 Defined cases: a null text is empty and has only the end id; rows that repeat a doc_id are ordered by the hash of their
-text; rows without doc_id come first; other columns are ignored; ids must be below 65,536. Empty tables give no frames.
+text; rows without doc_id come first and keep none; other columns are ignored; ids must be below 65,536. Empty tables give
+no frames.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,270 +29,127 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenrel.llm import textvec
-from screenrel.llm.bpe import Known, spread
+from screenrel.llm import id_coder, textvec
+from screenrel.llm.piece_cache import PieceCache
 from screenrel.llm.shared import written
 
-MAGIC, VERSION = b"TIDS", 2
-BLOCK = 1024
+MAGIC, VERSION = b"TIDS", 3
+BLOCK = 1 << 20
 FRAME = 1 << 22
-TABLE = 10
-ROWS, ROW_BITS, LEAST = 1 + 16 + 256 + 256, 15, 32
-RATE = 4
-WEIGHT_RATE = 10
-TOP, BOTTOM = 1 << 48, 1 << 32
-_U = np.uint64
-
-
-@cache
-def curves() -> tuple[np.ndarray, np.ndarray]:
-    """stretch by probability (12 bits) and squash by stretched value + 2047, as integers from a rule that rounds alike everywhere."""
-    squash = np.array([int(4096 / (1 + 2.718281828459045 ** (-x / 256)) + 0.5) for x in range(-2047, 2048)], np.int32).clip(1, 4095)
-    stretch = np.searchsorted(squash, np.arange(4096)).clip(0, 4094) - 2047
-    return stretch.astype(np.int32), squash
-
 
-@cache
-def targets() -> np.ndarray:
-    """For each symbol of 16, the lower bounds to which a row of bounds moves when the symbol comes."""
-    s, k = np.arange(16)[:, None], np.arange(16)
-    return np.where(k <= s, k * LEAST, (1 << ROW_BITS) - (16 - k) * LEAST).astype(np.int16)
 
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    blocks = [id_coder.encode(ids[k : k + BLOCK]) for k in range(0, len(ids), BLOCK)]
+    head = MAGIC + struct.pack("<4I", VERSION, len(doc_ids), len(ids), len(blocks))
+    known = np.array([x is not None for x in doc_ids], np.uint8)
+    return b"".join([head, known.tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), lengths.astype("<u4").tobytes(), np.array([*map(len, blocks)], "<u4").tobytes(), *blocks])
 
-class Lanes:
-    """Coder and models of all blocks of a frame. Encoding and decoding run the same steps.
 
-    The range coder has 64-bit bounds and moves 16 bits out when the range gets below BOTTOM; where these are not settled by then,
-    the range is cut at the next multiple of BOTTOM, so there is no carry. A state is some lanes with their low, range and value, dense.
-    """
-
-    def __init__(self, lanes: int, streams: list[bytes] | None = None):
-        self.reading = streams is not None
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-        if self.reading:
-            width = max(map(len, streams)) // 2 + 8
-            self.words = np.frombuffer(b"".join(s.ljust(2 * width, b"\0") for s in streams), "<u2").reshape(lanes, width)
-            self.value, self.at = sum(self.words[:, k].astype(_U) << (48 - 16 * k) for k in range(4)), np.full(lanes, 4)
-        else:
-            self.words, self.at, self.value = np.zeros((lanes, BLOCK), "<u2"), np.zeros(lanes, np.int64), self.low
-        self.seen = np.zeros((2, lanes << TABLE), np.uint32)
-        self.rates = np.full(lanes * 66, 2048, np.int32)
-        self.weights = np.full((2, 3, lanes), 1 << 14, np.int32)
-        self.rows = np.tile((np.arange(16) << (ROW_BITS - 4)).astype(np.int16), (lanes * ROWS, 1))
-
-    def load(self, lane: np.ndarray) -> list[np.ndarray]:
-        return [lane, self.low.take(lane), self.range.take(lane), self.value.take(lane) if self.reading else lane]
-
-    def store(self, state: list[np.ndarray]) -> None:
-        lane, self.low[lane], self.range[lane] = state[0], state[1], state[2]
-        if self.reading:
-            self.value[lane] = state[3]
-
-    def settle(self, state: list[np.ndarray]) -> None:
-        """Moves settled bits out of (or new ones into) the state until every range is wide enough."""
-        lane, low, width, value = state
-        while len(ready := (width < BOTTOM).nonzero()[0]):
-            some, lows, wide = lane.take(ready), low.take(ready), width.take(ready)
-            same = (lows ^ (lows + wide)) < TOP
-            at, row = self.at.take(some), self.words.shape[1]
-            if self.reading:
-                value[ready] = value.take(ready) << 16 | self.words.ravel().take(some * row + np.minimum(at, row - 1))
-            else:
-                if at.max() >= row:
-                    self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-                    row *= 2
-                self.words.ravel()[some * row + at] = lows >> 48
-            self.at[some] = at + 1
-            low[ready] = lows << 16
-            width[ready] = np.where(same, wide, (0 - lows) & (BOTTOM - 1)) << 16
-
-    def mixed(self, state: list[np.ndarray], which: int, near: np.ndarray, far: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Whether a prediction holds: rates by its own count, by the other order's and of all, mixed with learnt weights in the logistic domain."""
-        stretch, squash = curves()
-        lane = state[0]
-        rows = lane * 66 + 33 * which
-        places = (rows + near, rows + (16 + far), rows + 32)
-        rates = [self.rates.take(p) for p in places]
-        inputs = [stretch.take(r) for r in rates]
-        weights = [w.take(lane) for w in self.weights[which]]
-        dot = (weights[0] * inputs[0] + weights[1] * inputs[1] + weights[2] * inputs[2]) >> 16
-        chance = squash.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-        share = state[2] >> 12
-        cut = share * chance.astype(_U)
-        if self.reading:
-            bit = state[3] - state[1] < cut
-        state[1] = np.where(bit, state[1], state[1] + cut)
-        state[2] = np.where(bit, cut, (share << 12) - cut)
-        self.settle(state)
-        goal = np.where(bit, np.int32(4095), np.int32(0))
-        error = goal - chance
-        for k in range(3):
-            self.weights[which, k][lane] = np.minimum(np.maximum(weights[k] + (inputs[k] * error >> WEIGHT_RATE), -(1 << 17)), 1 << 17)
-            self.rates[places[k]] = np.maximum(rates[k] + ((goal - rates[k]) >> 4), 1)
-        return bit
-
-    def whole(self, state: list[np.ndarray], ids: np.ndarray | None) -> np.ndarray:
-        """An id by order 0: four symbols of four bits, the upper ones first, each by a row of adaptive bounds."""
-        lane = state[0]
-        base, value, first = lane * ROWS, np.zeros(len(lane), np.int64), np.arange(len(lane)) << 4
-        for depth, (offset, mask) in enumerate(((0, 0), (1, 15), (17, 255), (273, 255))):
-            row = base + (value & mask) + offset
-            bounds = self.rows.take(row, axis=0)
-            share = state[2] >> ROW_BITS
-            if self.reading:
-                point = np.minimum((state[3] - state[1]) // share, (1 << ROW_BITS) - 1).astype(np.int16)
-                below = (bounds <= point[:, None]).view(_U)
-                symbol = ((below[:, 0] + below[:, 1]) * 0x0101010101010101 >> 56).astype(np.int64) - 1
-            else:
-                symbol = ids >> (12 - 4 * depth) & 15
-            at = first + symbol
-            start = bounds.ravel().take(at)
-            stop = np.where(symbol == 15, 1 << ROW_BITS, bounds.ravel().take(at + 1, mode="clip"))
-            state[1] = state[1] + share * start.astype(_U)
-            state[2] = share * (stop - start).astype(_U)
-            self.settle(state)
-            self.rows[row] = bounds + ((targets().take(symbol, axis=0) - bounds) >> RATE)
-            value = value << 4 | symbol
-        return value
-
-    def step(self, lanes: int, one: np.ndarray, two: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id in each of the first lanes, after ids one and two before it. A prediction is coded only where one exists."""
-        base = np.arange(lanes) << TABLE
-        slots = (base + ((two * 40503 + one * 30011 >> 3) & (1 << TABLE) - 1), base + (one * 40503 >> 2 & (1 << TABLE) - 1))
-        held = [self.seen[k].take(slots[k]) for k in range(2)]
-        guesses = [(h >> 4).astype(np.int64) - 1 for h in held]
-        counts = [(h & 15).astype(np.int64) for h in held]
-        out = np.full(lanes, -1) if ids is None else ids
-        open_ = np.ones(lanes, bool)
-        for k in range(2):
-            lane = ((guesses[k] >= 0) & open_ & (guesses[0] != guesses[1]) if k else guesses[0] >= 0).nonzero()[0]
-            if len(lane):
-                state, guess = self.load(lane), guesses[k].take(lane)
-                bit = self.mixed(state, k, counts[k].take(lane), counts[1 - k].take(lane), None if ids is None else ids.take(lane) == guess)
-                self.store(state)
-                right = lane[bit]
-                open_[right] = False
-                if ids is None:
-                    out[right] = guess[bit]
-        lane = open_.nonzero()[0]
-        if len(lane):
-            state = self.load(lane)
-            found = self.whole(state, None if ids is None else ids.take(lane))
-            self.store(state)
-            if ids is None:
-                out[lane] = found
-        for k in range(2):
-            grown = np.where(out == guesses[k], np.minimum(counts[k] + 1, 15), 0)
-            self.seen[k][slots[k]] = (out + 1) << 4 | grown
-        return out
-
-    def streams(self) -> list[bytes]:
-        """The words of all lanes, with the low bounds that are left."""
-        lanes = np.arange(len(self.at))
-        if self.at.max() + 4 > self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros((len(lanes), 4), "<u2")], 1)
-        for k in range(4):
-            self.words[lanes, self.at + k] = self.low >> (48 - 16 * k) & 0xFFFF
-        return [row[: n + 4].tobytes() for row, n in zip(self.words, self.at.tolist(), strict=True)]
-
-
-def coded(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
-    """Streams and checksums of the blocks of some ids."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids must be below 65,536")
-    blocks = -(-len(ids) // BLOCK)
-    if not blocks:
-        return [], []
-    grid = np.zeros((BLOCK + 2, blocks), np.int64)
-    body = np.zeros(blocks * BLOCK, np.int64)
-    body[: len(ids)] = ids
-    grid[2:] = body.reshape(blocks, BLOCK).T
-    last = len(ids) - (blocks - 1) * BLOCK
-    lanes = Lanes(blocks)
-    for k in range(min(BLOCK, len(ids))):
-        n = blocks if k < last else blocks - 1
-        lanes.step(n, grid[k + 1, :n], grid[k, :n], grid[k + 2, :n])
-    raw = ids.astype("<u4").tobytes()
-    return lanes.streams(), [zlib.crc32(raw[4 * k : 4 * (k + BLOCK)]) for k in range(0, len(ids), BLOCK)]
-
-
-def decoded(streams: list[bytes], checks: list[int], n: int) -> np.ndarray:
-    blocks = len(streams)
-    if not blocks:
-        return np.zeros(0, np.uint32)
-    grid = np.zeros((BLOCK + 2, blocks), np.int64)
-    last = n - (blocks - 1) * BLOCK
-    lanes = Lanes(blocks, streams)
-    for k in range(min(BLOCK, n)):
-        m = blocks if k < last else blocks - 1
-        grid[k + 2, :m] = lanes.step(m, grid[k + 1, :m], grid[k, :m], None)
-    ids = grid[2:].T.reshape(-1)[:n].astype("<u4")
-    raw = ids.tobytes()
-    for k, check in enumerate(checks):
-        if zlib.crc32(raw[4 * k * BLOCK : 4 * (k + 1) * BLOCK]) != check:
-            raise ValueError(f"block {k} of a frame is damaged")
-    return ids
-
-
-def pack(doc_ids: list[int], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    streams, checks = coded(ids)
-    head = MAGIC + struct.pack("<4I", VERSION, len(doc_ids), len(ids), len(streams))
-    return b"".join([head, np.array(doc_ids, "<i8").tobytes(), lengths.astype("<u4").tobytes(), np.array([*map(len, streams)], "<u4").tobytes(), np.array(checks, "<u4").tobytes(), *streams])
-
-
-def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(payload: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc_ids, lengths and ids of a frame."""
     version, docs, n, blocks = struct.unpack_from("<4I", payload, 4)
     if payload[:4] != MAGIC or version != VERSION:
         raise ValueError("not a frame of token ids")
     at, parts = 20, []
-    for kind, count in (("<i8", docs), ("<u4", docs), ("<u4", blocks), ("<u4", blocks)):
+    for kind, count in (("u1", docs), ("<i8", docs), ("<u4", docs), ("<u4", blocks)):
         parts.append(np.frombuffer(payload, kind, count, at))
         at += parts[-1].nbytes
-    ends = at + np.cumsum(parts[2].astype(np.int64))
-    streams = [payload[e - s : e] for s, e in zip(parts[2].tolist(), ends.tolist(), strict=True)]
-    return parts[0], parts[1].astype(np.int64), decoded(streams, parts[3].tolist(), n)
+    found = []
+    for k, size in enumerate(parts[3].tolist()):
+        found.append(id_coder.decode(payload[at : at + size], min(BLOCK, n - k * BLOCK)))
+        at += size
+    return pa.array(parts[1].astype(np.int64), mask=parts[0] == 0), parts[2].astype(np.int64), np.concatenate([*found, np.zeros(0, np.uint32)])
 
 
-#: ASCII marks at which a word can be cut: next to an ASCII letter they always begin or end a piece of their own.
-CUTS = np.zeros(256, np.uint8)
-CUTS[[*range(65, 91), *range(97, 123)]] = 1
-CUTS[[*b'.,;:!?$%&#*()"/-']] = 2
+#: 1 for ASCII letters, 2 for ASCII marks at which a word can be cut: next to a letter they always begin or end a piece of their own.
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123)]] = 1
+KINDS[[*b'.,;:!?$%&#*()"/-']] = 2
 WORD_SPACE = np.zeros(256, bool)
 WORD_SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
 _tokenizers: dict = {}
 
 
-def tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+class WordTokenizer:
+    """The tokenizers library's encoder, which sees each distinct word once: it drops white space, and words are independent.
+
+    Words of ASCII and Latin-1 letters alone are each one piece, which lower case is all that the normaliser changes in. They are
+    encoded many at a time without normaliser and pattern; a piece's last id is one that ends a word.
+    """
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _tokenizers[path] = (tok, Known())
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tok in (self.whole, self.bare):
+            tok.no_truncation()
+            tok.no_padding()
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.whole.get_vocab_size() + 1, bool)
+        self.ends[[k for token, k in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
+        self.lettered, self.other = PieceCache(), PieceCache()
+
+    def one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.array([x for ids in lists for x in ids], np.int32), np.array([len(ids) for ids in lists], np.int64)
+
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), 256):
+            some = words[k : k + 256]
+            found = np.array(self.bare.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) != len(some) or stops[-1] != len(found):
+                found, counts = self.one_by_one(some)
+            else:
+                counts = np.diff(stops, prepend=0)
+            ids.append(found)
+            n.append(counts)
+        return np.concatenate(ids), np.concatenate(n)
+
+    def chunk_ids(self, chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a chunk's texts, one after the other, and the number of each."""
+        data = chunk.data
+        kind, low = KINDS[data], textvec.FOLDED[data]
+        pairs = np.flatnonzero(data[:-1] == 0xC3)
+        pairs = pairs[(data[pairs + 1] != 0x97) & (data[pairs + 1] != 0xB7)]  # the two signs among these letters
+        kind[pairs] = kind[pairs + 1] = 1
+        low[pairs + 1] += np.where(data[pairs + 1] < 0x9F, 32, 0).astype(np.uint8)
+        solid = ~WORD_SPACE[data]
+        parted = np.zeros(len(data) + 1, bool)  # before these bytes a word ends if one is there
+        parted[chunk.offsets] = True
+        parted[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        parted[:-1] |= ~solid
+        parted[1:] |= ~solid
+        starts, ends = np.flatnonzero(solid & parted[:-1]), np.flatnonzero(solid & parted[1:]) + 1
+        strange = np.concatenate([[0], np.cumsum(kind != 1, dtype=np.int32)])
+        plain = strange[ends] == strange[starts]
+        n, flat = np.zeros(len(starts), np.int64), []
+        for which, text, cache, encode in ((plain, low, self.lettered, self.together), (~plain, data, self.other, self.one_by_one)):
+            a, b = starts[which], ends[which]
+            raw = text.tobytes()
+            slots = cache.slots_of(text, a, b, textvec.hash_ranges(text, a, b), lambda some: encode([raw[x:y] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]))  # noqa: B023
+            found, n[which] = cache.ids_of(slots)
+            flat.append(found)
+        own = np.repeat(plain, n)
+        ids = np.empty(len(own), np.int32)
+        ids[own], ids[~own] = flat
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, chunk.offsets)])
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
 def token_ids(column: pa.Array, path: str, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of some texts, with the end id after each, and ids of each text. The tokenizer drops white space, so it sees each distinct word once."""
-    tok, known = tokenizer(path)
+    """Ids of some texts, with the end id after each, and ids of each text."""
     for chunk in textvec.chunks(column):
-        kind = CUTS[chunk.data]
-        cut = np.zeros(len(kind) + 1, bool)
-        cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
-        starts, ends = chunk.runs(~WORD_SPACE[chunk.data])
-        inner = np.flatnonzero(cut[:-1])
-        inner = inner[np.searchsorted(starts, inner, "right") > np.searchsorted(ends, inner, "right")]
-        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
-        keep = starts < ends
-        starts, ends = starts[keep], ends[keep]
-        raw = chunk.data.tobytes()
-        slots = known.slots_of(chunk.hashes(starts, ends, textvec.EXACT), lambda i: raw[starts[i] : ends[i]].decode(), lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)])  # noqa: B023
-        n = known.id_n[slots]
-        ids = known.ids[spread(known.id_at[slots], n)]
-        at = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, chunk.offsets)]
-        yield np.insert(ids, at[1:], end), np.diff(at) + 1
+        ids, n = tokenizer(path).chunk_ids(chunk)
+        yield np.insert(ids, np.cumsum(n), end), n + 1
 
 
 FRAMES = "part bigint, seq bigint, n_ids bigint, payload binary"
@@ -315,7 +167,7 @@ def frames(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[p
         return batch
 
     for batch in batches:
-        names, first = batch.column(0).fill_null(-1).to_pylist(), 0
+        names, first = batch.column(0).to_pylist(), 0
         for flat, lengths in token_ids(batch.column(1), path, end):
             docs += names[first : first + len(lengths)]
             first += len(lengths)
@@ -343,7 +195,7 @@ def read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(lengths)
             raw = memoryview(ids.tobytes())
             checks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(base + ends - lengths), pa.array(lengths), pa.array(checks, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(base + ends - lengths), pa.array(lengths), pa.array(checks, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_ids(stored: DataFrame) -> DataFrame:
