@@ -1,20 +1,22 @@
 """N-gram Jaccard join: a count-vector R-tree over the documents' shingle sets.
 
-Method. Each distinct shingle set is a point: its hashes are dealt into 65,536 groups and the group counts are the
-coordinates, kept sparse. Trees have GROUPS coordinates, to which the others fold by addition. The overlap of two sets is at
-most the sum of the coordinate minima, so a tree node whose box bounds that sum below the overlap that the threshold asks for
-is pruned, and so is a pair by its whole coordinates. One tree over all points would not scale, so the tree is
-sharded: under any fixed order of hashes, sets above the threshold share one of their first hashes (prefix), each of which
-names a shard. The order puts frequent hashes last, so that passages which many texts hold name few shards. What is found
-frequent (FREQUENT hashes at most, of counts over all texts) changes the work and never the links. Surviving pairs are
-verified on the whole sets.
+Method. Each distinct shingle set is a point: its hashes are dealt into groups, one for two hashes or more (a power of two, GROUPS at
+least), and the group counts, of four bits each, are the coordinates. Trees have GROUPS coordinates, to which the others fold by
+addition. The overlap of two sets is at most the sum of the coordinate minima, so a tree node whose box bounds that sum below the
+overlap that the threshold asks for is pruned, and so is a pair by all coordinates that both have. One tree over all points would
+not scale, so the tree is sharded: under any fixed order of hashes, sets above the threshold share one of their first hashes
+(prefix), each of which names a shard. The order puts frequent hashes last, so that passages which many texts hold name few
+shards. What is found frequent (FREQUENT hashes at most, of counts over all texts) changes the work and never the links.
+Surviving pairs are verified on the whole sets, whose words and shingles are then compared by themselves, not by hash.
 
 No pairs are listed within groups of copies: equal sets are one point, and the first round compares each point of a shard
-with its first and last point only, verifies and merges components. The second round compares whatever is still in
-different components, which makes the result complete. Shards above HOT points are dealt into cells of bounded size then.
+with two of its points only, verifies and merges components. The second round compares whatever is still in
+different components, which makes the result complete. There, shards above HOT points are ordered by size, cut into chunks of HOT
+points, and dealt into cells of two chunks each whose sizes allow links. Shards are read sorted, so a task holds one at a time.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing (component_id is the own doc_id).
-Rows that repeat a doc_id are separate texts that report the same doc_id. An empty table gives no rows. Other columns of the
+doc_ids are below 2**62. Rows that repeat a doc_id are separate texts that report the same doc_id. Of rows without doc_id, the component is the least doc_id of
+the others in it, null if it has none; they link others all the same. An empty table gives no rows. Other columns of the
 input are ignored and may have any name.
 """
 
@@ -30,21 +32,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenrel.llm import textvec
-from screenrel.llm.shared import forget, release, written
+from screenrel.llm.shared import forget, probable, release, written
 
 GROUPS = 64
 HOT = 4096
 FANOUT = 16
+SALTS = (0x51, 0xA7)
 FREQUENT = 1 << 16
 RUN = 1 << 20
 FEW = 4
-MAX_BITS = 1 << 25
+MOST_GROUPS = 1 << 16
+UNNAMED = 1 << 62
+TOP = 15
 _U = np.uint64
 
-POINTS = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, counts binary, prefix array<bigint>"
+POINTS = "doc_id bigint, tag bigint, n_shingles bigint, sig1 bigint, sig2 bigint, counts binary, prefix array<bigint>"
 PAIRS = "a bigint, b bigint"
 
 
+def count_vectors(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The count vector of each of some sets, whose hashes follow one another: four bits a group, the even one of two in the lower half."""
+    dims = np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+    dims = np.minimum(dims, MOST_GROUPS)
+    groups, owner = (flat >> _U(20)).astype(np.int64) & (MOST_GROUPS - 1), np.repeat(np.arange(len(n)), n)
+    while True:
+        at = np.concatenate([[0], np.cumsum(dims)])
+        counts = np.bincount(at[owner] + (groups & (dims[owner] - 1)), minlength=at[-1])
+        full = np.zeros(len(n), bool)
+        full[np.searchsorted(at, np.flatnonzero(counts > TOP), "right") - 1] = True
+        full &= dims < MOST_GROUPS
+        if not full.any():
+            break
+        dims = np.where(full, 2 * dims, dims)
+    counts = np.minimum(counts, TOP).astype(np.uint8)
+    packed = (counts[::2] | counts[1::2] << 4).tobytes()
+    return [packed[a // 2 : b // 2] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap that a set of this size must have with any partner: ceil(percent * size / 100)."""
     return -(-sizes * percent // 100)
@@ -88,14 +112,14 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int, las
     known, places = last.value
     for batch in batches:
         ids = batch.column(0)
-        for chunk in textvec.chunks(batch.column(1)):
+        for chunk in textvec.chunks(batch.column(2)):
             sets = textvec.shingle_sets(chunk, width)
             n = np.array([len(s) for s in sets], np.int64)
             owner = np.repeat(np.arange(len(sets)), n)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, _U)
             ends = np.concatenate([[0], np.cumsum(n)])
-            coordinates = np.sort((owner << 16).astype(_U) | (flat >> _U(20) & _U(0xFFFF))).astype("<u2").tobytes()
-            sums = [np.concatenate([np.zeros(1, _U), np.cumsum(textvec.mix(flat ^ _U(salt)), dtype=_U)]) for salt in (0x51, 0xA7)]
+            vectors = count_vectors(flat, n)
+            sums = [np.concatenate([np.zeros(1, _U), np.cumsum(textvec.mix(flat ^ _U(salt)), dtype=_U)]) for salt in SALTS]
             sig1, sig2 = ((s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
@@ -106,56 +130,82 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int, las
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(chunk.first, len(sets)).cast(pa.int64()),
+                    batch.column(1).slice(chunk.first, len(sets)),
                     pa.array(n),
                     pa.array(sig1),
                     pa.array(sig2),
-                    pa.array([coordinates[2 * i : 2 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()),
+                    pa.array(vectors, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat[picked].view(np.int64))),
                 ],
-                ["doc_id", "n_shingles", "sig1", "sig2", "counts", "prefix"],
+                ["doc_id", "tag", "n_shingles", "sig1", "sig2", "counts", "prefix"],
             )
 
 
-ENTRIES = "key bigint, point bigint, n bigint, head bigint, head_n bigint, tail bigint, tail_n bigint, shard_size bigint, rank bigint"
+ENTRIES = "key bigint, point bigint, n bigint, head bigint, head_n bigint, tail bigint, tail_n bigint, shard_size bigint, rank bigint, low bigint, high bigint"
 
 
-def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, point, n) that hold all points of some shards: those of shards with two points or more, with the shard's first and last point, its size, and the point's rank in it.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Sorted batches cut anew, so that rows equal in the first columns are never parted; about this many rows at a time."""
+    held, size, enough = [], 0, rows
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size < enough:
+            continue
+        table = pa.Table.from_batches(held)
+        last = np.flatnonzero(np.logical_and.reduce([table.column(k).to_numpy() == table.column(k)[-1].as_py() for k in range(keys)]))[0]
+        if last:
+            yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+            size = table.num_rows - last
+        enough = max(rows, 2 * size)  # a large group is looked through a few times only
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, point, n) in the order of keys: those of shards with two points or more, with the shard's first and last point, its size, the point's rank by size in it, and the first and last chunk of HOT ranks whose sizes allow links with its own chunk.
 
     Near copies share many shards of the same points, so the key becomes a hash of these: one such shard is enough.
     """
-    tables = list(batches)
-    if not tables:
-        return
-    whole = pa.Table.from_batches(tables)
-    key, point, n = (whole.column(i).to_numpy() for i in range(3))
-    order = np.lexsort((point, key))
-    key, point, n = key[order], point[order], n[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([start, [len(key)]]))
-    rank = np.arange(len(key)) - np.repeat(start, size)
-    head, tail = np.repeat(start, size), np.repeat(start + size - 1, size)
-    keep = np.repeat(size, size) > 1
-    members = np.add.reduceat(textvec.mix(point.view(_U) ^ _U(0x3D)), start) if len(key) else np.zeros(0, _U)
-    key = np.repeat(members.view(np.int64), size)
-    columns = (key, point, n, point[head], n[head], point[tail], n[tail], np.repeat(size, size), rank)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in columns], [c.split()[0] for c in ENTRIES.split(", ")])
+    for table in whole_groups(batches, 1):
+        key, point, n = (table.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((point, n, key))
+        key, point, n = key[order], point[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([start, [len(key)]]))
+        keep = np.repeat(size, size) > 1
+        key, point, n, size = key[keep], point[keep], n[keep], size[size > 1]
+        if not len(key):
+            continue
+        start = np.cumsum(size) - size
+        rank = np.arange(len(key)) - np.repeat(start, size)
+        by_point = np.lexsort((point, np.repeat(start, size)))
+        head, tail = (np.repeat(by_point[x], size) for x in (start, start + size - 1))
+        members = np.add.reduceat(textvec.mix(point.view(_U) ^ _U(0x3D)), start)
+        low, high = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for k in np.flatnonzero(size > HOT).tolist():
+            own = n[start[k] : start[k] + size[k]]
+            least = own[::HOT]
+            most = own[np.minimum(np.arange(HOT - 1, len(own) + HOT - 1, HOT), len(own) - 1)][: len(least)]
+            chunk = rank[start[k] : start[k] + size[k]] // HOT
+            high[start[k] : start[k] + size[k]] = (np.searchsorted(least * percent, most * 100, "right") - 1)[chunk]
+            low[start[k] : start[k] + size[k]] = np.searchsorted(most * 100, least * percent, "left")[chunk]
+        columns = (np.repeat(members.view(np.int64), size), point, n, point[head], n[head], point[tail], n[tail], np.repeat(size, size), rank, low, high)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [c.split()[0] for c in ENTRIES.split(", ")])
 
 
 def live_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, label, ...) that hold whole shards: those of shards with points of different components."""
-    tables = list(batches)
-    if not tables:
-        return
-    whole = pa.Table.from_batches(tables)
-    key, label = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-    order = np.lexsort((label, key))
-    key, label = key[order], label[order]
-    fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    start = np.flatnonzero(fresh)
-    stop = np.concatenate([start[1:], [len(key)]])
-    keep = np.repeat(label[start] != label[stop - 1], stop - start) if len(key) else fresh
-    yield from whole.take(pa.array(order[keep])).to_batches(max_chunksize=1 << 16)
+    """Of rows (key, label, ...) in the order of keys: those of shards with points of different components."""
+    for table in whole_groups(batches, 1):
+        key, label = table.column(0).to_numpy(), table.column(1).to_numpy()
+        order = np.lexsort((label, key))
+        key, label = key[order], label[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        stop = np.concatenate([start[1:], [len(key)]])
+        keep = np.repeat(label[start] != label[stop - 1], stop - start)
+        yield from table.take(pa.array(order[keep])).to_batches(max_chunksize=1 << 16)
 
 
 def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -168,46 +218,51 @@ def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class Points:
-    """Count vectors of some points, each the sorted coordinates of its shingles."""
+    """Count vectors of some points."""
 
     def __init__(self, column: pa.Array, sizes: np.ndarray):
         raw, offsets = textvec.buffers(column)
-        self.flat, self.at = np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), "<u2"), (offsets - offsets[0]) // 2
-        self.sizes = sizes
+        self.raw, self.at = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        self.dims, self.sizes = 2 * np.diff(self.at), sizes
+
+    def rows(self, which: np.ndarray, dims: int, to: int) -> np.ndarray:
+        """Vectors of points that all have dims coordinates, folded to fewer."""
+        packed = self.raw[self.at[which][:, None] + np.arange(dims // 2)]
+        out = np.empty((len(which), dims), np.uint8)
+        out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+        return out if to == dims else out.reshape(len(which), dims // to, to).sum(1, dtype=np.uint16)
 
     def coarse(self) -> np.ndarray:
         """All vectors folded to GROUPS coordinates."""
         out = np.zeros((len(self.sizes), GROUPS), np.int32)
-        for i, j in runs(self.at):
-            owner = np.repeat(np.arange(j - i) * GROUPS, np.diff(self.at[i : j + 1]))
-            out[i:j] = np.bincount(owner + self.flat[self.at[i] : self.at[j]] % GROUPS, minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
+        for dims in np.unique(self.dims).tolist():
+            which, step = np.flatnonzero(self.dims == dims), max(1, RUN // dims)
+            for i in range(0, len(which), step):
+                out[which[i : i + step]] = self.rows(which[i : i + step], dims, GROUPS)
         return out
 
-    def own(self, k: int) -> np.ndarray:
-        """A vector as distinct codes: each coordinate with 0, 1, ... below its count, so that shared codes are the sum of minima."""
-        values = self.flat[self.at[k] : self.at[k + 1]].astype(np.int64)
-        return values << 32 | np.arange(len(values)) - np.searchsorted(values, values)
-
     def allowed(self, coarse: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Whether the sizes and the summed coordinate minima, first of folded and then of whole vectors, allow a link."""
+        """Whether the sizes and the summed coordinate minima, first of folded vectors and then of all coordinates that both have, allow a link."""
         out = np.zeros(len(a), bool)
         for i in range(0, len(a), 8192):
             x, y = a[i : i + 8192], b[i : i + 8192]
             need = pair_needed(self.sizes[x], self.sizes[y], percent)
             out[i : i + 8192] = (np.minimum(self.sizes[x], self.sizes[y]) >= need) & (np.minimum(coarse[x], coarse[y]).sum(1) >= need)
-        codes, held = {}, 0
-        for k in np.flatnonzero(out).tolist():
-            x, y = int(a[k]), int(b[k])
-            if held > RUN:
-                codes, held = {}, 0
-            for z in (x, y):
-                if z not in codes:
-                    codes[z] = self.own(z)
-                    held += len(codes[z])
-            both = np.concatenate((codes[x], codes[y]))
-            both.sort()
-            out[k] = np.count_nonzero(both[1:] == both[:-1]) >= pair_needed(self.sizes[x], self.sizes[y], percent)
-        return out
+        left = np.flatnonzero(out)
+        shapes = self.dims[a[left]] << 32 | self.dims[b[left]]
+        for shape in np.unique(shapes).tolist():
+            first, second = shape >> 32, shape & 0xFFFFFFFF
+            to, some = min(first, second), left[shapes == shape]
+            step = max(1, RUN // max(first, second))
+            for i in range(0, len(some), step):
+                part = some[i : i + step]
+                x, y = a[part], b[part]
+                both = np.minimum(self.rows(x, first, to), self.rows(y, second, to)).sum(1, dtype=np.int64)
+                out[part] = both >= pair_needed(self.sizes[x], self.sizes[y], percent)
+        # where so many hashes share a group that its count is cut off at MOST_GROUPS groups, nothing is bounded
+        whole = np.flatnonzero(self.dims == MOST_GROUPS)
+        cut = whole[[(self.rows(np.array([k]), MOST_GROUPS, MOST_GROUPS) == TOP).any() for k in whole.tolist()]] if len(whole) else whole
+        return out | np.isin(a, cut) | np.isin(b, cut) if len(cut) else out
 
 
 def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,43 +310,54 @@ def within_bounds(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
 
 
 def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs that the trees of whole shards (or cells of hot shards) leave. Points of one component are never paired."""
-    tables = list(batches)
-    if not tables:
-        return
-    whole = pa.Table.from_batches(tables).combine_chunks()
-    key, cell, point, size, label, half = (whole.column(c).to_numpy() for c in ("key", "cell", "point", "n", "label", "half"))
-    order = np.lexsort((point, cell, key))
-    key, cell, point, size, label, half = (x[order] for x in (key, cell, point, size, label, half))
-    counts = whole.column("counts").combine_chunks()
-    counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
-    del tables, whole
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]) if len(key) else np.zeros(0, bool)
-    start = np.flatnonzero(fresh)
-    stop = np.concatenate([start[1:], [len(key)]])
-    volume = np.concatenate([[0], np.cumsum(size)])[np.concatenate([start, stop[-1:]])]
-    for i, j in runs(volume):
-        rows = np.arange(start[i], stop[j - 1])
-        length = stop[i:j] - start[i:j]
-        n, ids, tags, side = size[rows], point[rows], label[rows], half[rows]
-        points = Points(counts.take(pa.array(order[rows])), n)
-        vec = points.coarse()
-        base = np.concatenate([[0], np.cumsum(length)])
-        pairs = [(np.zeros(0, np.int64),) * 2]
-        for m in np.unique(length[length <= FANOUT]):
-            x, y = np.triu_indices(m, 1)
-            at = base[:-1][length == m]
-            pairs.append(((at[:, None] + x).ravel(), (at[:, None] + y).ravel()))
-        for k in np.flatnonzero(length > FANOUT):
-            x, y = tree_pairs(vec[base[k] : base[k + 1]], n[base[k] : base[k + 1]], percent)
-            pairs.append((x + base[k], y + base[k]))
-        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        keep = (tags[a] != tags[b]) & ((side[a] != side[b]) | (side[a] == 2))
-        a, b = a[keep], b[keep]
-        keep = points.allowed(vec, a, b, percent)
-        x, y = ids[a[keep]], ids[b[keep]]
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    """All pairs that the trees of shards (or cells of hot shards) leave, in the order of key and cell. Points of one component are never paired."""
+    for table in whole_groups(batches, 2, 1 << 13):
+        key, cell, point, size, label, half = (table.column(c).to_numpy() for c in ("key", "cell", "point", "n", "label", "half"))
+        counts = table.column("counts").combine_chunks()
+        counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        stop = np.concatenate([start[1:], [len(key)]])
+        for i, j in runs(np.concatenate([start, stop[-1:]]) * GROUPS):
+            rows = np.arange(start[i], stop[j - 1])
+            length = stop[i:j] - start[i:j]
+            n, ids, tags, side = size[rows], point[rows], label[rows], half[rows]
+            points = Points(counts.slice(int(start[i]), len(rows)), n)
+            vec = points.coarse()
+            base = np.concatenate([[0], np.cumsum(length)])
+            pairs = [(np.zeros(0, np.int64),) * 2]
+            for m in np.unique(length[length <= FANOUT]):
+                x, y = np.triu_indices(m, 1)
+                at = base[:-1][length == m]
+                pairs.append(((at[:, None] + x).ravel(), (at[:, None] + y).ravel()))
+            for k in np.flatnonzero(length > FANOUT):
+                x, y = tree_pairs(vec[base[k] : base[k + 1]], n[base[k] : base[k + 1]], percent)
+                pairs.append((x + base[k], y + base[k]))
+            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            keep = (tags[a] != tags[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            a, b = a[keep], b[keep]
+            keep = points.allowed(vec, a, b, percent)
+            x, y = ids[a[keep]], ids[b[keep]]
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def exact_sets(texts: pa.Array, width: int) -> list[np.ndarray] | list[set]:
+    """Shingle sets of some texts, comparable with one another: hashes if no two different words or shingles of these share one, else the shingles."""
+    raw, offsets = textvec.buffers(texts)
+    chunk = textvec.Chunk(0, textvec.FOLDED[raw[offsets[0] : offsets[-1]]], offsets - offsets[0])
+    starts, ends = chunk.runs(~textvec.SPACES[chunk.data])
+    words = chunk.hashes(starts, ends, textvec.EXACT)
+    _, first, symbol = np.unique(words, return_index=True, return_inverse=True)
+    size = ends - starts
+    alike = bool((size == size[first][symbol]).all()) and bool(textvec.same_bytes(chunk.data, starts, size, np.concatenate([chunk.data, np.zeros(8, np.uint8)]), starts[first][symbol]).all())
+    if alike:
+        at, values = textvec.shingles(chunk, width, words, starts)
+        rows = np.stack([np.where(k < at[1], symbol[np.minimum(at[0] + k, len(symbol) - 1)], -1) for k in range(width)], 1) if len(values) else np.zeros((0, width), np.int64)
+        _, first, inverse = np.unique(values, return_index=True, return_inverse=True)
+        if (rows == rows[first][inverse]).all():
+            return textvec.shingle_sets(chunk, width)
+    parts = [[x.tobytes() for x in (chunk.data[s:e] for s, e in zip(starts[i:j], ends[i:j], strict=True))] for i, j in zip(np.searchsorted(starts, chunk.offsets[:-1]), np.searchsorted(starts, chunk.offsets[1:]), strict=True)]
+    return [{tuple(p[k : k + width]) for k in range(max(1, len(p) - width + 1))} if p else set() for p in parts]
 
 
 def verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -301,9 +367,9 @@ def verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
         keep = np.zeros(len(a), bool)
         for i in range(0, len(a), 64):
             part = batch.slice(i, 64)
-            left, right = ([s for c in textvec.chunks(part.column(k)) for s in textvec.shingle_sets(c, width)] for k in (2, 3))
-            for k, (x, y) in enumerate(zip(left, right, strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            sets = exact_sets(pa.concat_arrays([part.column(k).cast(pa.large_string()) for k in (2, 3)]), width)
+            for k, (x, y) in enumerate(zip(sets[: part.num_rows], sets[part.num_rows :], strict=True)):
+                both = len(x & y) if isinstance(x, set) else len(np.intersect1d(x, y, assume_unique=True))
                 keep[i + k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
@@ -326,28 +392,20 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def own_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of (point, text), the rows whose text has the shingle set that the point names."""
+    """Of (point, sig1, sig2, text), (point, text) of the rows whose text has the shingle set of these sums."""
     for batch in batches:
-        sums = [int(textvec.mix(s ^ _U(0x51)).sum(dtype=_U)) for c in textvec.chunks(batch.column(1)) for s in textvec.shingle_sets(c, width)]
-        keep = np.array(sums, _U).view(np.int64) == batch.column(0).to_numpy()
-        yield batch.filter(pa.array(keep))
-
-
-def probable(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is, or by a hash collision may be, among ids. Only a bitmap is broadcast: MAX_BITS / 64 rows at most; a full one lets more rows through, no fewer."""
-    bits = min(MAX_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask"))
-    marked = docs.withColumn("slot", slot).join(F.broadcast(words), F.expr("slot div 64 = word"))
-    return marked.where("mask & shiftleft(1L, cast(slot % 64 as int)) <> 0").select(*docs.columns)
+        sums = [[int(textvec.mix(s ^ _U(salt)).sum(dtype=_U)) for salt in SALTS] for c in textvec.chunks(batch.column(3)) for s in textvec.shingle_sets(c, width)]
+        found = np.array(sums, _U).view(np.int64).reshape(-1, 2)
+        keep = (found[:, 0] == batch.column(1).to_numpy()) & (found[:, 1] == batch.column(2).to_numpy())
+        yield batch.select([0, 3]).filter(pa.array(keep))
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of some pairs of points whose whole shingle sets link; only the texts of these pairs are fetched."""
     wanted = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct()
-    wanted = written(points.join(wanted, "point", "left_semi").select("point", "doc_id"), "wanted")
-    texts = probable(docs, wanted).join(wanted, "doc_id").select("point", "text")
-    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string"), "texts")
+    wanted = written(points.join(wanted, "point", "left_semi").select("point", "doc_id", "sig1", "sig2"), "wanted")
+    texts = probable(docs, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("point", "sig1", "sig2", "text")
+    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string").dropDuplicates(["point"]), "texts")
     release(docs.sparkSession)
     both = pairs.join(texts.select(F.col("point").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("point").alias("b"), F.col("text").alias("right")), "b")
     links = written(both.select("a", "b", "left", "right").mapInArrow(partial(verify, width=width, percent=percent), PAIRS), "links")
@@ -357,20 +415,22 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, p
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links of similarity >= percent/100) for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity >= percent/100) and tag (xxhash64 of the text) for each row of docs (doc_id, text)."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("doc_id"), "text")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = spark.sparkContext.broadcast(last_in_order(docs, width))
-    points = written(docs.mapInArrow(partial(make_points, width=width, percent=percent, last=last), POINTS), "points")
-    sets = written(points.select("doc_id", "n_shingles", "sig1", "sig2"), "sets")
+    points = written(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(partial(make_points, width=width, percent=percent, last=last), POINTS), "points")
+    sets = written(points.select("doc_id", "tag", "n_shingles", "sig1", "sig2"), "sets")
     classes = sets.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("first"))
-    firsts = points.join(classes.select("sig1", F.col("first").alias("doc_id")), ["sig1", "doc_id"], "left_semi").select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts", "prefix")
-    entries = firsts.select(F.explode("prefix").alias("key"), "point", "n").repartition(parts, "key")
-    entries = written(entries.mapInArrow(shared_keys, ENTRIES).dropDuplicates(["key", "point"]), "entries")
+    classes = written(classes.withColumn("point", F.monotonically_increasing_id()), "classes")
+    own = classes.select("sig1", "sig2", F.col("first").alias("doc_id"), "point")
+    firsts = points.select("sig1", "sig2", "doc_id", F.col("n_shingles").alias("n"), "prefix").join(own, ["sig1", "sig2", "doc_id"])
+    entries = firsts.select(F.explode("prefix").alias("key"), "point", "n").repartition(parts, "key").sortWithinPartitions("key")
+    entries = written(entries.mapInArrow(partial(shared_keys, percent=percent), ENTRIES).dropDuplicates(["key", "point"]), "entries")
     release(spark)
-    chosen = classes.select(F.col("sig1").alias("point"), F.col("first").alias("doc_id")).join(entries.select("point").distinct(), "point", "left_semi")
-    suspects = points.select(F.col("sig1").alias("point"), "doc_id", F.col("n_shingles").alias("n"), "counts").join(chosen, ["point", "doc_id"], "left_semi")
+    chosen = own.join(entries.select("point").distinct(), "point", "left_semi")
+    suspects = points.select("sig1", "sig2", "doc_id", F.col("n_shingles").alias("n"), "counts").join(chosen, ["sig1", "sig2", "doc_id"])
     suspects = written(suspects.dropDuplicates(["point"]), "suspects")
     forget(points)
     release(spark)
@@ -385,20 +445,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     labels = components(verified(stars, suspects, docs, width, percent), labels)
 
     # the stars hold all pairs of a shard of three points
-    live = entries.where("shard_size > 3").join(labels, "point").select("key", "label", "point", "shard_size", "rank").repartition(parts, "key")
-    live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, shard_size bigint, rank bigint"), "live")
+    live = entries.where("shard_size > 3").join(labels, "point").select("key", "label", "point", "rank", "low", "high").repartition(parts, "key").sortWithinPartitions("key")
+    live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, rank bigint, low bigint, high bigint"), "live")
     forget(entries)
     release(spark)
     # a shard of more than HOT points is dealt into cells of two chunks each; half tells the chunks apart, 2 is a cell of one chunk
-    rows = live.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr(f"sequence(0L, (shard_size - 1) div {HOT})"))).join(suspects.drop("doc_id"), "point")
+    rows = live.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr("sequence(low, high)"))).join(suspects.select("point", "n", "counts"), "point")
     cell = F.least("chunk", "other") * 1000003 + F.greatest("chunk", "other")
     half = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
     rows = rows.select("key", cell.alias("cell"), "point", "n", "label", half.cast("bigint").alias("half"), "counts")
-    pairs = written(rows.repartition(parts, "key", "cell").mapInArrow(partial(shard_pairs, percent=percent), PAIRS).distinct(), "pairs")
+    pairs = rows.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(partial(shard_pairs, percent=percent), PAIRS)
+    pairs = written(pairs.distinct(), "pairs")
     release(spark)
     labels = components(verified(pairs, suspects, docs, width, percent), labels)
 
-    least = labels.join(classes.select(F.col("sig1").alias("point"), "first"), "point").groupBy("label").agg(F.min("first").alias("least"))
-    merged = labels.join(least, "label").select(F.col("point").alias("sig1"), "least")
-    found = classes.join(merged, "sig1", "left").select("sig1", "sig2", F.coalesce("least", "first").alias("component_id"))
-    return sets.join(found, ["sig1", "sig2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = labels.join(classes.select("point", "first"), "point").groupBy("label").agg(F.min("first").alias("least"))
+    merged = labels.join(least, "label").select("point", "least")
+    found = classes.join(merged, "point", "left").select("sig1", "sig2", F.coalesce("least", "first").alias("component_id"))
+    found = sets.join(found, ["sig1", "sig2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    doc, component = (F.when(F.col(c) < UNNAMED, F.col(c)).alias(c) for c in ("doc_id", "component_id"))
+    return found.select(doc, "n_shingles", component, "tag")

@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-from screenrel.llm.textvec import LONG, words_of
+from screenrel.llm.textvec import same_bytes
 
 MAX_KNOWN = 1 << 20
 TABLE_BITS = 22
 MAX_BYTES = 1 << 26
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -96,20 +95,11 @@ class PieceCache:
 
     def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Whether each piece differs from the one in its slot, by their bytes."""
-        size, there = ends - starts, self.raw_at.room[slots]
+        size = ends - starts
         out = size != self.length.room[slots]
         self.raw.reserve(8)
-        mine, theirs = words_of(data), np.ndarray(len(self.raw.room) - 7, "<u8", self.raw.room.data, 0, (1,))
-        live, done = np.flatnonzero(~out & (size > 0)), 0
-        while len(live):
-            long = size[live] > LONG
-            for i in live[long].tolist() if done == 0 else ():
-                a, b, s = starts[i], there[i], size[i]
-                out[i] = not np.array_equal(data[a : a + s], self.raw.room[b : b + s])
-            live = live[~long]
-            mask = _MASKS[np.minimum(size[live] - done, 8)]
-            out[live] |= ((mine[starts[live] + done] ^ theirs[there[live] + done]) & mask) != 0
-            live, done = live[size[live] > done + 8], done + 8
+        alike = np.flatnonzero(~out)
+        out[alike] = ~same_bytes(data, starts[alike], size[alike], self.raw.room, self.raw_at.room[slots[alike]])
         return out
 
     def slots_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -52,6 +52,21 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return out
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Whether each byte range of data equals the one of the same size in other, of which eight bytes more than the last range can be read."""
+    out = np.ones(len(starts), bool)
+    mine, theirs = words_of(data), np.ndarray(max(0, len(other) - 7), "<u8", other.data, 0, (1,))
+    long = sizes > LONG
+    for i in np.flatnonzero(long).tolist():
+        out[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[there[i] : there[i] + sizes[i]])
+    live, done = np.flatnonzero(~long & (sizes > 0)), 0
+    while len(live):
+        mask = _MASKS[np.minimum(sizes[live] - done, 8)]
+        out[live] &= ((mine[starts[live] + done] ^ theirs[there[live] + done]) & mask) == 0
+        live, done = live[sizes[live] > done + 8], done + 8
+    return out
+
+
 def hash_runs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of 64-bit values: runs are cut into lengths of powers of two, whose hashes are made by doubling."""
     size = stops - starts
@@ -124,13 +139,11 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingle_sets(chunk: Chunk, width: int) -> list[np.ndarray]:
-    """For each text, the sorted distinct hashes of its runs of `width` words (all words, if fewer); words are cut at ASCII space."""
-    starts, ends = chunk.runs(~SPACES[chunk.data])
-    words = chunk.hashes(starts, ends, FOLDED)
+def shingles(chunk: Chunk, width: int, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words with their hashes: first word and number of words of each run of `width` words (all words, if a text has fewer), and the hash of the run."""
     at = np.searchsorted(starts, chunk.offsets)  # first word of each text
-    n = len(words)
-    stop = np.repeat(at[1:], np.diff(at))
+    n, size = len(words), np.diff(at)
+    stop = np.repeat(at[1:], size)
     index = np.arange(n)
     total = np.zeros(n, _U)
     for k in range(width):
@@ -140,8 +153,14 @@ def shingle_sets(chunk: Chunk, width: int) -> list[np.ndarray]:
         total = (total ^ shifted) * _U(0x9E3779B97F4A7C15)
         total ^= total >> _U(32)
     keep = index + width <= stop
-    keep[at[:-1][(np.diff(at) > 0) & (np.diff(at) < width)]] = True
+    keep[at[:-1][(size > 0) & (size < width)]] = True
     picked = np.flatnonzero(keep)
-    values = mix(total[picked])
-    cut = np.searchsorted(picked, at)
+    return np.stack([picked, np.minimum(width, stop[picked] - picked)]), mix(total[picked])
+
+
+def shingle_sets(chunk: Chunk, width: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its shingles; words are cut at ASCII space, with A-Z as a-z."""
+    starts, ends = chunk.runs(~SPACES[chunk.data])
+    runs, values = shingles(chunk, width, chunk.hashes(starts, ends, FOLDED), starts)
+    cut = np.searchsorted(starts[runs[0]], chunk.offsets)
     return [np.unique(values[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
