@@ -1,8 +1,9 @@
 """Secret scans by a trigram inverted index, by DataFrame functions only.
 
-From each rule's regex a Boolean trigram query is derived: an OR of ANDs of trigrams that any match must contain. The
-postings of these trigrams (trigram, document) are joined with the queries' ANDs and intersected by counting; candidates
-are verified by the regex. Rules without mandatory trigrams scan every text.
+From each rule's regex a Boolean trigram query is derived: an OR of ANDs of trigrams that any match must contain. One pass cuts
+each lower-cased text into its trigrams and keeps the distinct ones of the queries' vocabulary; these postings (trigram,
+document) are joined with the queries' ANDs and intersected by counting, and candidates are verified by the regex. Rules
+without mandatory trigrams scan every text.
 
 Positions come from what stands between matches: splitting a text at the matches gives the lengths before each.
 
@@ -79,13 +80,20 @@ def matches(rule: Rule) -> Column:
     return F.expr(f"case when text rlike '{regex}' then {walk} else cast(array() as array<struct<start:int,stop:int>>) end")
 
 
+def cutter(grams: list[str]) -> str:
+    """A regex whose first group is, at each position of a text where one begins, the trigram of this list."""
+    heads: dict[str, list[str]] = {}
+    for gram in grams:
+        heads.setdefault(gram[0], []).append(re.escape(gram[1:]))
+    return "(?=(" + "|".join(f"{re.escape(head)}(?:{'|'.join(tails)})" for head, tails in heads.items()) + "))"
+
+
 def candidates(docs: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
     """doc_id, tag, rules: numbers of the rules whose trigram query the document's postings satisfy."""
     grams = sorted({t for query in queries.values() for some in query for t in some})
-    present = docs.select("doc_id", "tag", F.lower("text").alias("low")).select("doc_id", "tag", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)])).alias("grams"))
-    postings = present.select("doc_id", "tag", F.explode("grams").alias("gram")).distinct()
-    terms = [(grams.index(t), rule * 1000 + k, len(some), rule) for rule, query in queries.items() for k, some in enumerate(query) for t in some]
-    ands = docs.sparkSession.createDataFrame(terms, "gram int, part int, size int, rule int")  # as many rows as the rules have trigrams
+    postings = docs.select("doc_id", "tag", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(cutter(grams)), F.lit(1)))).alias("gram")).distinct()
+    terms = [(t, rule * 1000 + k, len(some), rule) for rule, query in queries.items() for k, some in enumerate(query) for t in some]
+    ands = docs.sparkSession.createDataFrame(terms, "gram string, part int, size int, rule int")  # as many rows as the rules have trigrams
     met = postings.join(F.broadcast(ands), "gram").groupBy("doc_id", "tag", "part", "size", "rule").agg(F.count("*").alias("n")).where("n = size")
     return met.groupBy("doc_id", "tag").agg(F.collect_set("rule").alias("rules"))
 
