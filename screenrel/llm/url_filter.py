@@ -6,8 +6,9 @@ of blocked, allowed and unjudged urls do not differ significantly (chi-square) f
 A leaf is a template. Urls that no rule fits are blocked if their template's smoothed purity of blocked among judged urls
 reaches the threshold, else allowed.
 
-Every level is one grouped count with a map-side combine and one equi-join with the nodes that generalise, so a hot host
-is neither collected nor handled by one task.
+Every level is one grouped count with a map-side combine and an equi-join of the urls with the nodes that generalise. These
+nodes are broadcast if they are counted to be SMALL at most; beyond, they are copied to SALTS salts and the urls dealt
+over them, so a hot host is neither collected nor handled by one task.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no rule, and is allowed; of rules of equal
 length the first in text order wins; rows that repeat are judged alike; other columns are ignored. Empty tables give no
@@ -25,6 +26,7 @@ from screenrel.llm.shared import written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_RULES = 1000
 MANY = 8
+SMALL, SALTS = 100_000, 32
 FEW = 4.0
 CHI_SQUARE = 9.21
 PRIOR, WEIGHT, PURE = 0.2, 5.0, 0.8
@@ -48,6 +50,15 @@ def ruled(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return name, verdict
 
 
+def looked_up(rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of nodes, which has no keys twice; rows without a node get nulls."""
+    nodes = written(nodes, "nodes")
+    if nodes.count() <= SMALL:
+        return rows.join(F.broadcast(nodes), keys, "left")
+    copies = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """urls (host, path, ruled, ...) with template: its leaf in the tree of its host."""
     rows = urls.withColumn("_parts", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
@@ -61,7 +72,8 @@ def templates(urls: DataFrame) -> DataFrame:
         pairs = [("b", "all_b"), ("a", "all_a"), ("n - b - a", "all - all_b - all_a")]
         chi = " + ".join(f"case when {t} = 0 then 0D else pow(({c}) - n * ({t}) / all, 2) / (n * ({t}) / all) * all / greatest(all - n, 1) end" for c, t in ((f"({c})", f"({t})") for c, t in pairs))
         alike = counts.join(nodes.where(f"kinds > 1 and not (kinds > {MANY} and all < kinds * {FEW})"), ["host", "template"]).where(f"{chi} <= {CHI_SQUARE}").select("host", "template", "_part", F.lit("~").alias("_like"))
-        rows = rows.join(wild, ["host", "template"], "left").join(alike, ["host", "template", "_part"], "left")
+        rows = looked_up(rows, wild, ["host", "template"])
+        rows = looked_up(rows, alike, ["host", "template", "_part"])
         rows = rows.withColumn("template", F.when(F.col("_part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_wild", "_like", "_part")))).drop("_wild", "_like", "_part")
         rows = written(rows, "urls")  # else the plan would grow as a power of the level
     return rows.drop("_parts")
@@ -74,6 +86,6 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     rule, verdict = ruled(rules)
     rows = templates(urls.withColumn("rule", rule).withColumn("ruled", verdict))
     purity = rows.groupBy("host", "template").agg(((F.count_if(F.col("ruled") == "block") + WEIGHT * PRIOR) / (F.count("ruled") + WEIGHT)).alias("purity"))
-    rows = rows.join(purity, ["host", "template"])
+    rows = looked_up(rows, purity, ["host", "template"])
     own = F.when((F.col("purity") >= PURE) & (F.col("host") != ""), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")
