@@ -2,7 +2,8 @@
 
 Training counts hashed n-grams (1 to 3 characters of letters, with word edges) for each label over all labelled rows,
 adds the counts up with a map-side combine, and broadcasts the log-probability matrix: BUCKETS x labels, at most
-MAX_LABELS labels, so at most BUCKETS * MAX_LABELS * 4 bytes. Scoring sums matrix rows of a text's n-grams in numpy.
+MAX_LABELS labels, so at most BUCKETS * MAX_LABELS * 4 bytes. Scoring adds the log share of a label among the labelled
+rows to the sum of the matrix rows of a text's n-grams, in numpy.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; ties go to the label that sorts first; with no
 labelled row at all every text is `und`. Rows that repeat are predicted alike. Other columns are ignored. Empty tables
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from screenrel.llm import textvec
 
@@ -92,27 +94,30 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at), pa.array(total[at].astype(np.int64))], ["lang", "bucket", "n"])
 
 
-def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Labels in order and the log-probability matrix, from all rows (lang, text)."""
-    labels = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LABELS + 1).collect()]
-    if len(labels) > MAX_LABELS:
+def train(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels in order, their log priors and the log-probability matrix, from all rows (lang, text)."""
+    found = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LABELS + 1).collect()
+    if len(found) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
+    labels, share = [r["lang"] for r in found], np.array([r["count"] for r in found], np.float64)
+    prior = np.log(share / share.sum()) if labels else share
     counts = np.full((len(labels), BUCKETS), 0.5)
     sums = rows.mapInArrow(count_grams, "lang string, bucket bigint, n bigint").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
     place = {x: k for k, x in enumerate(labels)}
     for r in sums.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toLocalIterator():  # at most BUCKETS entries a label
         counts[place[r.lang], r.b] += r.n
-    return labels, np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
+    return labels, prior, np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
 
 
-def predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    labels, matrix = model.value
+def predict(batches: Iterator[pa.RecordBatch], model, place: int, schema: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each batch with two columns more; the text is the column at place."""
+    labels, prior, matrix = model.value
     for batch in batches:
         picks, scores = [], []
-        for chunk in textvec.chunks(batch.column(1), 1 << 19):
+        for chunk in textvec.chunks(batch.column(place), 1 << 19):
             value, owner, count = grams(chunk)
             size = np.bincount(owner, minlength=chunk.size)
-            total = np.stack([np.bincount(owner, matrix[value, k], chunk.size) for k in range(len(labels))], 1) if labels else np.zeros((chunk.size, 0))
+            total = np.stack([np.bincount(owner, matrix[value, k], chunk.size) for k in range(len(labels))], 1) + prior if labels else np.zeros((chunk.size, 0))
             scaled = total / np.sqrt(np.maximum(size, 1))[:, None]
             for i in range(chunk.size):
                 if not labels or not count[i]:
@@ -122,10 +127,20 @@ def predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
                 best = int(np.argmax(total[i]))
                 picks.append(labels[best])
                 scores.append(float(1 / np.exp(scaled[i] - scaled[i, best]).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(picks, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(picks, pa.string()), pa.array(scores, pa.float64())], schema)
+
+
+def with_language(docs: DataFrame, labelled: DataFrame, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Each row of docs (text and whatever else) with two columns more, learnt from labelled (lang, text); they take the place of columns of their names."""
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled.where("lang is not null and text is not null").select("lang", "text")))
+    names = [c for c in docs.columns if c not in (lang_pred, score)]
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])  # names with dots can't be mapped
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    found = docs.mapInArrow(partial(predict, model=model, place=names.index("text"), schema=schema.names), schema)
+    return found.toDF(*names, lang_pred, score)
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text), learnt from labelled (lang, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled.where("lang is not null and text is not null").select("lang", "text")))
-    return docs.select("doc_id", "text").mapInArrow(partial(predict, model=model), "doc_id bigint, lang_pred string, score double")
+    rows = with_language(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), labelled)
+    return rows.select("doc_id", "lang_pred", "score")
