@@ -5,15 +5,16 @@ may keep its role (cost 0), be merged into the turn before (cost MERGE), or be r
 its role is none of the three); empty turns may be inserted before it or at the end (cost INSERT each). The cheapest
 repair is found over four states; on ties the option listed first wins.
 
-Conversations are cut into chunks of SPAN turn numbers. The costs of a chunk form a (min, +) matrix over the states;
-the matrices of a conversation are chained, and each chunk is then repaired for its own first and last state. So one
-conversation with very many turns is spread over many tasks, and no task holds more than a chunk's turns.
+Rows are dealt into ranges of conversation and turn, and numbered in chunks of SPAN rows at most of one conversation. The costs of
+a chunk form a (min, +) matrix over the states; the matrices of a conversation are chained, and each chunk is then repaired
+for its own first and last state. So one conversation with very many turns, or very many equal ones, is spread over
+many tasks, and no task holds more than a chunk's turns.
 
 Each row comes back with its role, the action, the roles of empty turns inserted before it, and its piece of the rendered
 text: concatenated in the order of place, the pieces of a conversation are the rendered conversation.
 
 Defined cases: null text is empty; null, blank or unknown roles are relabelled, and role names are compared trimmed and in
-lower case; turns with equal numbers are ordered by role, then text, nulls first; null turn numbers come first; rows with
+lower case; turns with equal numbers are ordered by role, then a hash of the text, nulls first; null turn numbers come first; rows with
 null conv_id are one conversation; other columns are ignored. Empty tables give no rows.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,14 +117,30 @@ def transfer(rows: list[str | None]) -> list[float]:
     return out
 
 
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, turn, role, text) in order, each with its partition, its chunk in it and its place in the chunk."""
+    part, seq, place, last = TaskContext.get().partitionId(), -1, 0, object()
+    for batch in batches:
+        seqs, places = [], []
+        for conv in batch.column(0).to_pylist():
+            if conv != last or place == SPAN:
+                seq, place, last = seq + 1, 0, conv
+            seqs.append(seq)
+            places.append(place)
+            place += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int64()), pa.array(seqs, pa.int64()), pa.array(places, pa.int64())], [*batch.schema.names, "part", "seq", "place"])
+
+
 def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, chunk, costs, size = [], [], [], []
+    """From (part, seq, conv_id, role) in order: one row a chunk."""
+    part, seq, conv, costs, size = [], [], [], [], []
     for rows in groups(batches, 2):
-        conv.append(rows[0][0])
-        chunk.append(rows[0][1])
+        part.append(rows[0][0])
+        seq.append(rows[0][1])
+        conv.append(rows[0][2])
         costs.append(transfer([r[3] for r in rows]))
         size.append(len(rows))
-    yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(chunk, pa.int64()), pa.array(costs, pa.list_(pa.float64())), pa.array(size, pa.int64())], ["conv_id", "chunk", "costs", "size"])
+    yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(part, pa.int64()), pa.array(seq, pa.int64()), pa.array(costs, pa.list_(pa.float64())), pa.array(size, pa.int64())], ["conv_id", "part", "seq", "costs", "size"])
 
 
 def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +152,7 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new, way = {}, {}
             for a in sorted(best):
                 for b in range(STATES):
-                    if (spent := best[a] + row[2][a * STATES + b]) < new.get(b, NEVER):
+                    if (spent := best[a] + row[3][a * STATES + b]) < new.get(b, NEVER):
                         new[b], way[b] = spent, a
             best = new
             ways.append(way)
@@ -145,11 +163,11 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = way[state]
         before = 0
         for k, (row, (a, b)) in enumerate(zip(rows, reversed(ends), strict=True)):
-            for column, value in zip(columns, (row[0], row[1], a, b, before, k == len(rows) - 1), strict=True):
+            for column, value in zip(columns, (row[1], row[2], a, b, before, k == len(rows) - 1), strict=True):
                 column.append(value)
-            before += row[3]
+            before += row[4]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["conv_id", "chunk", "entry", "exit", "before", "final"])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "seq", "entry", "exit", "before", "final"])
 
 
 def opened(role: int) -> str:
@@ -164,11 +182,11 @@ def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "place", "turn", "role_in", "role", "action", "inserted", "appended", "rendered"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
     columns: list[list] = [[] for _ in names]
-    for rows in groups(batches, 2):
-        entry, last, before, final = rows[0][5:9]
+    for rows in ([r[2:] for r in some] for some in groups(batches, 2)):
+        entry, last, before, final = rows[0][4:8]
         cost, backs = {entry: 0.0}, []
         for row in rows:
-            table, new, back = options_of(row[3]), {}, {}
+            table, new, back = options_of(row[2]), {}, {}
             for state in sorted(cost):
                 for option in table[state]:
                     if cost[state] + option[1] < new.get(option[0], NEVER):
@@ -180,7 +198,7 @@ def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             path.append(back[state])
             state = back[state][0]
         for k, (row, (state, (new, _, action, between))) in enumerate(zip(rows, reversed(path), strict=True)):
-            text = row[4] or ""
+            text = row[3] or ""
             if action == "merge":
                 piece = "\n" + text
             else:
@@ -188,7 +206,7 @@ def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ending = ENDING[new][1] if final and k == len(rows) - 1 else ()
             if final and k == len(rows) - 1:
                 piece += CLOSE + "".join(opened(r) + CLOSE for r in ending)
-            values = (row[0], before + k, row[2], row[3], ROLES[new - 1], action, [ROLES[r - 1] for r in between], [ROLES[r - 1] for r in ending], piece)
+            values = (row[0], before + k, row[1], row[2], ROLES[new - 1], action, [ROLES[r - 1] for r in between], [ROLES[r - 1] for r in ending], piece)
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
         if len(columns[0]) >= SPAN:
@@ -200,11 +218,13 @@ def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Each row of conversations (conv_id, turn, role, text) repaired and rendered."""
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce(F.expr(f"cast(turn as bigint) div {SPAN}"), F.lit(-(1 << 60))).alias("chunk"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    dealt = rows.select("conv_id", "chunk", "turn", "role", F.xxhash64("text").alias("tie")).repartition(parts, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role")
-    costs = dealt.select("conv_id", "chunk", "turn", "role").mapInArrow(matrices, "conv_id bigint, chunk bigint, costs array<double>, size bigint")
-    ends = costs.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(chained, "conv_id bigint, chunk bigint, entry int, exit int, before bigint, final boolean")
-    ends = written(ends, "chunks")
-    both = rows.join(ends.select(F.col("conv_id").alias("_c"), F.col("chunk").alias("_k"), "entry", "exit", "before", "final"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_k")))
-    both = both.select("conv_id", "chunk", "turn", "role", "text", "entry", "exit", "before", "final").repartition(parts, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
-    return both.mapInArrow(repaired, REPAIRED)
+    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    order = ["conv_id", "turn", "role", "tie"]
+    dealt = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "row").sortWithinPartitions(*order)
+    dealt = dealt.select("conv_id", "turn", "role", "text")
+    turns = written(dealt.mapInArrow(numbered, "conv_id bigint, turn bigint, role string, text string, part bigint, seq bigint, place bigint"), "turns")
+    light = turns.select("part", "seq", "place", "conv_id", "role").repartition(parts, "part", "seq").sortWithinPartitions("part", "seq", "place")
+    costs = light.select("part", "seq", "conv_id", "role").mapInArrow(matrices, "conv_id bigint, part bigint, seq bigint, costs array<double>, size bigint")
+    ends = costs.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(chained, "part bigint, seq bigint, entry int, exit int, before bigint, final boolean")
+    both = turns.join(written(ends, "chunks"), ["part", "seq"]).repartition(parts, "part", "seq").sortWithinPartitions("part", "seq", "place")
+    return both.select("part", "seq", "conv_id", "turn", "role", "text", "entry", "exit", "before", "final").mapInArrow(repaired, REPAIRED)
