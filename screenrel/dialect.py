@@ -54,9 +54,26 @@ class Spark:
     def nul(self) -> str:
         return "decode(X'00', 'UTF-8')"
 
+    def newline(self) -> str:
+        return "decode(X'0A', 'UTF-8')"
+
+    def fixed(self, value: str, digits: int) -> str:
+        return f"format_string('%.{digits}f', {value})"
+
     def sorted_list(self, value: str) -> str:
         return f"array_sort(collect_list({value}))"
 
+    def seeded(self, rows: str, by: str, tolerance: int) -> str:
+        """rows (by, ord, w, h, ...) with `cluster`: in the order of ord, each joins the first seed of about its size, or becomes one."""
+        near = f"abs(s.w - b.w) <= {tolerance} AND abs(s.h - b.h) <= {tolerance}"
+        none = "named_struct('seeds', CAST(array() AS ARRAY<STRUCT<w: BIGINT, h: BIGINT>>), 'own', CAST(array() AS ARRAY<BIGINT>))"
+        found = f"array_position(transform(acc.seeds, s -> {near}), true)"
+        step = f"CASE WHEN {found} = 0 THEN named_struct('seeds', concat(acc.seeds, array(named_struct('w', b.w, 'h', b.h))), 'own', concat(acc.own, array(CAST(size(acc.seeds) + 1 AS BIGINT)))) ELSE named_struct('seeds', acc.seeds, 'own', concat(acc.own, array({found}))) END"
+        listed = f"SELECT {by}, array_sort(collect_list(named_struct('ord', CAST(ord AS BIGINT), 'w', CAST(w AS BIGINT), 'h', CAST(h AS BIGINT)))) AS bs FROM ({rows}) r GROUP BY {by}"
+        owned = f"SELECT {by}, inline(arrays_zip(bs.ord, aggregate(bs, {none}, (acc, b) -> {step}, acc -> acc.own))) AS (ord, cluster) FROM ({listed}) l"
+        same = " AND ".join(f"r.{c.strip()} = o.{c.strip()}" for c in by.split(","))
+        return f"SELECT r.*, o.cluster FROM ({rows}) r JOIN ({owned}) o ON {same} AND r.ord = o.ord"
+
 
 class Duck(Spark):
     """For the oracle."""
@@ -108,5 +125,22 @@ class Duck(Spark):
     def nul(self):
         return "chr(0)"
 
+    def newline(self):
+        return "chr(10)"
+
+    def fixed(self, value, digits):
+        return f"printf('%.{digits}f', {value})"
+
     def sorted_list(self, value):
         return f"list_sort(list({value}))"
+
+    def seeded(self, rows, by, tolerance):
+        """By recursion over places, one row a step."""
+        keys = [c.strip() for c in by.split(",")]
+        same = " AND ".join(f"n.{c} = r.{c}" for c in keys)
+        mine = ", ".join(f"n.{c}" for c in keys)
+        found = f"list_position(list_transform(r.seeds, lambda s: abs(s.w - n.w) <= {tolerance} AND abs(s.h - n.h) <= {tolerance}), true)"
+        return f"""WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ord) AS seq FROM ({rows}) r0),
+ r AS (SELECT {by}, ord, seq, [{{'w': w, 'h': h}}] AS seeds, CAST(1 AS BIGINT) AS cluster FROM numbered WHERE seq = 1
+ UNION ALL SELECT {mine}, n.ord, n.seq, CASE WHEN coalesce({found}, 0) = 0 THEN list_append(r.seeds, {{'w': n.w, 'h': n.h}}) ELSE r.seeds END, CASE WHEN coalesce({found}, 0) = 0 THEN CAST(len(r.seeds) + 1 AS BIGINT) ELSE CAST({found} AS BIGINT) END FROM r JOIN numbered n ON {same} AND n.seq = r.seq + 1)
+ SELECT n.* EXCLUDE (seq), r.cluster FROM numbered n JOIN r ON {same} AND n.seq = r.seq"""

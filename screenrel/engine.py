@@ -11,6 +11,7 @@ from screenrel.dialect import Duck, Spark
 from screenrel.operators import claims, pixels, queries  # noqa: F401  (they register themselves)
 from screenrel.operators.catalog import OPERATORS
 from screenrel.operators.folds import FOLDS
+from screenrel.operators.oracles import ORACLES
 from screenrel.plans.relations import RELATIONS, USES
 
 TABLES = ("orders", "conversations", "events", "lineitem")
@@ -21,18 +22,20 @@ def needed(name: str) -> list[str]:
     return with_needs(OPERATORS[name].reads)
 
 
-def with_needs(names: tuple[str, ...]) -> list[str]:
+def with_needs(names: tuple[str, ...], given: frozenset[str] = frozenset()) -> list[str]:
+    """The relations and what they are made from, in order; a given one is made from nothing."""
     wanted = set(names)
     for _ in RELATIONS:
-        wanted |= {u for r in wanted for u in USES.get(r, ())}
+        wanted |= {u for r in wanted - given for u in USES.get(r, ())}
     return [r for r in RELATIONS if r in wanted]
 
 
 def oracle(name: str) -> str:
     """The operator over the driver's tables as one statement for the other engine."""
     d = Duck()
-    parts = [f"{r} AS ({RELATIONS[r](d)})" for r in needed(name)]
-    return (f"WITH {', '.join(parts)} " if parts else "") + f"SELECT * FROM ({OPERATORS[name].sql(d)}) result"
+    reads, sql = (OPERATORS[name].reads, OPERATORS[name].sql(d)) if name in OPERATORS else (ORACLES[name][0], ORACLES[name][1]())
+    parts = [f"{r} AS ({RELATIONS[r](d)})" for r in with_needs(reads)]
+    return (f"WITH {', '.join(parts)} " if parts else "") + f"SELECT * FROM ({sql}) result"
 
 
 class _Tables(Spark):
@@ -79,10 +82,15 @@ class Engine:
     def run(self, name: str, page_id: int | None = None) -> DataFrame:
         """An operator over all pages, or over one: the page filter reaches the scans."""
         if name in FOLDS:
-            df = self.spark.table(self.views[FOLDS[name][0]])
-            return FOLDS[name][1](df if page_id is None else df.where(f"page_id = {int(page_id)}"))
+            return FOLDS[name][1](self.rows(FOLDS[name][0], page_id))
+        return self._select(OPERATORS[name].reads, page_id, OPERATORS[name].sql(Spark()))
+
+    def rows(self, relation: str, page_id: int | None = None) -> DataFrame:
+        """A relation given, or one derived from those given."""
+        return self._select((relation,), page_id, f"SELECT * FROM {relation}")
+
+    def _select(self, names: tuple[str, ...], page_id: int | None, sql: str) -> DataFrame:
+        relations = with_needs(names, frozenset(self.views))
         d, where = Spark(), "" if page_id is None else f" WHERE page_id = {int(page_id)}"
-        parts = []
-        for r in needed(name):
-            parts.append(f"{r} AS (SELECT * FROM {self.views[r]}{where})" if r in self.views else f"{r} AS ({RELATIONS[r](d)})")
-        return self.spark.sql((f"WITH {', '.join(parts)} " if parts else "") + OPERATORS[name].sql(d))
+        parts = [f"{r} AS (SELECT * FROM {self.views[r]}{where})" if r in self.views else f"{r} AS ({RELATIONS[r](d)})" for r in relations]
+        return self.spark.sql((f"WITH {', '.join(parts)} " if parts else "") + sql)

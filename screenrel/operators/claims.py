@@ -64,13 +64,16 @@ def page_type(d):
 
 
 def canonical(d, keys: tuple[str, ...] = ("element_id",)) -> str:
-    """keys, run, raw_label, concept ('' for garbage): the best alias by strong phrase, strong word, weak phrase, weak word."""
+    """keys, run, raw_label, concept ('' for garbage): by the first of strong phrase, strong pair of words, strong word, weak phrase, weak word."""
     bad = " OR ".join(f"instr(lower(raw_label), '{g}') > 0" for g in GARBAGE)
-    clean = f"concat(' ', {d.replace('lower(raw_label)', '[^a-z]+', ' ')}, ' ')"
+    clean = f"concat(' ', {d.replace('lower(raw_label)', '[^a-z]+', '  ')}, ' ')"  # each word between spaces of its own
     for word in STOPWORDS:
-        clean = f"replace({clean}, ' {word} ', ' ')"
+        clean = f"replace({clean}, ' {word} ', '')"
+    clean = f"concat(' ', trim({d.replace(clean, ' +', ' ')}), ' ')"
     labels = f"SELECT raw_label, clean FROM (SELECT raw_label, {clean} AS clean FROM (SELECT DISTINCT raw_label FROM label_samples) r WHERE NOT ({bad})) c WHERE trim(clean) <> '' AND length(trim(clean)) - length(replace(trim(clean), ' ', '')) < 4"
-    found = f"SELECT raw_label, concept, row_number() OVER (PARTITION BY raw_label ORDER BY weak, CASE WHEN instr(alias, ' ') > 0 THEN 0 ELSE 1 END, instr(clean, concat(' ', alias, ' ')), concept) AS k FROM ({labels}) l JOIN {values(ALIASES, 'alias, concept, weak')} a ON instr(l.clean, concat(' ', a.alias, ' ')) > 0"
+    words = "length(alias) - length(replace(alias, ' ', ''))"
+    rank = f"CASE WHEN alias = trim(clean) THEN 3 * weak WHEN weak = 0 AND {words} = 1 THEN 1 WHEN weak = 0 AND {words} = 0 THEN 2 WHEN {words} = 0 THEN 4 END"
+    found = f"SELECT raw_label, concept, row_number() OVER (PARTITION BY raw_label ORDER BY quality, place, concept) AS k FROM (SELECT raw_label, concept, instr(clean, concat(' ', alias, ' ')) AS place, {rank} AS quality FROM ({labels}) l JOIN {values(ALIASES, 'alias, concept, weak')} a ON instr(l.clean, concat(' ', a.alias, ' ')) > 0) m WHERE quality IS NOT NULL"
     return f"SELECT {', '.join(f's.{k}' for k in keys)}, s.run, s.raw_label, coalesce(f.concept, '') AS concept FROM label_samples s LEFT JOIN ({found}) f ON s.raw_label = f.raw_label AND f.k = 1"
 
 
@@ -111,13 +114,19 @@ def nearest_color_name(d):
     return f"SELECT page_id, r, g, b, name, l1 FROM (SELECT m.page_id, m.r, m.g, m.b, n.name, abs(m.r - n.nr) + abs(m.g - n.ng) + abs(m.b - n.nb) AS l1, row_number() OVER (PARTITION BY m.page_id, m.r, m.g, m.b ORDER BY abs(m.r - n.nr) + abs(m.g - n.ng) + abs(m.b - n.nb), n.name) AS k FROM {palette(d)} m JOIN {values(NAMED_COLORS, 'name, nr, ng, nb')} n ON NOT ({neutral}) OR n.name IN ('black', 'gray', 'white')) q WHERE k = 1"
 
 
+def mentions(d, found: str, name: str, source: str = "summaries") -> str:
+    """Each item of a list found in a summary, with its place among them: repeats are claims of their own."""
+    listed = f"SELECT page_id, turn, {found} AS found FROM {source}"
+    return f"SELECT page_id, turn, pos, {d.item('found', 'pos')} AS {name} FROM (SELECT page_id, turn, found, {d.explode}({d.series('0', d.size('found') + ' - 1')}) AS pos FROM ({listed}) l WHERE {d.size('found')} > 0) e"
+
+
 def hex_mentions(d) -> str:
-    return f"SELECT page_id, turn, upper(hex) AS hex, {d.hexpair('substr(hex, 2, 2)')} AS r, {d.hexpair('substr(hex, 4, 2)')} AS g, {d.hexpair('substr(hex, 6, 2)')} AS b FROM (SELECT page_id, turn, {d.explode}({d.extract_all('summary', '#[0-9a-fA-F]{6}', 0)}) AS hex FROM summaries) h"
+    return f"SELECT page_id, turn, pos, upper(hex) AS hex, {d.hexpair('substr(hex, 2, 2)')} AS r, {d.hexpair('substr(hex, 4, 2)')} AS g, {d.hexpair('substr(hex, 6, 2)')} AS b FROM ({mentions(d, d.extract_all('summary', '#[0-9a-fA-F]{6}', 0), 'hex')}) h"
 
 
 @operator("components", "colors", "summaries")
 def hex_claims(d):
-    return f"SELECT h.page_id, h.turn, h.hex, max(CASE WHEN c.r IS NOT NULL THEN 1 ELSE 0 END) AS supported FROM ({hex_mentions(d)}) h LEFT JOIN {palette(d)} c ON h.page_id = c.page_id AND abs(h.r - c.r) + abs(h.g - c.g) + abs(h.b - c.b) <= 72 GROUP BY h.page_id, h.turn, h.hex"
+    return f"SELECT h.page_id, h.turn, h.pos, max(h.hex) AS hex, max(CASE WHEN c.r IS NOT NULL THEN 1 ELSE 0 END) AS supported FROM ({hex_mentions(d)}) h LEFT JOIN {palette(d)} c ON h.page_id = c.page_id AND abs(h.r - c.r) + abs(h.g - c.g) + abs(h.b - c.b) <= 72 GROUP BY h.page_id, h.turn, h.pos"
 
 
 def supported_names(d) -> str:
@@ -136,14 +145,17 @@ def ocr_corpus(d):
     return f"SELECT DISTINCT page_id, word FROM (SELECT page_id, {d.explode}({d.extract_all('lower(text)', '[a-z]+', 0)}) AS word FROM tokens) w"
 
 
-def quotes(d) -> str:
-    words = f"SELECT page_id, turn, quote, {d.explode}({d.extract_all('lower(quote)', '[a-z]+', 0)}) AS word FROM (SELECT page_id, turn, {d.explode}({d.extract_all('summary', chr(34) + '([^' + chr(34) + ']+)' + chr(34), 1)}) AS quote FROM summaries) q"
-    return f"SELECT w.page_id, w.turn, w.quote, min(CASE WHEN c.word IS NOT NULL OR s.known IS NOT NULL THEN 1 ELSE 0 END) AS supported FROM ({words}) w LEFT JOIN ({ocr_corpus(d)}) c ON w.page_id = c.page_id AND w.word = c.word LEFT JOIN {values([(x,) for x in STRUCTURAL], 'known')} s ON w.word = s.known GROUP BY w.page_id, w.turn, w.quote"
+def quotes(d, curly: bool = False) -> str:
+    """Quoted spans that have words, in straight and, if asked for, in curly quotes."""
+    spans = mentions(d, d.extract_all("summary", '"[^"]+"|“[^”]+”', 0), "span")
+    kept = "" if curly else " WHERE substr(span, 1, 1) = '\"'"
+    words = f"SELECT page_id, turn, pos, quote, {d.explode}({d.extract_all('lower(quote)', '[a-z]+', 0)}) AS word FROM (SELECT page_id, turn, pos, substr(span, 2, length(span) - 2) AS quote FROM ({spans}) s{kept}) q"
+    return f"SELECT w.page_id, w.turn, w.pos, max(w.quote) AS quote, min(CASE WHEN c.word IS NOT NULL OR s.known IS NOT NULL THEN 1 ELSE 0 END) AS supported FROM ({words}) w LEFT JOIN ({ocr_corpus(d)}) c ON w.page_id = c.page_id AND w.word = c.word LEFT JOIN {values([(x,) for x in STRUCTURAL], 'known')} s ON w.word = s.known GROUP BY w.page_id, w.turn, w.pos"
 
 
 @operator("tokens", "summaries")
 def quoted_claims(d):
-    return quotes(d)
+    return quotes(d, curly=True)
 
 
 def normal(d, text: str) -> str:
@@ -157,7 +169,7 @@ def normalize_number(d):
 
 
 def numbers(d) -> str:
-    body = d.replace("summary", "#[0-9a-fA-F]{6}", " ")
+    body = d.replace("summary", "#?\\b[0-9a-fA-F]{6}\\b", " ")
     regex = "[$]?-?[0-9][0-9,]*(?:[.][0-9]+)?"
     claimed = f"SELECT DISTINCT page_id, turn, {normal(d, 'raw')} AS value FROM (SELECT page_id, turn, {d.explode}({d.extract_all(body, regex, 0)}) AS raw FROM summaries) n"
     known = f"SELECT DISTINCT page_id, {normal(d, 'raw')} AS value FROM (SELECT page_id, {d.explode}({d.extract_all('text', regex, 0)}) AS raw FROM tokens) n"
@@ -170,11 +182,13 @@ def number_claims(d):
 
 
 def counts(d) -> str:
-    phrase = f"SELECT page_id, turn, claim, {d.extract('claim', '^([a-z0-9]+)', 1)} AS amount, {d.replace(d.extract('claim', '([a-z]+)$', 1), 's$', '')} AS noun FROM (SELECT page_id, turn, {d.explode}({d.extract_all('lower(summary)', '(?:[0-9]{1,3}|one|two|three|four|five|six|seven|eight|nine|ten)[ ]+[a-z]+', 0)}) AS claim FROM summaries) c"
+    phrases = mentions(d, d.extract_all("lower(summary)", "\\b(?:[0-9]{1,3}|one|two|three|four|five|six|seven|eight|nine|ten)\\s+[a-z]+\\b", 0), "claim")
+    phrase = f"SELECT page_id, turn, pos, claim, {d.extract('claim', '^([a-z0-9]+)', 1)} AS amount, {d.replace(d.extract('claim', '([a-z]+)$', 1), 's$', '')} AS noun FROM ({phrases}) c"
     nouns = values([(n, 1) for n in CONTAINER_NOUNS] + [(n, 0) for n in ELEMENT_NOUNS], "known, container")
     value = f"CASE WHEN w.value IS NOT NULL THEN w.value ELSE CAST(concat('0', {d.extract('p.amount', '^([0-9]+)$', 1)}) AS BIGINT) END"
-    claim = f"SELECT p.page_id, p.turn, p.claim, p.noun, n.container, {value} AS claimed FROM ({phrase}) p JOIN {nouns} n ON p.noun = n.known LEFT JOIN {values(NUMBERS, 'word, value')} w ON p.amount = w.word"
-    return f"SELECT c.page_id, c.turn, c.claim, max(c.claimed) AS claimed, count(m.id) AS measured, CASE WHEN abs(count(m.id) - max(c.claimed)) <= 1 THEN 1 ELSE 0 END AS supported FROM ({claim}) c LEFT JOIN components m ON c.page_id = m.page_id AND ((c.container = 1 AND m.type NOT IN ('text', 'label')) OR (c.container = 0 AND instr(lower(m.type), c.noun) > 0)) GROUP BY c.page_id, c.turn, c.claim"
+    claim = f"SELECT * FROM (SELECT p.page_id, p.turn, p.pos, p.claim, p.noun, n.container, {value} AS claimed FROM ({phrase}) p JOIN {nouns} n ON p.noun = n.known LEFT JOIN {values(NUMBERS, 'word, value')} w ON p.amount = w.word) v WHERE claimed > 0"
+    measured = "SELECT page_id, type, count(*) AS n FROM components GROUP BY page_id, type"
+    return f"SELECT c.page_id, c.turn, c.pos, max(c.claim) AS claim, max(c.claimed) AS claimed, CAST(coalesce(sum(m.n), 0) AS BIGINT) AS measured, CASE WHEN abs(coalesce(sum(m.n), 0) - max(c.claimed)) <= 1 THEN 1 ELSE 0 END AS supported FROM ({claim}) c LEFT JOIN ({measured}) m ON c.page_id = m.page_id AND ((c.container = 1 AND m.type NOT IN ('text', 'label')) OR (c.container = 0 AND instr(lower(m.type), c.noun) > 0)) GROUP BY c.page_id, c.turn, c.pos"
 
 
 @operator("components", "summaries")
@@ -182,18 +196,24 @@ def count_claims(d):
     return counts(d)
 
 
-def report(d, kinds: list[tuple[str, str]]) -> str:
+def report(d, kinds: list[tuple[str, str]], more: str = "") -> str:
     union = " UNION ALL ".join(f"SELECT page_id, turn, '{k}' AS kind, supported FROM ({sql}) x{i}" for i, (k, sql) in enumerate(kinds))
     columns = ", ".join(f"count(CASE WHEN c.kind = '{k}' THEN 1 END) AS {k}_mentions, coalesce(sum(CASE WHEN c.kind = '{k}' THEN c.supported END), 0) AS {k}_supported, CASE WHEN count(CASE WHEN c.kind = '{k}' THEN 1 END) = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(sum(CASE WHEN c.kind = '{k}' THEN c.supported END) AS DOUBLE) / count(CASE WHEN c.kind = '{k}' THEN 1 END) END AS {k}_support" for k in dict(kinds))
-    return f"SELECT s.page_id, s.turn, {columns}, CASE WHEN min(coalesce(c.supported, 1)) = 1 THEN 1 ELSE 0 END AS grounded FROM summaries s LEFT JOIN ({union}) c ON s.page_id = c.page_id AND s.turn = c.turn GROUP BY s.page_id, s.turn"
+    return f"SELECT s.page_id, s.turn, {columns}, {more}CASE WHEN min(coalesce(c.supported, 1)) = 1 THEN 1 ELSE 0 END AS grounded FROM summaries s LEFT JOIN ({union}) c ON s.page_id = c.page_id AND s.turn = c.turn GROUP BY s.page_id, s.turn"
+
+
+def color_claims(d) -> str:
+    return f"SELECT page_id, turn, supported FROM ({hex_claims(d)}) h UNION ALL SELECT page_id, turn, supported FROM ({named_color_claims(d)}) n"
 
 
 @operator("components", "tokens", "colors", "summaries")
 def grounding_report(d):
     behaviors = f"SELECT page_id, turn, 0 AS supported FROM ({behavior_claims(d)}) b"
-    return report(d, [("behavior", behaviors), ("color", f"SELECT page_id, turn, supported FROM ({hex_claims(d)}) h UNION ALL SELECT page_id, turn, supported FROM ({named_color_claims(d)}) n"), ("text", quotes(d)), ("number", numbers(d))])
+    return report(d, [("behavior", behaviors), ("color", color_claims(d)), ("text", quotes(d)), ("number", numbers(d))])
 
 
 @operator("components", "tokens", "colors", "summaries")
 def crosscheck_report(d):
-    return report(d, [("color", f"SELECT page_id, turn, supported FROM ({hex_claims(d)}) h UNION ALL SELECT page_id, turn, supported FROM ({named_color_claims(d)}) n"), ("text", quotes(d)), ("count", counts(d))])
+    """agreement is the share of supported claims among all that were checked, 1 where there are none."""
+    share = "CASE WHEN count(c.kind) = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(sum(c.supported) AS DOUBLE) / count(c.kind) END AS agreement, "
+    return report(d, [("color", color_claims(d)), ("text", quotes(d, curly=True)), ("count", counts(d))], share)

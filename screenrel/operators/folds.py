@@ -1,13 +1,22 @@
 """Order-dependent folds and clusterings, one page at a time: rows of a page are sorted by an explicit order, then folded.
 
-A page has at most a few thousand rows, so a group fits one task; pages are spread by page_id. Everything else in the
-library is declarative.
+A page has at most a few thousand rows; pages are spread by page_id, and a task folds its pages batch by batch, holding one batch
+and the page that it ends in. Everything else in the library is declarative.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 Box = tuple[int, int, int, int]
 
@@ -198,58 +207,74 @@ def tiles(x0: int, y0: int, x1: int, y1: int, side: int, overlap: float = 0.2) -
     return [(x, y, min(x1, x + side), min(y1, y + side)) for y in range(y0, y1, step) for x in range(x0, x1, step)]
 
 
-def boxes_of(pdf: pd.DataFrame) -> list[Box]:
-    return list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
+Rows = dict[str, list]
+
+
+def boxes_of(rows: Rows) -> list[Box]:
+    return list(zip(rows["x0"], rows["y0"], rows["x1"], rows["y1"], strict=True))
 
 
-def per_page(df: DataFrame, order: list[str], schema: str, fold) -> DataFrame:
-    names = [c.strip().split()[0] for c in schema.split(",")]
+def per_page(df: DataFrame, order: list[str], schema: str, fold: Callable[[int, Rows], list[tuple]]) -> DataFrame:
+    """fold(page, columns of its rows in order) for each page. Pages come sorted, many in an Arrow batch; a page that goes on in the next batch waits for it."""
+    kind = StructType.fromDDL(schema)
+    names, types = kind.names, [to_arrow_type(f.dataType) for f in kind.fields]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pd.DataFrame(fold(int(pdf["page_id"].iloc[0]), pdf), columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Rows | None = None
+        for batch in itertools.chain(batches, [None]):
+            rows = {n: [] for n in held or ()} if batch is None else {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            held = rows if held is None else {n: held[n] + rows[n] for n in held}
+            pages = held.get("page_id", [])
+            cuts = [0, *(i for i in range(1, len(pages)) if pages[i] != pages[i - 1])] + ([len(pages)] if batch is None and pages else [])
+            out = [row for i, j in itertools.pairwise(cuts) for row in fold(pages[i], {n: c[i:j] for n, c in held.items()})]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            held = {n: c[cuts[-1] :] for n, c in held.items()}
 
-    return df.groupBy("page_id").applyInPandas(run, schema)
+    return df.repartition("page_id").sortWithinPartitions("page_id", *order).mapInArrow(run, schema)
 
 
 BOX = "x0 bigint, y0 bigint, x1 bigint, y1 bigint"
+PLACE = ["page_id", "turn", "pos"]
 
 
 def reconcile(components: DataFrame) -> DataFrame:
-    def fold(page, pdf):
-        rows = [{"id": r.id, "type": r.type, "text": r.text, "confidence": r.confidence, "box": (r.x0, r.y0, r.x1, r.y1)} for r in pdf.itertuples()]
+    def fold(page, r):
+        rows = [dict(zip(("id", "type", "text", "confidence", "box"), x, strict=True)) for x in zip(r["id"], r["type"], r["text"], r["confidence"], boxes_of(r), strict=True)]
         return [(page, k["id"], k["type"], k["text"], k["confidence"], *k["box"]) for k in reconcile_page(rows)]
 
     return per_page(components.select("page_id", "ord", "id", "type", "text", "confidence", "x0", "y0", "x1", "y1"), ["ord", "id"], f"page_id bigint, id string, type string, text string, confidence double, {BOX}", fold)
 
 
 def dedupe_boxes(boxes: DataFrame) -> DataFrame:
-    return per_page(boxes.select("page_id", "ord", "x0", "y0", "x1", "y1"), ["ord"], "page_id bigint, ord bigint", lambda page, pdf: [(page, int(pdf["ord"][i])) for i in keep_outer(boxes_of(pdf))])
+    return per_page(boxes.select("page_id", "ord", "x0", "y0", "x1", "y1"), ["ord"], "page_id bigint, ord bigint", lambda page, r: [(page, r["ord"][i]) for i in keep_outer(boxes_of(r))])
 
 
 def union_boxes(boxes: DataFrame) -> DataFrame:
     """Even rows are kept, odd ones added."""
 
-    def fold(page, pdf):
-        keep, add = pdf[pdf["ord"] % 2 == 0], pdf[pdf["ord"] % 2 == 1].reset_index(drop=True)
-        return [(page, int(o)) for o in keep["ord"]] + [(page, int(add["ord"][i])) for i in united(boxes_of(keep), boxes_of(add))]
+    def fold(page, r):
+        boxes = list(zip(r["ord"], boxes_of(r), strict=True))
+        keep, add = [x for x in boxes if x[0] % 2 == 0], [x for x in boxes if x[0] % 2 == 1]
+        return [(page, o) for o, _ in keep] + [(page, add[i][0]) for i in united([b for _, b in keep], [b for _, b in add])]
 
     return per_page(boxes.select("page_id", "ord", "x0", "y0", "x1", "y1"), ["ord"], "page_id bigint, ord bigint", fold)
 
 
-def ocr_lines(tokens: DataFrame) -> DataFrame:
-    def fold(page, pdf):
-        return [(page, int(t), int(p), n) for t, p, n in zip(pdf["turn"], pdf["pos"], lines_of(boxes_of(pdf)), strict=True)]
+def token_boxes(tokens: DataFrame) -> DataFrame:
+    return tokens.select(*PLACE, "x0", "y0", "x1", "y1")
 
-    return per_page(tokens.select("page_id", "turn", "pos", "x0", "y0", "x1", "y1"), ["turn", "pos"], "page_id bigint, turn bigint, pos bigint, line bigint", fold)
+
+def ocr_lines(tokens: DataFrame) -> DataFrame:
+    return per_page(token_boxes(tokens), PLACE[1:], "page_id bigint, turn bigint, pos bigint, line bigint", lambda page, r: [(page, *x) for x in zip(r["turn"], r["pos"], lines_of(boxes_of(r)), strict=True)])
 
 
 def text_components(tokens: DataFrame) -> DataFrame:
     """Runs of tokens as components: filtered, grouped to lines, split at gaps and merged."""
     good = tokens.where("trim(text) <> '' and x1 > x0 and y1 > y0 and not (confidence > 0 and confidence < 0.3)")
 
-    def fold(page, pdf):
-        boxes = boxes_of(pdf)
+    def fold(page, r):
+        boxes = boxes_of(r)
         runs: dict[tuple[int, int], list[int]] = {}
         for i, key in enumerate(runs_of(boxes, lines_of(boxes))):
             runs.setdefault(key, []).append(i)
@@ -259,60 +284,264 @@ def text_components(tokens: DataFrame) -> DataFrame:
             box = boxes[mine[0]]
             for i in mine[1:]:
                 box = hull(box, boxes[i])
-            mean = sum(pdf["confidence"][i] for i in mine) / len(mine)
-            out.append((page, f"t{n:04d}", " ".join(pdf["text"][i] for i in mine), mean if mean > 0 else 0.5, *box))
+            mean = sum(r["confidence"][i] for i in mine) / len(mine)
+            out.append((page, f"t{n:04d}", " ".join(r["text"][i] for i in mine), mean if mean > 0 else 0.5, *box))
         return out
 
-    return per_page(good.select("page_id", "turn", "pos", "text", "confidence", "x0", "y0", "x1", "y1"), ["turn", "pos"], f"page_id bigint, id string, text string, confidence double, {BOX}", fold)
+    return per_page(good.select(*PLACE, "text", "confidence", "x0", "y0", "x1", "y1"), PLACE[1:], f"page_id bigint, id string, text string, confidence double, {BOX}", fold)
 
 
 def token_rows(tokens: DataFrame) -> DataFrame:
-    def fold(page, pdf):
-        return [(page, int(t), int(p), n) for t, p, n in zip(pdf["turn"], pdf["pos"], rows_of(boxes_of(pdf)), strict=True)]
-
-    return per_page(tokens.select("page_id", "turn", "pos", "x0", "y0", "x1", "y1"), ["turn", "pos"], "page_id bigint, turn bigint, pos bigint, row bigint", fold)
-
-
-def repeated_groups(components: DataFrame) -> DataFrame:
-    def fold(page, pdf):
-        out = []
-        for kind, part in sorted(pdf.groupby("type"), key=lambda x: x[0]):
-            part = part.reset_index(drop=True)
-            boxes = boxes_of(part)
-            for members in size_clusters(boxes):
-                for axis in ("x", "y"):
-                    out += [(page, kind, axis, mean, ",".join(part["id"][i] for i in g)) for g, mean in axis_groups(boxes, members, axis)]
-        return out
-
-    return per_page(components.where("type not in ('text', 'label')").select("page_id", "ord", "id", "type", "x0", "y0", "x1", "y1"), ["ord"], "page_id bigint, type string, axis string, spacing bigint, member_ids string", fold)
+    return per_page(token_boxes(tokens), PLACE[1:], "page_id bigint, turn bigint, pos bigint, row bigint", lambda page, r: [(page, *x) for x in zip(r["turn"], r["pos"], rows_of(boxes_of(r)), strict=True)])
 
 
 def text_tiers(components: DataFrame) -> DataFrame:
-    def fold(page, pdf):
-        heights = (pdf["y1"] - pdf["y0"]).tolist()
+    def fold(page, r):
+        heights = [b - a for a, b in zip(r["y0"], r["y1"], strict=True)]
         centres = bands(heights)
-        return [(page, i, *tier(h, centres), len(centres)) for i, h in zip(pdf["id"], heights, strict=True) if h > 0]
+        return [(page, i, *tier(h, centres), len(centres)) for i, h in zip(r["id"], heights, strict=True) if h > 0]
 
     return per_page(components.where("type = 'text'").select("page_id", "ord", "id", "y0", "y1"), ["ord"], "page_id bigint, id string, tier string, confidence double, levels bigint", fold)
 
 
 def horizontal_bands(tokens: DataFrame) -> DataFrame:
-    def fold(page, pdf):
-        return [(page, n, a, b) for n, (a, b) in enumerate(gap_bands(boxes_of(pdf), int(pdf["y1"].max()) + 40))]
-
-    return per_page(tokens.select("page_id", "turn", "pos", "x0", "y0", "x1", "y1"), ["turn", "pos"], "page_id bigint, band bigint, y0 bigint, y1 bigint", fold)
+    return per_page(token_boxes(tokens), PLACE[1:], "page_id bigint, band bigint, y0 bigint, y1 bigint", lambda page, r: [(page, n, a, b) for n, (a, b) in enumerate(gap_bands(boxes_of(r), max(r["y1"]) + 40))])
 
 
 def plan_adaptive(tokens: DataFrame) -> DataFrame:
     """An overview, then the tiles of each band."""
 
-    def fold(page, pdf):
-        width, height = int(pdf["x1"].max()) + 20, int(pdf["y1"].max()) + 40
-        parts = [t for a, b in gap_bands(boxes_of(pdf), height) for t in tiles(0, a, width, b, 1100)]
+    def fold(page, r):
+        width, height = max(r["x1"]) + 20, max(r["y1"]) + 40
+        parts = [t for a, b in gap_bands(boxes_of(r), height) for t in tiles(0, a, width, b, 1100)]
         return [(page, "ov", 0, 0, width, height)] + [(page, f"c{n:04d}", *t) for n, t in enumerate(parts)]
 
-    return per_page(tokens.select("page_id", "turn", "pos", "x0", "y0", "x1", "y1"), ["turn", "pos"], f"page_id bigint, id string, {BOX}", fold)
+    return per_page(token_boxes(tokens), PLACE[1:], f"page_id bigint, id string, {BOX}", fold)
+
+
+def cents(x: float) -> float:
+    return int(x * 100 + 0.5) / 100
+
+
+@dataclass
+class Node:
+    """A node of the layout with its children in order, and what it takes of its parent."""
+
+    row: int
+    box: Box
+    id: str
+    children: list[Node] = field(default_factory=list)
+    share: tuple[str, float, float, float] | None = None
+    parent: str | None = None
+    group: Group | None = None
+
+    def share_out(self) -> None:
+        """Orders two children or more along the axis on which they reach further, with the share, the gap before and the tiling of each."""
+        if len(self.children) < 2:
+            return
+        box = self.children[0].box
+        for child in self.children[1:]:
+            box = hull(box, child.box)
+        a = 1 if box[3] - box[1] >= box[2] - box[0] else 0
+        span, extent = box[a + 2] - box[a], self.box[a + 2] - self.box[a]
+        if span <= 0:
+            return
+        self.children.sort(key=lambda c: c.box[a])
+        end = -1
+        for child in self.children:
+            start = child.box[a]
+            child.share = ("xy"[a], cents((child.box[a + 2] - start) / span), cents((start - end) / span) if 0 <= end < start else 0.0, cents(span / extent) if extent > 0 else 0.0)
+            end = child.box[a + 2]
+
+
+@dataclass
+class Group:
+    """Repeated siblings: member rows in order along the axis that they vary on, and how even the gaps between them are."""
+
+    members: list[int]
+    box: Box
+    trust: float
+    kind: str
+    label: str | None
+
+
+def median_gap(boxes: list[Box], members: list[int], a: int) -> tuple[int, int]:
+    """Upper median and spread of the gaps between neighbours along axis a (0 or 1)."""
+    order = sorted(members, key=lambda i: boxes[i][a])
+    gaps = sorted(max(0, boxes[j][a] - boxes[i][a + 2]) for i, j in itertools.pairwise(order))
+    return gaps[len(gaps) // 2], gaps[-1] - gaps[0]
+
+
+def header_of(r: Rows, boxes: list[Box], box: Box) -> str | None:
+    """The text closest above a box, at most 120 away; the one that reaches over more of it, then the first."""
+    best = None
+    for i, b in enumerate(boxes):
+        over = min(b[2], box[2]) - max(b[0], box[0])
+        if r["type"][i] == "text" and r["text"][i] is not None and 0 <= box[1] - b[3] <= 120 and over > 0:
+            best = min(best or (121, 0, 0), (box[1] - b[3], -over, i))
+    return r["text"][best[2]] if best else None
+
+
+def groups_of(r: Rows, boxes: list[Box]) -> list[tuple[str, list[Group]]]:
+    """Groups of each type, by seed, axis and place."""
+    by_type: dict[str, list[int]] = {}
+    for i, kind in enumerate(r["type"]):
+        if kind and kind not in ("text", "label"):
+            by_type.setdefault(kind, []).append(i)
+    out = []
+    for kind, rows in by_type.items():
+        groups = []
+        for cluster in size_clusters([boxes[i] for i in rows]):
+            mine = [rows[k] for k in cluster]
+            for axis in "xy":
+                for members, _ in axis_groups(boxes, mine, axis):
+                    median, spread = median_gap(boxes, members, 1 if axis == "x" else 0)
+                    box = boxes[members[0]]
+                    for i in members[1:]:
+                        box = hull(box, boxes[i])
+                    one, two = boxes[members[0]], boxes[members[1]]
+                    over = [max(0, min(one[k + 2], two[k + 2]) - max(one[k], two[k])) for k in (0, 1)]
+                    groups.append(Group(members, box, max(0.0, 1 - spread / median) if median > 0 else 1.0, "column" if over[0] > over[1] else "row", header_of(r, boxes, box) if axis == "x" else None))
+        out.append((kind, groups))
+    return out
+
+
+def smallest_around(boxes: list[Box], box: Box, least: float, but: set[int]) -> int | None:
+    """The smallest box that holds this one, has more than the least area and is none of these; the first of equals."""
+    found = [(area(b), j) for j, b in enumerate(boxes) if j not in but and b[0] <= box[0] and b[1] <= box[1] and b[2] >= box[2] and b[3] >= box[3] and area(b) > least]
+    return min(found)[1] if found else None
+
+
+def layout_of(r: Rows, tolerance: float = 0.5) -> tuple[list[Node], list[Node]]:
+    """Roots of a page's layout, from the top and the left, and all nodes, out of components in order.
+
+    Even groups of two members or more become containers, and hold their members as leaves; a component is in the first even group
+    that has it. Others hang under the smallest component around them. What lies under a leaf, or in a group that others leave with
+    a single member, is in no tree.
+    """
+    boxes = boxes_of(r)
+    nodes, owner, containers = [Node(i, b, r["id"][i]) for i, b in enumerate(boxes)], {}, []
+    for kind, groups in groups_of(r, boxes):
+        for k, group in enumerate(groups):
+            if group.trust >= tolerance:
+                own = [i for i in group.members if i not in owner]
+                owner |= dict.fromkeys(own, (kind, k))
+                if len(own) >= 2:
+                    containers.append((f"L:{kind}:{k + 1}", group, own))
+    roots = []
+    for node in nodes:
+        if node.row not in owner:
+            box = node.box
+            up = smallest_around(boxes, box, area(box) * 1.05, {node.row})
+            if up is None:
+                roots.append(node)
+            else:
+                node.parent = r["id"][up]
+                if up not in owner:
+                    nodes[up].children.append(node)
+    for name, group, own in containers:
+        node = Node(-1, group.box, name, group=group)
+        node.children = sorted((nodes[i] for i in own), key=lambda n: n.id)
+        for child in node.children:
+            child.parent = name
+        up = smallest_around(boxes, group.box, area(group.box), set(own))
+        if up is None:
+            roots.append(node)
+        else:
+            node.parent = r["id"][up]
+            if up not in owner:
+                nodes[up].children.append(node)
+        nodes.append(node)
+    for node in nodes:
+        node.share_out()
+    return sorted(roots, key=lambda n: (n.box[1], n.box[0])), nodes
+
+
+COLUMNS = ["page_id", "ord", "id", "type", "text", "confidence", "x0", "y0", "x1", "y1"]
+LAYOUT = f"page_id bigint, seq bigint, depth bigint, id string, parent string, inferred bigint, kind string, label string, confidence double, text string, axis string, fraction double, gap_before double, tiling double, {BOX}"
+
+
+def layout_tree(components: DataFrame) -> DataFrame:
+    """All nodes of each page's layout in pre-order, with their depth and share."""
+
+    def fold(page, r):
+        out, stack = [], [(n, 0) for n in reversed(layout_of(r)[0])]
+        while stack:
+            node, depth = stack.pop()
+            i, g = node.row, node.group
+            about = (1, g.kind, g.label, cents(g.trust), None) if g else (0, r["type"][i], None, r["confidence"][i], r["text"][i])
+            out.append((page, len(out), depth, node.id, node.parent, *about, *(node.share or (None,) * 4), *node.box))
+            stack += [(c, depth + 1) for c in reversed(node.children)]
+        return out
+
+    return per_page(components.select(*COLUMNS), ["ord", "id"], LAYOUT, fold)
+
+
+def find_container(components: DataFrame, container_id: str = "", label: str = "") -> DataFrame:
+    """The first node of each page, in pre-order, that has the id or whose label holds the given one in any case."""
+    wanted = F.col("id") == container_id if container_id else F.lit(False)
+    if label:
+        wanted = wanted | (F.instr(F.lower("label"), label.lower()) > 0)
+    tree = layout_tree(components).where(wanted)
+    return tree.groupBy("page_id").agg(F.min_by(F.struct("id", "inferred", "kind", "label"), "seq").alias("n")).select("page_id", "n.*")
+
+
+def container_children(components: DataFrame, container_id: str = "", label: str = "") -> DataFrame:
+    """Children, in layout order, of the container that find_container gives, with their share in percent."""
+    found = find_container(components, container_id, label).select("page_id", F.col("id").alias("parent"), F.col("label").alias("container_label"))
+    children = layout_tree(components).join(found, ["page_id", "parent"])
+    kind = F.when(F.col("inferred") == 1, F.col("kind"))
+    return children.select("page_id", "parent", "container_label", "seq", "id", F.when(F.col("inferred") == 0, F.col("kind")).alias("type"), kind.alias("kind"), "text", "axis", F.round(F.col("fraction") * 100, 1).alias("share_percent"), "x0", "y0", "x1", "y1")
+
+
+def occupancy_shares(components: DataFrame) -> DataFrame:
+    return layout_tree(components).where("axis is not null").select("page_id", "id", "parent", "axis", "fraction", "gap_before", "tiling")
+
+
+def layout_containers(components: DataFrame) -> DataFrame:
+    """Inferred containers that the layout reaches, with their label and the number of their children."""
+    tree = layout_tree(components)
+    children = tree.groupBy("page_id", F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    return tree.where("inferred = 1").join(children, ["page_id", "id"]).select("page_id", "id", "kind", "label", "confidence", "children")
+
+
+#: Tags of the types that have one of their own; others are div.
+TAGS = {"button": "button", "button_primary": "button", "input": "input", "text_field": "input", "navigation": "nav", "card": "section", "container": "section", "panel": "section", "region": "section", "label": "label", "image": "img"}
+NOTE = "<!-- This DOM is INFERRED from screenshot analysis{}, not observed HTML. -->\n"
+
+
+def dom_tree(components: DataFrame) -> DataFrame:
+    """The layout as nested tags with confidences, shares and labels; a page without any nesting as a flat list."""
+    quoted = lambda x: json.dumps(x, ensure_ascii=False)
+
+    def fold(page, r):
+        roots, _ = layout_of(r)
+        nested = any(n.children for n in roots)
+        lines = [NOTE.format(" (layout tree)" if nested else ""), '<div class="page">\n']
+
+        def write(node, depth):
+            i, g, pad = node.row, node.group, "  " * depth
+            share = f' data-share="{node.share[1] * 100:.0f}%"' if node.share else ""
+            if g:
+                tag, label = "div", f" aria-label={quoted(g.label)}" if g.label else ""
+                lines.append(f'{pad}<div class="{g.kind}" data-inferred="true" data-conf="{cents(g.trust):.2f}"{label}{share}>\n')
+            else:
+                tag = TAGS.get(r["type"][i], "div")
+                lines.append(f'{pad}<{tag} class="{r["type"][i]}" data-conf="{r["confidence"][i]:.2f}"{share}>\n')
+                if r["text"][i]:
+                    lines.append(f"{pad}  {r['text'][i]}\n")
+            for child in node.children:
+                write(child, depth + 1)
+            lines.append(f"{pad}</{tag}>\n")
+
+        for root in roots:
+            write(root, 1)
+        return [(page, "".join([*lines, "</div>\n"]))]
+
+    return per_page(components.select(*COLUMNS), ["ord", "id"], "page_id bigint, dom string", fold)
 
 
 #: Name: the relation that it folds, and the fold.
-FOLDS = {"reconcile": ("components", reconcile), "dedupe_boxes": ("boxes", dedupe_boxes), "union_boxes": ("boxes", union_boxes), "ocr_lines": ("tokens", ocr_lines), "text_components": ("tokens", text_components), "token_rows": ("tokens", token_rows), "repeated_groups": ("components", repeated_groups), "text_tiers": ("components", text_tiers), "horizontal_bands": ("tokens", horizontal_bands), "plan_adaptive": ("tokens", plan_adaptive)}
+FOLDS = {"reconcile": ("components", reconcile), "dedupe_boxes": ("boxes", dedupe_boxes), "union_boxes": ("boxes", union_boxes), "ocr_lines": ("tokens", ocr_lines), "text_components": ("tokens", text_components), "token_rows": ("tokens", token_rows), "text_tiers": ("components", text_tiers), "horizontal_bands": ("tokens", horizontal_bands), "plan_adaptive": ("tokens", plan_adaptive)}
+FOLDS |= {f.__name__: ("components", f) for f in (layout_tree, occupancy_shares, layout_containers, dom_tree)}
+FOLDS |= {f.__name__: ("components", partial(f, container_id="L:card:4", label="/5")) for f in (find_container, container_children)}

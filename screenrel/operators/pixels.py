@@ -1,37 +1,59 @@
-"""Measures over pixel tables: medians from 256-bin histograms, coverage, fill without ink, bars, corners."""
+"""Measures over pixel tables: medians from histograms, coverage, fill without ink, bars, corners.
+
+Each operator reads the pixels of its rectangles once. Rectangles are joined with pixels by page, most measures then need only the
+number of pixels of each colour, and medians are running counts over these, so what a window holds is one rectangle's colours.
+"""
 
 from __future__ import annotations
 
 from screenrel.operators.catalog import hex_of, operator, rounded
 
-INSIDE = "p.page_id = q.page_id AND p.x >= q.x0 AND p.x < q.x1 AND p.y >= q.y0 AND p.y < q.y1 AND p.a >= 128"
-FAR = "((s.r - m.r) * (s.r - m.r) + (s.g - m.g) * (s.g - m.g) + (s.b - m.b) * (s.b - m.b))"
+INSIDE = "p.page_id = q.page_id AND p.x >= q.x0 AND p.x < q.x1 AND p.y >= q.y0 AND p.y < q.y1"
+BY = "PARTITION BY page_id, rect_id"
+#: Types whose corners are measured.
+CORNERED = "'card', 'region', 'panel', 'container'"
 
 
-def sample(rects: str = "rects") -> str:
-    return f"SELECT q.page_id, q.rect_id, p.r, p.g, p.b FROM {rects} q JOIN pixels p ON {INSIDE}"
+def histogram(rects: str = "rects") -> str:
+    """Opaque pixels of each colour by rectangle."""
+    return f"SELECT q.page_id, q.rect_id, p.r, p.g, p.b, count(*) AS n FROM {rects} q JOIN pixels p ON {INSIDE} AND p.a >= 128 GROUP BY q.page_id, q.rect_id, p.r, p.g, p.b"
 
 
-def medians(d, rows: str) -> str:
-    """Upper median of each channel by rectangle: at most 256 rows a rectangle and channel reach the window."""
-    long = " UNION ALL ".join(f"SELECT page_id, rect_id, '{c}' AS channel, {c} AS v, count(*) AS n FROM ({rows}) h{c} GROUP BY page_id, rect_id, {c}" for c in "rgb")
-    running = f"SELECT page_id, rect_id, channel, v, sum(n) OVER (PARTITION BY page_id, rect_id, channel ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY page_id, rect_id, channel) AS total FROM ({long}) l"
-    picks = ", ".join(f"min(CASE WHEN channel = '{c}' AND upto > {d.div('total', '2')} THEN v END) AS {c}" for c in "rgb")
-    return f"SELECT page_id, rect_id, {picks}, CAST(max(total) AS BIGINT) AS n FROM ({running}) w GROUP BY page_id, rect_id"
+def centred(d, rows: str, weight: str = "n", name: str = "m") -> str:
+    """rows with the upper median of each channel of the rectangle, each row counted by its weight: columns mr, mg, mb and the total mt."""
+    running = ", ".join(f"sum({weight}) OVER ({BY} ORDER BY {c}) AS {name}u{c}" for c in "rgb")
+    picks = ", ".join(f"min(CASE WHEN {name}u{c} > {d.div(f'{name}t', '2')} THEN {c} END) OVER ({BY}) AS {name}{c}" for c in "rgb")
+    return f"SELECT *, {picks} FROM (SELECT *, {running}, sum({weight}) OVER ({BY}) AS {name}t FROM ({rows}) {name}h) {name}w"
+
+
+def far(name: str = "m") -> str:
+    """Squared distance of a row's colour from a median."""
+    return "(" + " + ".join(f"({c} - {name}{c}) * ({c} - {name}{c})" for c in "rgb") + ")"
 
 
 def trimmed(d) -> str:
+    """Rectangles without 0.15 of their size at each edge."""
     tx, ty = d.div("(x1 - x0) * 15", "100"), d.div("(y1 - y0) * 15", "100")
     return f"(SELECT page_id, rect_id, x0 + {tx} AS x0, y0 + {ty} AS y0, x1 - {tx} AS x1, y1 - {ty} AS y1 FROM rects)"
 
 
+def medians(d, rows: str) -> str:
+    return f"SELECT page_id, rect_id, max(mr) AS r, max(mg) AS g, max(mb) AS b FROM ({centred(d, rows)}) c GROUP BY page_id, rect_id"
+
+
 @operator("pixels", "rects")
 def sample_region(d):
-    return f"SELECT page_id, rect_id, r, g, b, {hex_of(d)} AS hex FROM ({medians(d, sample(trimmed(d)))}) m"
+    return f"SELECT page_id, rect_id, r, g, b, {hex_of(d)} AS hex FROM ({medians(d, histogram(trimmed(d)))}) m"
+
+
+@operator("pixels", "rects")
+def component_colors(d):
+    """The colour of each component's interior, as a measured fact."""
+    return f"SELECT page_id, rect_id, 'background' AS name, {hex_of(d)} AS hex, 'pixel_sampler' AS source, CAST(0.997 AS DOUBLE) AS confidence FROM ({medians(d, histogram(trimmed(d)))}) m"
 
 
 def coverage(d) -> str:
-    return f"SELECT m.page_id, m.rect_id, m.r, m.g, m.b, m.n, CAST(count(CASE WHEN {FAR} <= 576 THEN 1 END) AS DOUBLE) / count(*) AS coverage FROM ({medians(d, sample())}) m JOIN ({sample()}) s ON m.page_id = s.page_id AND m.rect_id = s.rect_id GROUP BY m.page_id, m.rect_id, m.r, m.g, m.b, m.n"
+    return f"SELECT page_id, rect_id, max(mr) AS r, max(mg) AS g, max(mb) AS b, CAST(max(mt) AS BIGINT) AS n, CAST(sum(CASE WHEN {far()} <= 576 THEN n ELSE 0 END) AS DOUBLE) / CAST(max(mt) AS DOUBLE) AS coverage FROM ({centred(d, histogram())}) c GROUP BY page_id, rect_id"
 
 
 @operator("pixels", "rects")
@@ -41,13 +63,15 @@ def region_coverage(d):
 
 @operator("pixels", "rects")
 def measure_region(d):
-    far = f"floor(sqrt(CAST((r - 7) * (r - 7) + (g - 138) * (g - 138) + (b - 82) * (b - 82) AS DOUBLE)))"
-    return f"SELECT page_id, rect_id, {hex_of(d)} AS hex, {rounded('coverage', 3)} AS coverage, CASE WHEN coverage >= CAST(0.9 AS DOUBLE) AND n >= 16 THEN 1 ELSE 0 END AS grounded, CASE WHEN n < 16 THEN least(coverage, CAST(0.5 AS DOUBLE)) ELSE {rounded('coverage', 3)} END AS confidence, CAST({far} AS BIGINT) AS distance, CASE WHEN {far} <= 24 THEN 1 ELSE 0 END AS matches FROM ({coverage(d)}) c"
+    away = "floor(sqrt(CAST((r - 7) * (r - 7) + (g - 138) * (g - 138) + (b - 82) * (b - 82) AS DOUBLE)))"
+    return f"SELECT page_id, rect_id, {hex_of(d)} AS hex, {rounded('coverage', 3)} AS coverage, CASE WHEN coverage >= CAST(0.9 AS DOUBLE) AND n >= 16 THEN 1 ELSE 0 END AS grounded, CASE WHEN n < 16 THEN least(coverage, CAST(0.5 AS DOUBLE)) ELSE {rounded('coverage', 3)} END AS confidence, CAST({away} AS BIGINT) AS distance, CASE WHEN {away} <= 24 THEN 1 ELSE 0 END AS matches FROM ({coverage(d)}) c"
 
 
 def fill(d) -> str:
-    body = f"SELECT s.page_id, s.rect_id, s.r, s.g, s.b FROM ({medians(d, sample())}) m JOIN ({sample()}) s ON m.page_id = s.page_id AND m.rect_id = s.rect_id WHERE {FAR} <= 8100"
-    return f"SELECT m.page_id, m.rect_id, m.r, m.g, m.b, m.n AS fill_pixels, o.n AS opaque_pixels, CAST(count(CASE WHEN {FAR} <= 576 THEN 1 END) AS DOUBLE) / count(*) AS coverage, 1 - CAST(m.n AS DOUBLE) / o.n AS ink_fraction FROM ({medians(d, body)}) m JOIN ({body}) s ON m.page_id = s.page_id AND m.rect_id = s.rect_id JOIN (SELECT page_id, rect_id, count(*) AS n FROM ({sample()}) a GROUP BY page_id, rect_id) o ON m.page_id = o.page_id AND m.rect_id = o.rect_id GROUP BY m.page_id, m.rect_id, m.r, m.g, m.b, m.n, o.n"
+    """Medians of the pixels within 90 of the first medians, and the share of these within 24 of theirs."""
+    body = f"CASE WHEN {far()} <= 8100 THEN n ELSE 0 END"
+    twice = centred(d, f"SELECT page_id, rect_id, r, g, b, n, mt, {body} AS f FROM ({centred(d, histogram())}) c", "f", "k")
+    return f"SELECT page_id, rect_id, max(kr) AS r, max(kg) AS g, max(kb) AS b, CAST(max(kt) AS BIGINT) AS fill_pixels, CAST(max(mt) AS BIGINT) AS opaque_pixels, CAST(sum(CASE WHEN {far('k')} <= 576 THEN f ELSE 0 END) AS DOUBLE) / CAST(max(kt) AS DOUBLE) AS coverage, 1 - CAST(max(kt) AS DOUBLE) / CAST(max(mt) AS DOUBLE) AS ink_fraction FROM ({twice}) t GROUP BY page_id, rect_id HAVING max(kt) > 0"
 
 
 @operator("pixels", "rects")
@@ -60,38 +84,56 @@ def measure_fill(d):
     return f"SELECT page_id, rect_id, {hex_of(d)} AS hex, {rounded('coverage', 3)} AS coverage, CASE WHEN coverage >= CAST(0.9 AS DOUBLE) AND fill_pixels >= 16 THEN 1 ELSE 0 END AS grounded FROM ({fill(d)}) f"
 
 
-@operator("pixels")
+@operator("pixels", "rects")
 def dominant_colors(d):
-    return f"SELECT page_id, hex, n, k FROM (SELECT page_id, hex, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, hex) AS k FROM (SELECT page_id, {hex_of(d)} AS hex FROM pixels WHERE a >= 128 AND x % {64 // 12} = 0 AND y % {48 // 12} = 0) c GROUP BY page_id, hex) q WHERE k <= 6"
+    """The six most frequent colours of a grid of points, twelve or so each way, in each rectangle."""
+    steps = f"(p.x - q.x0) % greatest(1, {d.div('q.x1 - q.x0', '12')}) = 0 AND (p.y - q.y0) % greatest(1, {d.div('q.y1 - q.y0', '12')}) = 0"
+    points = f"SELECT q.page_id, q.rect_id, {hex_of(d, 'p.r', 'p.g', 'p.b')} AS hex FROM rects q JOIN pixels p ON {INSIDE} AND p.a >= 128 AND {steps}"
+    return f"SELECT page_id, rect_id, hex, n, k FROM (SELECT page_id, rect_id, hex, count(*) AS n, row_number() OVER ({BY} ORDER BY count(*) DESC, hex) AS k FROM ({points}) c GROUP BY page_id, rect_id, hex) q WHERE k <= 6"
 
 
 @operator("pixels")
 def inspect_image(d):
-    return f"SELECT i.page_id, i.width, i.height, {hex_of(d)} AS dominant FROM (SELECT page_id, max(x) + 1 AS width, max(y) + 1 AS height FROM pixels GROUP BY page_id) i JOIN ({medians(d, 'SELECT page_id, 0 AS rect_id, r, g, b FROM pixels WHERE a >= 128')}) m ON i.page_id = m.page_id"
+    whole = "SELECT page_id, 0 AS rect_id, r, g, b, sum(CASE WHEN a >= 128 THEN 1 ELSE 0 END) AS n, max(x) AS x, max(y) AS y FROM pixels GROUP BY page_id, r, g, b"
+    return f"SELECT page_id, width, height, {hex_of(d)} AS dominant FROM (SELECT page_id, max(x) + 1 AS width, max(y) + 1 AS height, max(mr) AS r, max(mg) AS g, max(mb) AS b FROM ({centred(d, whole)}) c GROUP BY page_id) m WHERE r IS NOT NULL"
 
 
 @operator("pixels")
 def mean_luminance(d):
-    return f"SELECT page_id, {rounded('CAST(sum(299 * r + 587 * g + 114 * b) AS DOUBLE) / 1000 / count(*)', 6)} AS luminance FROM pixels GROUP BY page_id"
+    """Over a grid of 64 points or so each way."""
+    steps = f"x % greatest(1, {d.div('w', '64')}) = 0 AND y % greatest(1, {d.div('h', '64')}) = 0"
+    sized = "SELECT page_id, x, y, r, g, b, max(x) OVER (PARTITION BY page_id) + 1 AS w, max(y) OVER (PARTITION BY page_id) + 1 AS h FROM pixels"
+    return f"SELECT page_id, {rounded('CAST(sum(299 * r + 587 * g + 114 * b) AS DOUBLE) / 1000 / count(*)', 6)} AS luminance FROM ({sized}) s WHERE {steps} GROUP BY page_id"
 
 
-@operator("pixels")
+@operator("pixels", "rects")
 def bar_chart_gate(d):
-    columns = "SELECT page_id, x, count(CASE WHEN abs(r - 7) + abs(g - 138) + abs(b - 82) < 48 AND a >= 128 THEN 1 END) AS ink, max(y) + 1 AS h FROM pixels GROUP BY page_id, x"
-    islands = f"SELECT page_id, x, ink, x - row_number() OVER (PARTITION BY page_id ORDER BY x) AS island FROM ({columns}) c WHERE ink >= greatest(3, {d.div('h', '4')})"
-    bars = f"SELECT page_id, island, max(ink) AS height FROM ({islands}) i GROUP BY page_id, island"
-    return f"SELECT page_id, count(*) AS bars, CASE WHEN count(*) >= 3 AND 5 * (max(height) - min(height)) >= max(height) THEN 1 ELSE 0 END AS bar_chart FROM ({bars}) b GROUP BY page_id"
+    """Whether a region shows three bars or more: columns with ink (48 or more from the region's median colour) over a quarter of its height, of differing heights, on one baseline."""
+    rows = f"SELECT q.page_id, q.rect_id, q.x1 - q.x0 AS w, q.y1 - q.y0 AS h, p.x, p.y - q.y0 AS y, p.r, p.g, p.b, CASE WHEN p.a >= 128 THEN 1 ELSE 0 END AS n FROM rects q JOIN pixels p ON {INSIDE} WHERE q.x1 - q.x0 >= 12 AND q.y1 - q.y0 >= 24 AND q.x1 - q.x0 <= 6 * (q.y1 - q.y0)"
+    ink = "abs(r - mr) + abs(g - mg) + abs(b - mb) >= 48"
+    columns = f"SELECT page_id, rect_id, x, max(h) AS h, count(CASE WHEN {ink} THEN 1 END) AS ink, max(CASE WHEN {ink} THEN y END) AS low FROM ({centred(d, rows)}) c GROUP BY page_id, rect_id, x"
+    islands = f"SELECT page_id, rect_id, h, ink, low, x - row_number() OVER ({BY} ORDER BY x) AS island FROM ({columns}) c WHERE ink >= greatest(3, {d.div('h', '4')})"
+    bars = f"SELECT page_id, rect_id, max(h) AS h, max(ink) AS height, max(low) AS base FROM ({islands}) i GROUP BY page_id, rect_id, island"
+    mean = f"SELECT *, {d.div(f'sum(base) OVER ({BY})', f'count(*) OVER ({BY})')} AS mean FROM ({bars}) b"
+    found = f"SELECT page_id, rect_id, count(*) AS bars, CASE WHEN count(*) >= 3 AND 100 * (max(height) - min(height)) >= 20 * max(height) AND count(CASE WHEN abs(base - mean) <= greatest(4, {d.div('h', '8')}) THEN 1 END) = count(*) THEN 1 ELSE 0 END AS bar_chart FROM ({mean}) m GROUP BY page_id, rect_id"
+    return f"SELECT q.page_id, q.rect_id, coalesce(f.bars, 0) AS bars, coalesce(f.bar_chart, 0) AS bar_chart FROM rects q LEFT JOIN ({found}) f ON q.page_id = f.page_id AND q.rect_id = f.rect_id"
 
 
 @operator("pixels", "rects")
 def corner_style(d):
-    corner = " UNION ALL ".join(f"SELECT page_id, rect_id, {x} AS x, {y} AS y FROM rects" for x in ("x0 + 3", "x1 - 4") for y in ("y0 + 3", "y1 - 4"))
-    probe = "abs(p.r - i.r) + abs(p.g - i.g) + abs(p.b - i.b) > abs(p.r - o.r) + abs(p.g - o.g) + abs(p.b - o.b)"
-    outside = f"(SELECT q.page_id, q.rect_id, p.r, p.g, p.b FROM rects q JOIN pixels p ON p.page_id = q.page_id AND p.x = greatest(0, q.x0 - 6) AND p.y = greatest(0, q.y0 - 6))"
-    rows = f"SELECT c.page_id, c.rect_id, sum(CASE WHEN {probe} THEN 1 ELSE 0 END) AS near_background, max(abs(i.r - o.r) + abs(i.g - o.g) + abs(i.b - o.b)) AS separation FROM ({corner}) c JOIN pixels p ON c.page_id = p.page_id AND c.x = p.x AND c.y = p.y JOIN ({medians(d, sample())}) i ON c.page_id = i.page_id AND c.rect_id = i.rect_id JOIN {outside} o ON c.page_id = o.page_id AND c.rect_id = o.rect_id GROUP BY c.page_id, c.rect_id"
-    return f"SELECT page_id, rect_id, CASE WHEN separation < 30 OR near_background = 2 THEN NULL WHEN near_background >= 3 THEN 'rounded' ELSE 'square' END AS style FROM ({rows}) s"
-
-
-@operator("components", "colors")
-def component_colors(d):
-    return f"SELECT page_id, ord, {hex_of(d)} AS hex, CAST(0.997 AS DOUBLE) AS confidence FROM colors"
+    """Whether corners show the page (rounded) or the region's fill (square); withheld where these are too alike, or two corners go each way."""
+    inset, probe = 3, 6
+    sx, sy = (f"greatest(1, {d.div(f'q.{c}1 - q.{c}0 - {8 * inset}', '16')})" for c in "xy")
+    inner = f"p.x >= q.x0 + {4 * inset} AND p.x < q.x1 - {4 * inset} AND p.y >= q.y0 + {4 * inset} AND p.y < q.y1 - {4 * inset} AND (p.x - q.x0 - {4 * inset}) % {sx} = 0 AND (p.y - q.y0 - {4 * inset}) % {sy} = 0"
+    middle = d.div("q.x0 + q.x1", "2")
+    spots = {"up": (middle, f"q.y0 - {probe}"), "down": (middle, f"q.y1 + {probe}")}
+    spots |= {f"c{k}": (x, y) for k, (x, y) in enumerate((x, y) for y in (f"q.y0 + {inset}", f"q.y1 - {1 + inset}") for x in (f"q.x0 + {inset}", f"q.x1 - {1 + inset}"))}
+    picks = ", ".join(f"max(CASE WHEN p.x = {x} AND p.y = {y} THEN p.{c} END) AS {name}{c}" for name, (x, y) in spots.items() for c in "rgb")
+    sums = ", ".join(f"{d.div(f'sum(CASE WHEN {inner} THEN p.{c} ELSE 0 END)', f'greatest(1, count(CASE WHEN {inner} THEN 1 END))')} AS i{c}" for c in "rgb")
+    rows = f"SELECT q.page_id, q.rect_id, {sums}, {picks} FROM rects q JOIN pixels p ON p.page_id = q.page_id AND p.x >= q.x0 AND p.x < q.x1 AND p.y >= q.y0 - {probe} AND p.y <= q.y1 + {probe} WHERE q.type IN ({CORNERED}) AND q.x1 - q.x0 > {8 * inset} AND q.y1 - q.y0 > {8 * inset} GROUP BY q.page_id, q.rect_id"
+    outer = ", ".join(f"CASE WHEN upr IS NULL THEN down{c} ELSE up{c} END AS page{c}" for c in "rgb")
+    away = lambda a, b: "(" + " + ".join(f"abs({a}{c} - {b}{c})" for c in "rgb") + ")"
+    votes = " + ".join(f"CASE WHEN {away(f'c{k}', 'page')} < {away(f'c{k}', 'i')} THEN 1 ELSE 0 END" for k in range(4))
+    apart = " + ".join(f"coalesce(abs({away(f'c{k}', 'i')} - {away(f'c{k}', 'page')}), 0)" for k in range(4))
+    voted = f"SELECT page_id, rect_id, {away('i', 'page')} AS base, {votes} AS rounded_corners, {apart} AS sep FROM (SELECT *, {outer} FROM ({rows}) r) s WHERE {away('i', 'page')} >= 30"
+    return f"SELECT page_id, rect_id, CASE WHEN rounded_corners >= 3 THEN 'rounded' ELSE 'square' END AS style, rounded_corners, {rounded('greatest(CAST(0.1 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(sep AS DOUBLE) / 4 / base))', 6)} AS confidence FROM ({voted}) v WHERE rounded_corners <> 2"

@@ -76,7 +76,7 @@ def is_wordy(d):
 
 @operator("tokens")
 def redact_text(d):
-    return f"SELECT page_id, turn, pos, {d.replace('text', '[^ ,.!?()_:;/@#-]', '█')} AS text FROM tokens"
+    return f"SELECT page_id, turn, pos, {d.replace('text', '[^ \\n\\t,.!?()\\[\\]_:;/@#-]', '█')} AS text FROM tokens"
 
 
 @operator("components", "boxes")
@@ -162,12 +162,6 @@ def query_text_near(d):
     return f"SELECT page_id, id, text, {hex_of(d)} AS color, total FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS k, count(*) OVER (PARTITION BY page_id) AS total FROM ({BEST}) b WHERE weight = 'heavy' AND {distance('r', 'g', 'b', (100, 100, 100))} <= 120) q WHERE k <= 40"
 
 
-@operator("components", "parents")
-def container_children(d):
-    span = "max(CAST(c.y1 AS DOUBLE)) OVER (PARTITION BY p.page_id, p.parent) - min(c.y0) OVER (PARTITION BY p.page_id, p.parent)"
-    return f"SELECT p.page_id, p.parent, p.id, c.type, c.text, {rounded(f'100 * CAST(c.y1 - c.y0 AS DOUBLE) / ({span})', 1)} AS share_percent FROM parents p JOIN components c ON p.page_id = c.page_id AND p.id = c.id WHERE p.parent IS NOT NULL"
-
-
 @operator("components", "vision")
 def tokens_in_box(d):
     return f"SELECT v.page_id, v.crop_id, t.id FROM (SELECT DISTINCT page_id, crop_id, cx0 AS x0, cy0 AS y0, cx0 + 640 AS x1, cy0 + 550 AS y1 FROM vision) v JOIN components t ON v.page_id = t.page_id AND t.type = 'text' AND {overlaps('v', 't')}"
@@ -199,10 +193,10 @@ def crop_sections(d):
     return "SELECT page_id, crop_id, type, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id, crop_id ORDER BY ord) AS k FROM vision) q WHERE k = 1"
 
 
-@operator("components", "edges")
+@operator("components", "edges", "triples")
 def augment_edges(d):
-    model = f"SELECT page_id, id AS a, concat('c', CAST(page_id * 60 + (ord + 1) % 60 AS {d.string})) AS b, 'contains' AS relation FROM components"
-    return f"SELECT DISTINCT m.page_id, m.a, m.b, m.relation, CAST(0.6 AS DOUBLE) AS confidence FROM ({model}) m JOIN components x ON m.page_id = x.page_id AND m.b = x.id LEFT JOIN edges e ON m.page_id = e.page_id AND m.a = e.a AND m.b = e.b AND m.relation = e.relation WHERE e.a IS NULL"
+    """A model's triples whose ends are known components, without those that geometry has given already."""
+    return "SELECT DISTINCT m.page_id, m.a, m.b, m.relation, CAST(0.6 AS DOUBLE) AS confidence FROM triples m JOIN components x ON m.page_id = x.page_id AND m.a = x.id JOIN components y ON m.page_id = y.page_id AND m.b = y.id LEFT JOIN edges e ON m.page_id = e.page_id AND m.a = e.a AND m.b = e.b AND m.relation = e.relation WHERE e.a IS NULL"
 
 
 @operator("components")
@@ -260,12 +254,14 @@ def weight_rollup(d):
 
 @operator("components", "colors")
 def top_colors(d):
-    return f"SELECT page_id, hex, n, k FROM (SELECT page_id, hex, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(ord)) AS k FROM (SELECT page_id, ord, {hex_of(d, d.div('r', '64') + ' * 64', d.div('g', '64') + ' * 64', d.div('b', '64') + ' * 64')} AS hex FROM colors) c GROUP BY page_id, hex) q WHERE k <= 8"
+    return f"SELECT page_id, hex, n, k FROM (SELECT page_id, hex, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(ord)) AS k FROM (SELECT page_id, ord, {hex_of(d)} AS hex FROM colors) c GROUP BY page_id, hex) q WHERE k <= 8"
 
 
 @operator("components")
 def tier_bands(d):
-    return "SELECT page_id, tier, count(*) AS n, min(h) AS min_height, max(h) AS max_height FROM components WHERE tier IS NOT NULL GROUP BY page_id, tier"
+    """Bands by level, the largest first; the name is the first one seen in a band."""
+    level = "CASE tier WHEN 'heading' THEN 0 WHEN 'body' THEN 1 ELSE 2 END"
+    return f"SELECT page_id, level, max(CASE WHEN k = 1 THEN tier END) AS tier, count(*) AS n, min(h) AS min_height, max(h) AS max_height FROM (SELECT page_id, tier, h, {level} AS level, row_number() OVER (PARTITION BY page_id, {level} ORDER BY ord) AS k FROM components WHERE tier IS NOT NULL) t GROUP BY page_id, level"
 
 
 @operator("components")
@@ -273,9 +269,13 @@ def page_confidence(d):
     return f"SELECT page_id, {rounded('coalesce(avg(CAST(100 * confidence AS DOUBLE)) / 100, CAST(0.5 AS DOUBLE))', 6)} AS confidence FROM components GROUP BY page_id"
 
 
-@operator("components")
+@operator("components", "vision")
 def needs_escalation(d):
-    return "SELECT page_id, unresolved, CASE WHEN mean < CAST(0.8 AS DOUBLE) OR unresolved > 20 THEN 1 ELSE 0 END AS escalate FROM (SELECT page_id, avg(confidence) AS mean, count(CASE WHEN confidence < CAST(0.8 AS DOUBLE) THEN 1 END) AS unresolved FROM components GROUP BY page_id) q"
+    """Low confidence, many unresolved components, or boxes that can't be recovered for more than 0.3 a crop."""
+    lost = "SELECT v.page_id, v.crop_id, v.ord, CASE WHEN (v.x1 <= v.x0 OR v.y1 <= v.y0) AND count(t.id) = 0 THEN 1 ELSE 0 END AS lost FROM vision v LEFT JOIN components t ON v.page_id = t.page_id AND t.type = 'text' AND trim(v.text) <> '' AND trim(t.text) <> '' AND (instr(lower(trim(v.text)), lower(trim(t.text))) > 0 OR instr(lower(trim(t.text)), lower(trim(v.text))) > 0) GROUP BY v.page_id, v.crop_id, v.ord, v.x0, v.y0, v.x1, v.y1"
+    rate = f"SELECT page_id, CAST(sum(lost) AS DOUBLE) / count(DISTINCT crop_id) AS disagreement FROM ({lost}) l GROUP BY page_id"
+    pages = "SELECT page_id, avg(CAST(100 * confidence AS DOUBLE)) / 100 AS mean, count(CASE WHEN confidence < CAST(0.8 AS DOUBLE) THEN 1 END) AS unresolved FROM components GROUP BY page_id"
+    return f"SELECT p.page_id, p.unresolved, {rounded('coalesce(r.disagreement, CAST(0 AS DOUBLE))', 6)} AS disagreement, CASE WHEN p.mean < CAST(0.8 AS DOUBLE) OR p.unresolved > 20 OR coalesce(r.disagreement, CAST(0 AS DOUBLE)) > CAST(0.3 AS DOUBLE) THEN 1 ELSE 0 END AS escalate FROM ({pages}) p LEFT JOIN ({rate}) r ON p.page_id = r.page_id"
 
 
 @operator("components")
@@ -294,43 +294,34 @@ def axis_clusters(d):
     return f"SELECT page_id, type, cluster, count(*) AS members, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(gap) OVER (PARTITION BY page_id, type ORDER BY {d.div('x0 + x1', '2')}, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM (SELECT *, {gap} AS gap FROM components WHERE type NOT IN ('text', 'label')) a) b GROUP BY page_id, type, cluster HAVING count(*) >= 2"
 
 
-COLUMNS = "SELECT page_id, type, x0 AS gx, ord, x0, y0, x1, y1, id FROM components WHERE type NOT IN ('text', 'label', '')"
-
-
-def gaps(d) -> str:
-    gap = "greatest(0, y0 - lag(y1) OVER (PARTITION BY page_id, type, gx ORDER BY y0, ord))"
-    ranked = f"SELECT page_id, type, gx, gap, row_number() OVER (PARTITION BY page_id, type, gx ORDER BY gap) AS k, count(gap) OVER (PARTITION BY page_id, type, gx) AS n FROM (SELECT page_id, type, gx, CASE WHEN lag(y1) OVER (PARTITION BY page_id, type, gx ORDER BY y0, ord) IS NOT NULL THEN {gap} END AS gap FROM ({COLUMNS}) c) g WHERE gap IS NOT NULL"
-    return f"SELECT page_id, type, gx, max(CASE WHEN k = {d.div('n', '2')} + 1 THEN gap END) AS gap_median, max(gap) - min(gap) AS gap_spread FROM ({ranked}) r GROUP BY page_id, type, gx"
-
-
-@operator("components")
+@operator("groups")
 def group_gaps(d):
-    return gaps(d)
+    return "SELECT page_id, type, ordinal, axis, gap_median, gap_spread FROM groups"
 
 
-@operator("components")
+@operator("groups")
 def even_groups(d):
-    return f"SELECT page_id, count(CASE WHEN gap_median > 0 AND 4 * gap_spread < gap_median THEN 1 END) AS even FROM ({gaps(d)}) g GROUP BY page_id"
+    return "SELECT page_id, count(CASE WHEN gap_median > 0 AND 4 * gap_spread < gap_median THEN 1 END) AS even FROM groups GROUP BY page_id"
 
 
-@operator("components")
+@operator("members")
+def repeated_groups(d):
+    return f"SELECT page_id, type, axis, ordinal, max(spacing) AS spacing, {d.joined('id', ',', 'place')} AS member_ids FROM members GROUP BY page_id, type, axis, ordinal"
+
+
+@operator("containers")
 def inferred_containers(d):
-    trust = "CASE WHEN gap_median = 0 THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - CAST(gap_spread AS DOUBLE) / gap_median)) END"
-    return f"SELECT c.page_id, c.type, c.gx, count(*) AS members, min(c.x0) AS x0, min(c.y0) AS y0, max(c.x1) AS x1, max(c.y1) AS y1, {rounded(f'max({trust})', 6)} AS confidence FROM ({COLUMNS}) c JOIN ({gaps(d)}) g ON c.page_id = g.page_id AND c.type = g.type AND c.gx = g.gx WHERE {trust} >= CAST(0.5 AS DOUBLE) GROUP BY c.page_id, c.type, c.gx HAVING count(*) >= 2"
+    return "SELECT page_id, id, type, kind, label, members, x0, y0, x1, y1, confidence FROM containers"
 
 
-@operator("components")
+@operator("headers")
 def group_headers(d):
-    box = f"SELECT page_id, type, gx, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1 FROM ({COLUMNS}) c GROUP BY page_id, type, gx HAVING count(*) >= 2"
-    return f"SELECT page_id, type, gx, header_id, header FROM (SELECT g.page_id, g.type, g.gx, t.id AS header_id, t.text AS header, row_number() OVER (PARTITION BY g.page_id, g.type, g.gx ORDER BY g.y0 - t.y1, -(least(g.x1, t.x1) - greatest(g.x0, t.x0)), t.ord) AS k FROM ({box}) g JOIN components t ON g.page_id = t.page_id AND t.type = 'text' AND g.y0 - t.y1 BETWEEN 0 AND 120 AND least(g.x1, t.x1) > greatest(g.x0, t.x0)) q WHERE k = 1"
+    return "SELECT page_id, type, ordinal, header_id, header FROM headers"
 
 
-@operator("components")
+@operator("containers")
 def inferred_parent(d):
-    """Smallest component around each inferred container that is larger and no member of it."""
-    area = "(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
-    member = "coalesce(c.type, '') = i.type AND c.x0 = i.gx"
-    return f"SELECT page_id, type, gx, parent FROM (SELECT i.page_id, i.type, i.gx, c.id AS parent, row_number() OVER (PARTITION BY i.page_id, i.type, i.gx ORDER BY {area.format('c')}, c.ord) AS k FROM ({inferred_containers(d)}) i LEFT JOIN components c ON i.page_id = c.page_id AND {contains('c', 'i')} AND {area.format('c')} > {area.format('i')} AND NOT ({member})) q WHERE k = 1"
+    return "SELECT page_id, id, parent FROM containers"
 
 
 @operator("components")
@@ -338,31 +329,6 @@ def position_order(d):
     return "SELECT page_id, id, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, ord) AS place FROM components"
 
 
-@operator("components", "parents")
-def occupancy_shares(d):
-    return f"SELECT page_id, parent, id, {rounded('CAST(y1 - y0 AS DOUBLE) / greatest(1, hi - lo)', 2)} AS fraction, coalesce(y0 - before, 0) AS gap_before FROM (SELECT p.page_id, p.parent, p.id, c.y0, c.y1, max(c.y1) OVER (PARTITION BY p.page_id, p.parent) AS hi, min(c.y0) OVER (PARTITION BY p.page_id, p.parent) AS lo, count(*) OVER (PARTITION BY p.page_id, p.parent) AS n, lag(c.y1) OVER (PARTITION BY p.page_id, p.parent ORDER BY c.y0, c.ord) AS before FROM parents p JOIN components c ON p.page_id = c.page_id AND p.id = c.id WHERE p.parent IS NOT NULL) q WHERE n >= 2"
-
-
-@operator("components", "parents")
-def layout_tree(d):
-    """Depth of each node; parents are strictly larger, so eight levels of joins reach every root of these pages and deeper chains report 8."""
-    joins, depth = "", "0"
-    for k in range(1, 9):
-        joins += f" LEFT JOIN parents p{k} ON n.page_id = p{k}.page_id AND {'n.parent' if k == 1 else f'p{k - 1}.parent'} = p{k}.id"
-    depth = "CASE WHEN n.parent IS NULL THEN 0 " + " ".join(f"WHEN p{k}.parent IS NULL THEN {k}" for k in range(1, 9)) + " ELSE 8 END"
-    return f"SELECT n.page_id, n.id, n.parent, {depth} AS depth FROM parents n{joins}"
-
-
-@operator("components", "parents")
-def find_container(d):
-    return "SELECT page_id, id, parent FROM (SELECT p.page_id, p.parent, p.id, row_number() OVER (PARTITION BY p.page_id ORDER BY c.y0, c.x0, c.ord) AS k FROM parents p JOIN components c ON p.page_id = c.page_id AND p.id = c.id WHERE lower(coalesce(c.text, '')) LIKE '%label%' OR p.id = 'c4') q WHERE k = 1"
-
-
-@operator("components", "parents")
-def layout_containers(d):
-    return "SELECT p.page_id, p.parent AS id, c.type, count(*) AS children, max(c.confidence) AS confidence FROM parents p JOIN components c ON p.page_id = c.page_id AND p.parent = c.id GROUP BY p.page_id, p.parent, c.type"
-
-
 @operator("components")
 def dom_tags(d):
     return "SELECT page_id, id, CASE WHEN type IN ('button', 'button_primary') THEN 'button' WHEN type IN ('input', 'text_field') THEN 'input' WHEN type = 'navigation' THEN 'nav' WHEN type IN ('card', 'container', 'panel', 'region') THEN 'section' WHEN type = 'label' THEN 'label' WHEN type = 'image' THEN 'img' ELSE 'div' END AS tag FROM components"
@@ -370,9 +336,10 @@ def dom_tags(d):
 
 @operator("components")
 def dom_flat(d):
-    tag = f"SELECT t.page_id, t.id, t.tag, c.text, c.ord, c.y0, c.x0 FROM ({dom_tags(d)}) t JOIN components c ON t.page_id = c.page_id AND t.id = c.id"
-    line = "concat('<', tag, ' id=\"', id, '\">', coalesce(text, ''), '</', tag, '>')"
-    return f"SELECT page_id, {d.joined(line, ' ', 'y0, x0, ord')} AS dom FROM ({tag}) q GROUP BY page_id"
+    """Components from the top as a flat list of tags; there, of the boxes only cards are sections."""
+    tag = f"SELECT t.page_id, CASE WHEN t.tag = 'section' AND c.type <> 'card' THEN 'div' ELSE t.tag END AS tag, c.type, c.text, c.confidence, c.ord, c.y0, c.x0 FROM ({dom_tags(d)}) t JOIN components c ON t.page_id = c.page_id AND t.id = c.id"
+    line = f"concat('  <', tag, ' class=\"', type, '\" data-conf=\"', {d.fixed('confidence', 2)}, '\">', {d.newline()}, CASE WHEN text IS NULL THEN '' ELSE concat('    ', text, {d.newline()}) END, '  </', tag, '>', {d.newline()})"
+    return f"SELECT page_id, {d.joined(line, '', 'y0, x0, ord')} AS dom FROM ({tag}) q GROUP BY page_id"
 
 
 @operator("components")
@@ -400,8 +367,11 @@ def text_weight(d):
 
 @operator("components")
 def tier_confidence(d):
-    own, other = "least(abs(h - 10), abs(h - 28))", "greatest(abs(h - 10), abs(h - 28))"
-    return f"SELECT page_id, id, CASE WHEN abs(h - 28) < abs(h - 10) THEN 'heading' ELSE 'body' END AS tier, {rounded(f'CAST({other} - {own} AS DOUBLE) / ({other} + {own})', 6)} AS confidence FROM components WHERE type = 'text'"
+    """How clearly a text's height belongs to its tier: by the distances to the mean height of its own and of the nearest other tier of its page."""
+    centres = "SELECT page_id, tier, CAST(sum(h) AS DOUBLE) / count(*) AS centre FROM components WHERE type = 'text' AND tier IS NOT NULL GROUP BY page_id, tier"
+    rows = f"SELECT t.page_id, t.id, t.tier, max(CASE WHEN c.tier = t.tier THEN abs(t.h - c.centre) END) AS own, min(CASE WHEN c.tier <> t.tier THEN abs(t.h - c.centre) END) AS other FROM components t JOIN ({centres}) c ON t.page_id = c.page_id WHERE t.type = 'text' AND t.tier IS NOT NULL GROUP BY t.page_id, t.id, t.tier"
+    margin = "greatest(CAST(0 AS DOUBLE), (other - own) / (other + own))"
+    return f"SELECT page_id, id, tier, CASE WHEN other IS NULL THEN CAST(1 AS DOUBLE) WHEN other <= 0 THEN CAST(0 AS DOUBLE) ELSE {rounded(margin, 6)} END AS confidence FROM ({rows}) r"
 
 
 @operator("tokens")
@@ -409,17 +379,17 @@ def ocr_runs(d):
     return f"SELECT page_id, turn, line, run, {d.joined('text', ' ', 'pos')} AS text, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(fresh) OVER (PARTITION BY page_id, turn, line ORDER BY x0, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_id, turn, line ORDER BY x0, pos) > 60 THEN 1 ELSE 0 END AS fresh FROM (SELECT *, {d.div('pos', '10')} AS line FROM tokens) l) a) b GROUP BY page_id, turn, line, run"
 
 
-@operator()
+@operator("images")
 def plan_fixed(d):
-    pages = f"(SELECT n AS page_id, 600 + n * 97 AS w, 500 + n * 61 AS h FROM {d.numbers(20)} nums)"
+    pages = "images"
     return f"SELECT page_id, 409 * i AS x0, 409 * j AS y0, least(w, 409 * i + 512) AS x1, least(h, 409 * j + 512) AS y1 FROM (SELECT page_id, w, h, i, {d.explode}({d.series('0', d.div('h - 1', '409'))}) AS j FROM (SELECT page_id, w, h, {d.explode}({d.series('0', d.div('w - 1', '409'))}) AS i FROM {pages} p) a) b"
 
 
-@operator()
+@operator("images")
 def plan_grid(d):
-    pages = f"(SELECT n AS page_id, 600 + n * 97 AS w, 500 + n * 61 AS h FROM {d.numbers(20)} nums)"
+    pages = "images"
     px, py = d.div(d.div("w", "2") + " * 20", "100"), d.div(d.div("h", "2") + " * 20", "100")
-    return f"SELECT page_id, 'ov' AS id, 0 AS x0, 0 AS y0, w AS x1, h AS y1 FROM {pages} p UNION ALL SELECT page_id, concat('g', CAST(i AS {d.string}), '-', CAST(j AS {d.string})), greatest(0, j * {d.div('w', '2')} - {px}), greatest(0, i * {d.div('h', '2')} - {py}), least(w, CASE j WHEN 1 THEN w ELSE {d.div('w', '2')} END + {px}), least(h, CASE i WHEN 1 THEN h ELSE {d.div('h', '2')} END + {py}) FROM {pages} p CROSS JOIN {values([(0,), (1,)], 'i')} a CROSS JOIN {values([(0,), (1,)], 'j')} b"
+    return f"SELECT page_id, 'ov' AS id, 0 AS x0, 0 AS y0, w AS x1, h AS y1 FROM {pages} p UNION ALL SELECT page_id, concat('g', CAST(i AS {d.string}), '-', CAST(j AS {d.string})), greatest(0, j * {d.div('w', '2')} - {px}), greatest(0, i * {d.div('h', '2')} - {py}), least(w, CASE j WHEN 1 THEN w ELSE {d.div('w', '2')} END + {px}), least(h, CASE i WHEN 1 THEN h ELSE {d.div('h', '2')} END + {py}) FROM (SELECT page_id, w, h, i, {d.explode}({d.series('0', '1')}) AS j FROM (SELECT page_id, w, h, {d.explode}({d.series('0', '1')}) AS i FROM {pages} p) a) b"
 
 
 @operator("components")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenrel.engine import Engine
+from screenrel.operators import folds
 from screenrel.operators.catalog import iou, overlaps
 
 LIMIT, TOLERANCE, NEAR = 40, 60, 24
@@ -93,15 +94,10 @@ def query_text(components: DataFrame, colors: DataFrame, contains: str = "", tie
 
 
 def get_container_children(components: DataFrame, container_id: str = "", label: str = "") -> DataFrame:
-    """Children of a container by its id, or of those whose own text holds the label, in layout order, with their share of the container."""
-    engine = Engine(components.sparkSession, {"components": components})
+    """Children, in layout order, of the first node of each page's layout that has the id, or whose header holds the label, with their share of the container."""
     if not container_id and not label:
         raise ValueError("container_id or label is required")
-    children = engine.run("container_children")
-    if container_id:
-        return children.where(F.col("parent") == container_id)
-    named = components.where(contains_text("text", label)).select("page_id", F.col("id").alias("parent"))
-    return children.join(named, ["page_id", "parent"], "left_semi")
+    return folds.container_children(components, container_id, label)
 
 
 def _measured(name: str, pixels: DataFrame, rects: DataFrame) -> DataFrame:

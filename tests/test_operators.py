@@ -17,7 +17,7 @@ def plain(v):
     return round(float(v), 7) if isinstance(v, (int, float)) else v
 
 
-@pytest.mark.parametrize("name", list(engine.OPERATORS))
+@pytest.mark.parametrize("name", [*engine.OPERATORS, *engine.ORACLES])
 def test_equals_oracle(spark, duck, sf, name):
     df = engine.over_tables(spark, sf, name)
     columns = sorted(df.columns)
@@ -70,33 +70,103 @@ def test_engine_runs_on_own_relations(spark):
     assert [(r.a, r.relation, r.b) for r in got] == [("outer", "contains", "inner")]
 
 
+COMPONENTS = "page_id long, ord long, id string, type string, text string, x0 long, y0 long, x1 long, y1 long, confidence double"
+
+
+def components(spark, boxes):
+    """Boxes (type, text, x0, y0, x1, y1) of page 1, named c0, c1, ..."""
+    return spark.createDataFrame([(1, k, f"c{k}", *box, 0.5) for k, box in enumerate(boxes)], COMPONENTS)
+
+
+def run(spark, df, name, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in engine.Engine(spark, {"components": df}).run(name).collect())
+
+
 def test_groups_hold_every_member(spark):
-    """Cards past ord 30 and other types, against gaps, boxes and parents worked out by hand."""
-    column = [("card", 40, 100, 300, 120), ("card", 40, 240, 300, 120), ("card", 40, 380, 300, 120), ("card", 40, 540, 300, 120)]
-    icons = [("icon", 600, 100, 20, 20), ("icon", 600, 130, 20, 20), ("icon", 600, 160, 20, 20)]
-    others = [("text", 40, 70, 100, 20), ("text", 600, 60, 50, 20), ("panel", 590, 90, 60, 120), ("label", 40, 0, 9, 9), ("label", 40, 50, 9, 9)]
-    rows = [(1, 28 + k, f"c{k}", kind, f"t{k}" if kind == "text" else None, x, y, x + w, y + h) for k, (kind, x, y, w, h) in enumerate(column + icons + others)]
-    df = spark.createDataFrame(rows, "page_id long, ord long, id string, type string, text string, x0 long, y0 long, x1 long, y1 long")
-    run = lambda name, *names: sorted(tuple(r[n] for n in names) for r in engine.Engine(spark, {"components": df}).run(name).collect())
-    assert run("group_gaps", "type", "gx", "gap_median", "gap_spread") == [("card", 40, 20, 20), ("icon", 600, 10, 0)]
-    assert run("even_groups", "page_id", "even") == [(1, 1)]
-    assert run("inferred_containers", "type", "gx", "members", "y0", "y1", "confidence") == [("icon", 600, 3, 100, 180, 1.0)]
-    assert run("group_headers", "type", "gx", "header_id") == [("card", 40, "c7"), ("icon", 600, "c8")]
-    assert run("inferred_parent", "type", "gx", "parent") == [("icon", 600, "c9")]
-
-
-def test_groups_of_the_tables_equal_brute_force(spark, sf):
-    groups, want = {}, {}
-    for r in engine.relation(spark, sf, "components").collect():
-        if r.type not in ("text", "label"):
-            groups.setdefault((r.page_id, r.type, r.x0), []).append((r.y0, r.ord, r.y1))
-    for key, members in groups.items():
-        members.sort()
-        found = sorted(max(0, b[0] - a[2]) for a, b in zip(members, members[1:], strict=False))
-        if found:
-            want[key] = (found[len(found) // 2], found[-1] - found[0])
-    assert {(r.page_id, r.type, r.gx): (r.gap_median, r.gap_spread) for r in engine.over_tables(spark, sf, "group_gaps").collect()} == want
-    assert {len(m) for (_, kind, _), m in groups.items() if kind == "card"} == {4}
+    column = [("card", None, 40, 100 + 140 * k, 340, 220 + 140 * k) for k in range(3)] + [("card", None, 40, 540, 340, 660)]
+    icons = [("icon", None, 600, 100 + 30 * k, 620, 120 + 30 * k) for k in range(3)]
+    others = [("text", "t7", 40, 70, 140, 90), ("text", "t8", 600, 60, 650, 80), ("panel", None, 590, 90, 650, 210), ("label", None, 40, 0, 49, 9), ("label", None, 40, 50, 49, 59)]
+    df = components(spark, column + icons + others)
+    assert run(spark, df, "repeated_groups", "type", "axis", "spacing", "member_ids") == [("card", "x", 146, "c0,c1,c2,c3"), ("icon", "x", 30, "c4,c5,c6")]
+    assert run(spark, df, "group_gaps", "type", "gap_median", "gap_spread") == [("card", 20, 20), ("icon", 10, 0)]
+    assert run(spark, df, "even_groups", "page_id", "even") == [(1, 1)]
+    assert run(spark, df, "inferred_containers", "type", "members", "y0", "y1", "confidence", "kind", "label") == [("icon", 3, 100, 180, 1.0, "column", "t8")]
+    assert run(spark, df, "group_headers", "type", "header_id") == [("card", "c7"), ("icon", "c8")]
+    assert run(spark, df, "inferred_parent", "id", "parent") == [("L:icon:1", "c9")]
+
+
+def test_layout_shares(spark):
+    df = components(spark, [("panel", None, 0, 0, 300, 400), ("text", "header", 10, 10, 290, 50), ("panel", None, 10, 60, 290, 390)])
+    tree = {r.id: r for r in folds.layout_tree(df).collect()}
+    assert [tree[k].depth for k in ("c0", "c1", "c2")] == [0, 1, 1] and tree["c1"].axis == "y" and tree["c2"].fraction > tree["c1"].fraction
+    assert (tree["c1"].fraction, tree["c2"].fraction, tree["c2"].gap_before, tree["c1"].tiling) == (0.11, 0.87, 0.03, 0.95)
+
+
+def test_layout_of_an_even_column(spark):
+    cards = [("card", None, 100, 100 + 60 * k, 200, 150 + 60 * k) for k in range(3)]
+    df = components(spark, [("text", "TO DO (3)", 100, 60, 200, 90), *cards, ("icon", None, 110, 110, 120, 120)])
+    tree = [(r.id, r.parent, r.inferred, r.label) for r in folds.layout_tree(df).orderBy("seq").collect()]
+    # what lies in a card of the column is in no tree
+    assert tree == [("c0", None, 0, None), ("L:card:1", None, 1, "TO DO (3)"), ("c1", "L:card:1", 0, None), ("c2", "L:card:1", 0, None), ("c3", "L:card:1", 0, None)]
+    assert [r.id for r in folds.container_children(df, label="to do").orderBy("seq").collect()] == ["c1", "c2", "c3"]
+    dom = folds.dom_tree(df).first().dom
+    assert '<div class="column" data-inferred="true" data-conf="1.00" aria-label="TO DO (3)">' in dom and dom.count("<section") == 3 and 'data-share="29%"' in dom
+    uneven = [("card", None, 100, y, 200, y + 50) for y in (100, 160, 520)]
+    assert folds.layout_containers(components(spark, uneven)).count() == 0
+
+
+def test_layout_is_as_deep_as_the_page(spark):
+    df = components(spark, [("text", None, k, k, 400 - k, 400 - k) for k in range(0, 180, 6)])
+    assert max(r.depth for r in folds.layout_tree(df).collect()) == 29
+
+
+def bars(spark, heights, base=60):
+    """A page of 64 x 64 with bars of these heights on a base."""
+    at = [(x, y) for k, h in enumerate(heights) for x in range(6 + 10 * k, 11 + 10 * k) for y in range(base - h, base)]
+    df = spark.createDataFrame([(1, x, y, *((7, 138, 82) if (x, y) in set(at) else (240, 240, 240)), 255) for x in range(64) for y in range(64)], "page_id long, x long, y long, r long, g long, b long, a long")
+    rects = spark.createDataFrame([(1, 0, "chart", 0, 0, 64, 64), (1, 1, "chart", 0, 0, 64, 20)], "page_id long, rect_id long, type string, x0 long, y0 long, x1 long, y1 long")
+    return {r.rect_id: (r.bars, r.bar_chart) for r in engine.Engine(spark, {"pixels": df, "rects": rects}).run("bar_chart_gate").collect()}
+
+
+def test_bar_geometry(spark):
+    assert bars(spark, [20, 30, 45, 25]) == {0: (4, 1), 1: (0, 0)}
+    assert bars(spark, [30, 30, 30, 30])[0] == (4, 0) and bars(spark, [20, 40])[0] == (2, 0)
+
+
+def test_claims_count_repeats(spark):
+    says = "The #FF0000 and #FF0000 box, \"cost\" and \"none here\", “cost”, 1234 cards, 0 icons, two\tcards, code 12ab34 and 77."
+    frames = {
+        "summaries": spark.createDataFrame([(1, 0, says)], "page_id long, turn long, summary string"),
+        "colors": spark.createDataFrame([(1, 0, 250, 0, 0, 0, 0, 9, 9)], "page_id long, ord long, r long, g long, b long, x0 long, y0 long, x1 long, y1 long"),
+        "tokens": spark.createDataFrame([(1, 0, 0, "Cost 77", 0, 0, 9, 9, 0.9)], "page_id long, turn long, pos long, text string, x0 long, y0 long, x1 long, y1 long, confidence double"),
+        "components": components(spark, [("card", None, 0, 0, 9, 9), ("card", None, 20, 0, 29, 9), ("card", None, 40, 0, 49, 9)]),
+    }
+    e = engine.Engine(spark, frames)
+    assert [(r.hex, r.supported) for r in e.run("hex_claims").collect()] == [("#FF0000", 1)] * 2
+    assert sorted((r.quote, r.supported) for r in e.run("quoted_claims").collect()) == [("cost", 1), ("cost", 1), ("none here", 0)]
+    assert [(r.claim, r.claimed, r.measured, r.supported) for r in e.run("count_claims").collect()] == [("two\tcards", 2, 3, 1)]
+    assert sorted((r.value, r.supported) for r in e.run("number_claims").collect()) == [("1234", 0), ("77", 1)]
+    g, c = e.run("grounding_report").first(), e.run("crosscheck_report").first()
+    assert (g.color_mentions, g.color_supported, g.text_mentions, g.text_supported, g.grounded) == (2, 2, 2, 1, 0)
+    assert (c.text_mentions, c.count_mentions, c.agreement) == (3, 1, pytest.approx(5 / 6))
+
+
+def test_folds_over_many_batches(spark):
+    """Pages go on from batch to batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(p, k, 10 * k, 0, 10 * k + 5, 5) for p in range(9) for k in range(5 + p)]
+        df = spark.createDataFrame(rows, "page_id long, ord long, x0 long, y0 long, x1 long, y1 long")
+        assert sorted(tuple(r) for r in folds.dedupe_boxes(df).collect()) == sorted((r[0], r[1]) for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_oracles_notice_a_wrong_threshold(spark, duck, sf):
+    want = duck.sql(engine.oracle("dedupe_boxes")).fetchall()
+    boxes = engine.relation(spark, sf, "boxes")
+    wrong = folds.per_page(boxes.select("page_id", "ord", "x0", "y0", "x1", "y1"), ["ord"], "page_id bigint, ord bigint", lambda page, r: [(page, r["ord"][i]) for i in folds.keep_outer(folds.boxes_of(r), 0.3)])
+    assert sorted(tuple(r) for r in wrong.collect()) != sorted(want)
 
 
 def test_accepted_labels_are_capped_by_page(spark):
