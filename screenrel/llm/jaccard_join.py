@@ -12,7 +12,10 @@ Surviving pairs are verified on the whole sets, whose words and shingles are the
 No pairs are listed within groups of copies: equal sets are one point, and the first round compares each point of a shard
 with two of its points only, verifies and merges components. The second round compares whatever is still in
 different components, which makes the result complete. There, shards above HOT points are ordered by size, cut into chunks of HOT
-points, and dealt into cells of two chunks each whose sizes allow links. Shards are read sorted, so a task holds one at a time.
+points, and dealt into cells of two chunks each whose sizes allow links. Where the bounds allow more than DENSE pairs a point of a
+cell, as in large groups of near copies, only the BEST pairs of each point by their bounds are verified, and the shard
+comes again with the components that these links make, until it is not dense or no component has grown; then all of its
+pairs are verified. Shards are read sorted, so a task holds one at a time.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing (component_id is the own doc_id).
 doc_ids are below 2**62. Rows that repeat a doc_id are separate texts that report the same doc_id. Of rows without doc_id, the component is the least doc_id of
@@ -40,6 +43,7 @@ FANOUT = 16
 SALTS = (0x51, 0xA7)
 FREQUENT = 1 << 16
 RUN = 1 << 20
+DENSE, BEST = 4, 2
 FEW = 4
 MOST_GROUPS = 1 << 16
 UNNAMED = 1 << 62
@@ -241,9 +245,9 @@ class Points:
                 out[which[i : i + step]] = self.rows(which[i : i + step], dims, GROUPS)
         return out
 
-    def allowed(self, coarse: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Whether the sizes and the summed coordinate minima, first of folded vectors and then of all coordinates that both have, allow a link."""
-        out = np.zeros(len(a), bool)
+    def margins(self, coarse: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """By how much the summed coordinate minima, first of folded vectors and then of all coordinates that both have, exceed the overlap that a link needs; -1 where they or the sizes allow none."""
+        score, out = np.full(len(a), -1, np.int64), np.zeros(len(a), bool)
         for i in range(0, len(a), 8192):
             x, y = a[i : i + 8192], b[i : i + 8192]
             need = pair_needed(self.sizes[x], self.sizes[y], percent)
@@ -258,11 +262,11 @@ class Points:
                 part = some[i : i + step]
                 x, y = a[part], b[part]
                 both = np.minimum(self.rows(x, first, to), self.rows(y, second, to)).sum(1, dtype=np.int64)
-                out[part] = both >= pair_needed(self.sizes[x], self.sizes[y], percent)
+                score[part] = np.maximum(both - pair_needed(self.sizes[x], self.sizes[y], percent), -1)
         # where so many hashes share a group that its count is cut off at MOST_GROUPS groups, nothing is bounded
         whole = np.flatnonzero(self.dims == MOST_GROUPS)
         cut = whole[[(self.rows(np.array([k]), MOST_GROUPS, MOST_GROUPS) == TOP).any() for k in whole.tolist()]] if len(whole) else whole
-        return out | np.isin(a, cut) | np.isin(b, cut) if len(cut) else out
+        return np.where(np.isin(a, cut) | np.isin(b, cut), np.maximum(score, 0), score) if len(cut) else score
 
 
 def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,11 +310,26 @@ def within_bounds(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         sizes = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)])
         points = Points(pa.concat_arrays([batch.column(4), batch.column(5)]), sizes)
         first = np.arange(batch.num_rows)
-        yield batch.select([0, 1]).filter(pa.array(points.allowed(points.coarse(), first, first + batch.num_rows, percent)))
+        yield batch.select([0, 1]).filter(pa.array(points.margins(points.coarse(), first, first + batch.num_rows, percent) >= 0))
 
 
-def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs that the trees of shards (or cells of hot shards) leave, in the order of key and cell. Points of one component are never paired."""
+def best_pairs(a: np.ndarray, b: np.ndarray, score: np.ndarray, count: int) -> np.ndarray:
+    """Which pairs are among the best of either point."""
+    keep = np.zeros(len(a), bool)
+    ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, -score[pair], ends))
+    ends, pair = ends[order], pair[order]
+    start = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])) if len(ends) else order
+    rank = np.arange(len(ends)) - np.repeat(start, np.diff(np.concatenate([start, [len(ends)]])))
+    keep[pair[rank < count]] = True
+    return keep
+
+
+FOUND = "a bigint, b bigint, again boolean"
+
+
+def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int, complete: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that the trees of shards (or cells of hot shards) leave, in the order of key and cell; unless complete, the best ones of dense cells, whose (key, cell) comes with again. Points of one component are never paired."""
     for table in whole_groups(batches, 2, 1 << 13):
         key, cell, point, size, label, half = (table.column(c).to_numpy() for c in ("key", "cell", "point", "n", "label", "half"))
         counts = table.column("counts").combine_chunks()
@@ -335,10 +354,20 @@ def shard_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
             keep = (tags[a] != tags[b]) & ((side[a] != side[b]) | (side[a] == 2))
             a, b = a[keep], b[keep]
-            keep = points.allowed(vec, a, b, percent)
-            x, y = ids[a[keep]], ids[b[keep]]
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            score = points.margins(vec, a, b, percent)
+            keep = score >= 0
+            a, b, score = a[keep], b[keep], score[keep]
+            again = np.zeros((0, 2), np.int64)
+            if not complete:
+                shard = np.searchsorted(base, a, "right") - 1
+                dense = np.bincount(shard, minlength=len(length)) > DENSE * length
+                again = np.stack([key[start[i:j][dense]], cell[start[i:j][dense]]], 1)
+                keep = ~dense[shard] | best_pairs(a, b, score, BEST)
+                a, b = a[keep], b[keep]
+            x, y = ids[a], ids[b]
+            both = np.concatenate([np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0), again])
+            flags = np.arange(len(both)) >= len(both) - len(again)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(flags)], ["a", "b", "again"])
 
 
 def exact_sets(texts: pa.Array, width: int) -> list[np.ndarray] | list[set]:
@@ -445,19 +474,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     labels = components(verified(stars, suspects, docs, width, percent), labels)
 
     # the stars hold all pairs of a shard of three points
-    live = entries.where("shard_size > 3").join(labels, "point").select("key", "label", "point", "rank", "low", "high").repartition(parts, "key").sortWithinPartitions("key")
-    live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, rank bigint, low bigint, high bigint"), "live")
-    forget(entries)
-    release(spark)
-    # a shard of more than HOT points is dealt into cells of two chunks each; half tells the chunks apart, 2 is a cell of one chunk
-    rows = live.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr("sequence(low, high)"))).join(suspects.select("point", "n", "counts"), "point")
-    cell = F.least("chunk", "other") * 1000003 + F.greatest("chunk", "other")
-    half = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("key", cell.alias("cell"), "point", "n", "label", half.cast("bigint").alias("half"), "counts")
-    pairs = rows.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(partial(shard_pairs, percent=percent), PAIRS)
-    pairs = written(pairs.distinct(), "pairs")
-    release(spark)
-    labels = components(verified(pairs, suspects, docs, width, percent), labels)
+    todo, complete, grown = entries.where("shard_size > 3").select("key", "point", "rank", "low", "high"), False, None
+    while True:
+        live = todo.join(labels, "point").select("key", "label", "point", "rank", "low", "high").repartition(parts, "key").sortWithinPartitions("key")
+        live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, rank bigint, low bigint, high bigint"), "live")
+        if entries is not None:
+            forget(entries)
+            entries = None
+        release(spark)
+        # a shard of more than HOT points is dealt into cells of two chunks each; half tells the chunks apart, 2 is a cell of one chunk
+        rows = live.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr("sequence(low, high)"))).join(suspects.select("point", "n", "counts"), "point")
+        cell = F.least("chunk", "other") * 1000003 + F.greatest("chunk", "other")
+        half = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
+        rows = rows.select("key", cell.alias("cell"), "point", "n", "label", half.cast("bigint").alias("half"), "counts")
+        found = rows.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(partial(shard_pairs, percent=percent, complete=complete), FOUND)
+        found = written(found.distinct(), "pairs")
+        release(spark)
+        labels = components(verified(found.where("not again").select("a", "b"), suspects, docs, width, percent), labels)
+        dense = found.where("again").select(F.col("a").alias("key")).distinct()
+        if complete or dense.isEmpty():
+            break
+        count = labels.select("label").distinct().count()
+        complete, grown = count == grown, count
+        todo = live.join(dense, "key", "left_semi").drop("label")
 
     least = labels.join(classes.select("point", "first"), "point").groupBy("label").agg(F.min("first").alias("least"))
     merged = labels.join(least, "label").select("point", "least")
