@@ -406,3 +406,26 @@ def artifact_window(d):
 def description_confidence(d):
     n = d.size(d.words("trim(text)"))
     return f"SELECT page_id, id, CASE WHEN trim(text) = '' THEN CAST(0 AS DOUBLE) WHEN {n} < 3 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS confidence FROM components WHERE text IS NOT NULL"
+
+
+def legible_side(d, reach: int = 480, least: int = 14) -> str:
+    """For each page, the greatest side of a crop that keeps the upper median text height at the least after a resize to reach."""
+    ranked = "SELECT page_id, h, row_number() OVER (PARTITION BY page_id ORDER BY h, ord) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM components WHERE type = 'text'"
+    return f"SELECT page_id, h AS median, least({reach}, greatest(1, {d.div(f'h * {reach}', str(least))})) AS side FROM ({ranked}) r WHERE k = {d.div('n', '2')} + 1 AND h > 0"
+
+
+@operator("components", "boxes")
+def needs_subdivision(d):
+    """Whether a resize of a region to 480 would bring the page's median text below 14."""
+    return f"SELECT b.page_id, b.ord, CASE WHEN b.y1 > b.y0 AND s.median * 480 < 14 * (b.y1 - b.y0) THEN 1 ELSE 0 END AS needed FROM boxes b LEFT JOIN ({legible_side(d)}) s ON b.page_id = s.page_id"
+
+
+@operator("components", "boxes")
+def subdivide(d):
+    """Crops of each region: the region itself where it fits the legible side, else tiles of that side that overlap by 0.2."""
+    step = f"greatest(1, {d.div('side * 8', '10')})"
+    sized = f"SELECT b.page_id, b.ord, b.x0, b.y0, b.x1, b.y1, coalesce(s.side, 480) AS side FROM boxes b LEFT JOIN ({legible_side(d)}) s ON b.page_id = s.page_id"
+    fitted = f"SELECT *, {step} AS step, CASE WHEN greatest(x1 - x0, y1 - y0) <= side THEN 1 ELSE 2 END AS level FROM ({sized}) z"
+    down = f"SELECT *, {d.explode}({d.series('0', 'CASE level WHEN 1 THEN 0 ELSE ' + d.div('y1 - y0 - 1', 'step') + ' END')}) AS j FROM ({fitted}) f WHERE x1 > x0 AND y1 > y0"
+    both = f"SELECT *, {d.explode}({d.series('0', 'CASE level WHEN 1 THEN 0 ELSE ' + d.div('x1 - x0 - 1', 'step') + ' END')}) AS i FROM ({down}) w"
+    return f"SELECT page_id, ord, row_number() OVER (PARTITION BY page_id, ord ORDER BY j, i) AS crop, level, x0 + i * step AS x0, y0 + j * step AS y0, CASE level WHEN 1 THEN x1 ELSE least(x1, x0 + i * step + side) END AS x1, CASE level WHEN 1 THEN y1 ELSE least(y1, y0 + j * step + side) END AS y1 FROM ({both}) t"

@@ -1,4 +1,4 @@
-"""Sources and sinks of page artifacts: images, token and crop JSON, byte windows, and the export of results."""
+"""Sources and sinks of page artifacts: images, tokens, components, colours and crops as JSON, byte windows, and the export of results."""
 
 from __future__ import annotations
 
@@ -70,6 +70,39 @@ def scan_components(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("page", "ord", "c.id", F.col("c.type.value").alias("type"), F.col("c.text.value").alias("text"), bbox("c.bbox").alias("bbox"), "c.tier", "c.weight", "c.confidence")
 
 
+def scan_colors(spark: SparkSession, path: str) -> DataFrame:
+    """Measured colours of colors.json files, in the order of each file: hex value, channels and box; what is missing is 0."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page"), F.from_json("value", f"array<struct<value:string,rgb:array<double>,bbox_global:{BOX}>>").alias("found"))
+    parts = rows.where("found is not null").select("page", F.posexplode("found").alias("ord", "c"))
+    channels = [F.when(F.size("c.rgb") == 3, F.col("c.rgb")[k].cast("int")).otherwise(0).alias(c) for k, c in enumerate("rgb")]
+    return parts.select("page", "ord", F.coalesce("c.value", F.lit("")).alias("hex"), *channels, *[F.coalesce(F.col(f"c.bbox_global.{c}"), F.lit(0)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def scan_crops(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the crop files in a folder's crops, by file name; files that are no JSON objects are skipped."""
+    item = f"struct<id:string,type:string,bbox_global:{BOX},confidence:double>"
+    rows = spark.read.option("pathGlobFilter", "*.json").text(f"{folder}/crops", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("crop"), F.from_json("value", f"struct<components:array<{item}>>").alias("v"))
+    parts = rows.where("v.components is not null").select("crop", F.posexplode("v.components").alias("ord", "c"))
+    return parts.select("crop", "ord", "c.id", "c.type", *[F.col(f"c.bbox_global.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], "c.confidence", F.lit("crop-vision").alias("source"))
+
+
+def source_image(spark: SparkSession, folder: str) -> str:
+    """The image that a folder's manifest names: as it stands, else under the folder, else beside it; names that go up are refused."""
+    names = [r["image"] for r in spark.read.schema("image string").json(f"{folder}/manifest.json", multiLine=True).collect()]  # one file of one object
+    if len(names) != 1 or not names[0]:
+        raise ValueError("manifest.json has no image field")
+    if ".." in names[0].replace("\\", "/").split("/"):
+        raise ValueError('the manifest\'s image holds ".."')
+    jvm = spark._jvm
+    tries = [names[0]] if names[0].startswith("/") else [names[0], f"{folder}/{names[0]}", f"{PurePosixPath(folder).parent}/{names[0]}"]
+    for name in tries:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path) and not system.getFileStatus(path).isDirectory():
+            return name
+    raise ValueError(f"no source image {names[0]}")
+
+
 def artifact_window(spark: SparkSession, folder: str, name: str, offset: int = 0, max_bytes: int = 12000) -> DataFrame:
     """Bytes offset .. offset + max_bytes of an artifact, its size, and whether more follow."""
     if name not in ARTIFACTS or ".." in PurePosixPath(folder).parts:

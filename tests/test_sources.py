@@ -1,8 +1,10 @@
-"""Readers of images and settings."""
+"""Readers of images, settings and page artifacts, and the result cache."""
 
 import json
 import struct
 
+import pytest
+
 from screenrel.functions import settings
 from screenrel.sources import files
 
@@ -28,3 +30,39 @@ def test_settings(tmp_path):
     got = settings.load(str(path))
     assert (got.cache.dir, got.cache.enabled, got.image.grid_rows, got.image.grid_cols) == ("/x", True, 3, 2)
     assert settings.load("/no/such/file") == settings.Settings() and settings.chosen(None, "", 4) == 4
+
+
+def test_colors_crops_and_manifest(spark, tmp_path):
+    (tmp_path / "evidence").mkdir()
+    (tmp_path / "evidence" / "colors.json").write_text('[{"value":"#FF0000","rgb":[255,0,0],"bbox_global":{"x0":1,"y0":2,"x1":3,"y1":4}},{"rgb":[1,2]}]')
+    got = files.scan_colors(spark, str(tmp_path / "evidence" / "colors.json")).orderBy("ord").collect()
+    assert [tuple(r)[2:] for r in got] == [("#FF0000", 255, 0, 0, 1, 2, 3, 4), ("", 0, 0, 0, 0, 0, 0, 0)]
+    (tmp_path / "crops").mkdir()
+    (tmp_path / "crops" / "a.json").write_text('{"components":[{"id":"x","type":"icon","bbox_global":{"x0":0,"y0":0,"x1":9,"y1":9},"confidence":0.5}]}')
+    (tmp_path / "crops" / "b.json").write_text("broken")
+    (tmp_path / "crops" / "c.txt").write_text("{}")
+    assert [(r.crop, r.id, r.type, r.x1) for r in files.scan_crops(spark, str(tmp_path)).collect()] == [("a.json", "x", "icon", 9)]
+    (tmp_path / "shot.png").write_bytes(b"x")
+    (tmp_path / "manifest.json").write_text('{"image":"shot.png"}')
+    assert files.source_image(spark, str(tmp_path)) == f"{tmp_path}/shot.png"
+    for bad in ('{"image":"../shot.png"}', '{"image":"none.png"}', "{}"):
+        (tmp_path / "manifest.json").write_text(bad)
+        with pytest.raises(ValueError):
+            files.source_image(spark, str(tmp_path))
+
+
+def test_result_cache(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from screenrel.sources.cache import ResultCache, key_of
+
+    store = ResultCache(spark, str(tmp_path / "cache"))
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, value string").withColumn("key", key_of(F.col("name"), F.lit("v1")))
+    assert store.status()["entries"] == 0
+    store.put(rows)
+    store.put(rows.where("name = 'a'").withColumn("value", F.lit("3")))
+    wanted = rows.select("key").union(spark.createDataFrame([("zz",)], "key string"))
+    assert sorted(r.value or "" for r in store.get(wanted).collect()) == ["", "2", "3"]
+    assert sorted(r.present for r in store.has(wanted).collect()) == [False, True, True] and store.status()["entries"] == 2
+    store.clear()
+    assert store.status()["entries"] == 0 and not ResultCache(spark, str(tmp_path / "cache"), enabled=False).has(wanted).where("present").count()
