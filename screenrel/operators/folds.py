@@ -44,23 +44,28 @@ def blend(grown: Box, mine: float, other: Box, theirs: float, weight: float) ->
 
 
 def reconcile_page(rows: list[dict], threshold: float = 0.65, weight: float = 0.5) -> list[dict]:
-    """Each row joins the first kept one that it overlaps enough and shares text or type with; kept boxes grow."""
+    """Each row joins the first kept one that it overlaps enough and shares text or type with. Kept boxes grow, types that differ go to the more certain one, and text and meaning are filled in where there are none."""
     kept: list[dict] = []
     for row in rows:
         box = row["box"]
         if box[2] <= box[0] or box[3] <= box[1]:
             continue
+        row = {**row, "given": row["confidence"]}
         text = (row.get("text") or "").strip().lower()
         for k in kept:
             same_text = bool(text) and text == (k.get("text") or "").strip().lower()
             if iou(k["box"], box) > threshold and (same_text or (row.get("type") and row["type"] == k["type"])):
                 k["box"] = hull(k["box"], box)
                 k["confidence"] = blend(k["box"], k["confidence"], box, row["confidence"], weight)
-                if not k.get("text"):
-                    k["text"] = row.get("text")
+                certain = row.get("type_confidence") or row["given"]
+                if row.get("type") and k.get("type") and row["type"] != k["type"] and certain > k["certain"]:
+                    k["type"], k["certain"] = row["type"], certain
+                for name in ("text", "semantic"):
+                    if not k.get(name):
+                        k[name] = row.get(name)
                 break
         else:
-            kept.append(dict(row))
+            kept.append({**row, "certain": row.get("type_confidence") or row["given"]})
     return kept
 
 
@@ -239,11 +244,16 @@ PLACE = ["page_id", "turn", "pos"]
 
 
 def reconcile(components: DataFrame) -> DataFrame:
+    """Components without duplicates; type_confidence (else the confidence) and semantic are used where components have them."""
+    more = [c for c in ("type_confidence", "semantic") if c in components.columns]
+    names = ["id", "type", "text", "confidence", *more]
+
     def fold(page, r):
-        rows = [dict(zip(("id", "type", "text", "confidence", "box"), x, strict=True)) for x in zip(r["id"], r["type"], r["text"], r["confidence"], boxes_of(r), strict=True)]
-        return [(page, k["id"], k["type"], k["text"], k["confidence"], *k["box"]) for k in reconcile_page(rows)]
+        rows = [dict(zip((*names, "box"), x, strict=True)) for x in zip(*(r[n] for n in names), boxes_of(r), strict=True)]
+        return [(page, k["id"], k["type"], k["text"], k["confidence"], *k["box"], *([k["semantic"]] if "semantic" in more else [])) for k in reconcile_page(rows)]
 
-    return per_page(components.select("page_id", "ord", "id", "type", "text", "confidence", "x0", "y0", "x1", "y1"), ["ord", "id"], f"page_id bigint, id string, type string, text string, confidence double, {BOX}", fold)
+    schema = f"page_id bigint, id string, type string, text string, confidence double, {BOX}" + (", semantic string" if "semantic" in more else "")
+    return per_page(components.select("page_id", "ord", *names, "x0", "y0", "x1", "y1"), ["ord", "id"], schema, fold)
 
 
 def dedupe_boxes(boxes: DataFrame) -> DataFrame:

@@ -23,13 +23,14 @@ def steps(rows: str, order: str, state: str, first: str, then: str) -> str:
 
 
 def reconcile() -> str:
-    value = "{'id': n.id, 'type': n.type, 'text': n.text, 'confidence': n.confidence, 'x0': n.x0, 'y0': n.y0, 'x1': n.x1, 'y1': n.y1}"
+    value = "{'id': n.id, 'type': n.type, 'text': n.text, 'confidence': n.confidence, 'certain': n.confidence, 'x0': n.x0, 'y0': n.y0, 'x1': n.x1, 'y1': n.y1}"
+    surer = "n.type <> k.type AND n.confidence > k.certain"
     alike = f"({ratio('k', 'n')}) > 0.65 AND (coalesce(lower(trim(n.text)), '') <> '' AND lower(trim(n.text)) = coalesce(lower(trim(k.text)), '') OR n.type = k.type)"
     place = f"list_position(list_transform(r.kept, lambda k: coalesce({alike}, false)), true)"
     hull = {"x0": "least(k.x0, n.x0)", "y0": "least(k.y0, n.y0)", "x1": "greatest(k.x1, n.x1)", "y1": "greatest(k.y1, n.y1)"}
     grown, own = f"({hull['x1']} - {hull['x0']}) * ({hull['y1']} - {hull['y0']})", "(n.x1 - n.x0) * (n.y1 - n.y0)"
     blend = f"0.5 * ((k.confidence * ({grown}) + n.confidence * ({own})) / (({grown}) + ({own}))) + 0.5 * greatest(k.confidence, n.confidence)"
-    merged = f"{{'id': k.id, 'type': k.type, 'text': CASE WHEN coalesce(k.text, '') = '' THEN n.text ELSE k.text END, 'confidence': {blend}, " + ", ".join(f"'{c}': {x}" for c, x in hull.items()) + "}"
+    merged = f"{{'id': k.id, 'type': CASE WHEN {surer} THEN n.type ELSE k.type END, 'text': CASE WHEN coalesce(k.text, '') = '' THEN n.text ELSE k.text END, 'confidence': {blend}, 'certain': CASE WHEN {surer} THEN n.confidence ELSE k.certain END, " + ", ".join(f"'{c}': {x}" for c, x in hull.items()) + "}"
     then = f"CASE WHEN coalesce({place}, 0) = 0 THEN list_append(r.kept, {value}) ELSE list_transform(r.kept, lambda k, i: CASE WHEN i = {place} THEN {merged} ELSE k END) END"
     rows = "SELECT * FROM components WHERE x1 > x0 AND y1 > y0"
     return f"SELECT page_id, k.id, k.type, k.text, k.confidence, k.x0, k.y0, k.x1, k.y1 FROM (SELECT page_id, unnest(kept) AS k FROM {steps(rows, 'ord, id', 'kept', f'[{value}]', then)} s) u"
@@ -120,5 +121,36 @@ def layout_containers() -> str:
     return f"SELECT t.page_id, t.id, t.kind, t.label, t.confidence, count(*) AS children FROM ({layout_tree()}) t JOIN ({layout_tree()}) c ON t.page_id = c.page_id AND c.parent = t.id WHERE t.inferred = 1 GROUP BY t.page_id, t.id, t.kind, t.label, t.confidence"
 
 
+def text_tiers() -> str:
+    """Means of three, else two bands by at most fifty steps from quantiles, else of all; nearest centres, the lower index on ties."""
+    texts = "SELECT page_id, id, y1 - y0 AS h FROM components WHERE type = 'text' AND y1 > y0"
+    lists = f"SELECT page_id, list_sort(list(CAST(h AS DOUBLE))) AS hs FROM ({texts}) t GROUP BY page_id"
+    large = "list_filter(hs, lambda h: h >= hs[len(hs) // 2 + 1] * 0.35)"
+    kept = f"SELECT page_id, CASE WHEN len({large}) >= 2 THEN {large} ELSE hs END AS hs FROM ({lists}) l"
+    start = "list_transform(range(0, k), lambda i: hs[least(len(hs), CAST(floor((i + 0.5) / k * len(hs)) AS BIGINT) + 1)])"
+    seeds = f"SELECT page_id, hs, k, {start} AS cs, 0 AS step, false AS same FROM ({kept}) q, (VALUES (2), (3)) z(k) WHERE len(list_distinct(hs)) >= k"
+    nearest = "list_position(list_transform({cs}, lambda c: abs({h} - c)), list_min(list_transform({cs}, lambda c: abs({h} - c))))"
+    own = f"list_filter(hs, lambda h: {nearest.format(cs='cs', h='h')} = i)"
+    moved = f"list_transform(range(1, k + 1), lambda i: CASE WHEN len({own}) > 0 THEN list_sum({own}) / len({own}) ELSE cs[i] END)"
+    runs = f"(WITH RECURSIVE r AS ({seeds} UNION ALL SELECT page_id, hs, k, nxt, step + 1, nxt = cs FROM (SELECT *, {moved} AS nxt FROM r WHERE NOT same AND step < 50) m) SELECT page_id, k, list_reverse_sort(cs) AS cs FROM (SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY step DESC) AS last FROM r) z WHERE last = 1)"
+    good = f"SELECT page_id, k, cs FROM {runs} c WHERE list_min(list_transform(range(1, k), lambda i: (cs[i] - cs[i + 1]) / greatest(cs[i], 1e-9))) >= 0.18"
+    best = f"SELECT l.page_id, coalesce(g.cs, [list_sum(l.hs) / len(l.hs)]) AS cs FROM ({kept}) l LEFT JOIN (SELECT page_id, arg_max(cs, k) AS cs FROM ({good}) g GROUP BY page_id) g ON l.page_id = g.page_id"
+    placed = f"SELECT t.page_id, t.id, t.h, b.cs, {nearest.format(cs='b.cs', h='t.h')} AS own FROM ({texts}) t JOIN ({best}) b ON t.page_id = b.page_id"
+    other = "list_min(list_transform(list_filter(range(1, len(cs) + 1), lambda i: i <> own), lambda i: abs(h - cs[i])))"
+    return f"SELECT page_id, id, CASE len(cs) WHEN 1 THEN 'body' ELSE ['heading', 'body', 'caption'][own] END AS tier, CASE WHEN len(cs) = 1 THEN 1.0 WHEN {other} > 0 THEN greatest(0.0, least(1.0, ({other} - abs(h - cs[own])) / ({other} + abs(h - cs[own])))) ELSE 0.0 END AS confidence, len(cs) AS levels FROM ({placed}) p"
+
+
+def dom_tree() -> str:
+    """Opening and closing lines as events in order: a tag closes after the last node under it, inner ones first."""
+    until = "SELECT t.page_id, t.id, min(n.seq) AS until FROM tree t JOIN tree n ON t.page_id = n.page_id AND n.seq > t.seq AND n.depth <= t.depth GROUP BY t.page_id, t.id"
+    tag = "CASE WHEN inferred = 1 THEN 'div' WHEN kind IN ('button', 'button_primary') THEN 'button' WHEN kind IN ('input', 'text_field') THEN 'input' WHEN kind = 'navigation' THEN 'nav' WHEN kind IN ('card', 'container', 'panel', 'region') THEN 'section' WHEN kind = 'label' THEN 'label' WHEN kind = 'image' THEN 'img' ELSE 'div' END"
+    pad = "repeat('  ', CAST(depth + 1 AS BIGINT))"
+    attributes = "concat(' class=\"', kind, '\"', CASE WHEN inferred = 1 THEN ' data-inferred=\"true\"' ELSE '' END, ' data-conf=\"', printf('%.2f', confidence), '\"', CASE WHEN inferred = 1 AND label <> '' THEN concat(' aria-label=', CAST(to_json(label) AS VARCHAR)) ELSE '' END, CASE WHEN fraction IS NOT NULL THEN concat(' data-share=\"', printf('%.0f', fraction * 100), '%\"') ELSE '' END)"
+    body = f"CASE WHEN inferred = 0 AND text <> '' THEN concat({pad}, '  ', text, chr(10)) ELSE '' END"
+    opened = f"SELECT page_id, seq * 2 AS spot, 0 AS deep, concat({pad}, '<', {tag}, {attributes}, '>', chr(10), {body}) AS line FROM tree"
+    closed = f"SELECT t.page_id, coalesce(u.until * 2 - 1, 1000000000) AS spot, -depth AS deep, concat({pad}, '</', {tag}, '>', chr(10)) AS line FROM tree t LEFT JOIN ({until}) u ON t.page_id = u.page_id AND t.id = u.id"
+    return f"WITH tree AS ({layout_tree()}) SELECT p.page_id, concat('<!-- This DOM is INFERRED from screenshot analysis', CASE WHEN p.nested THEN ' (layout tree)' ELSE '' END, ', not observed HTML. -->', chr(10), '<div class=\"page\">', chr(10), e.body, '</div>', chr(10)) AS dom FROM (SELECT page_id, max(depth) > 0 AS nested FROM tree GROUP BY page_id) p JOIN (SELECT page_id, string_agg(line, '' ORDER BY spot, deep) AS body FROM ({opened} UNION ALL {closed}) v GROUP BY page_id) e ON p.page_id = e.page_id"
+
+
 #: Name of the fold: the relations that its SQL reads, and the SQL.
-ORACLES = {f.__name__: ((reads,), f) for reads, some in (("components", (reconcile,)), ("boxes", (dedupe_boxes, union_boxes)), ("tokens", (ocr_lines, token_rows, text_components, horizontal_bands, plan_adaptive)), ("nodes", (layout_tree, find_container, container_children, occupancy_shares, layout_containers))) for f in some}
+ORACLES = {f.__name__: ((reads,), f) for reads, some in (("components", (reconcile, text_tiers)), ("boxes", (dedupe_boxes, union_boxes)), ("tokens", (ocr_lines, token_rows, text_components, horizontal_bands, plan_adaptive)), ("nodes", (layout_tree, find_container, container_children, occupancy_shares, layout_containers, dom_tree))) for f in some}

@@ -201,11 +201,11 @@ def augment_edges(d):
 
 @operator("components")
 def merge_pair(d):
-    """Confidence of two merged boxes at weight 0.5, with the first box grown to the union."""
+    """Two boxes of equal type or text as one: the union, the more certain type, the text that there is, and their confidence at weight 0.5."""
     grown = "(greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0))"
     area = "(b.x1 - b.x0) * (b.y1 - b.y0)"
     mean = f"(a.confidence * ({grown}) + b.confidence * ({area})) / (({grown}) + ({area}))"
-    return f"SELECT a.page_id, a.id AS a, b.id AS b, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, {rounded(f'({mean}) / 2 + greatest(a.confidence, b.confidence) / 2', 9)} AS confidence FROM components a JOIN components b ON a.page_id = b.page_id AND a.ord < b.ord AND a.type = b.type AND {iou('a', 'b')} > CAST(0.65 AS DOUBLE)"
+    return f"SELECT a.page_id, a.id AS a, b.id AS b, CASE WHEN a.type <> b.type AND b.confidence > a.confidence THEN b.type ELSE a.type END AS type, coalesce(a.text, b.text) AS text, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, {rounded(f'({mean}) / 2 + greatest(a.confidence, b.confidence) / 2', 9)} AS confidence FROM components a JOIN components b ON a.page_id = b.page_id AND a.ord < b.ord AND (a.type = b.type OR (trim(a.text) <> '' AND lower(trim(a.text)) = lower(trim(b.text)))) AND {overlaps('a', 'b')} AND {iou('a', 'b')} > CAST(0.65 AS DOUBLE)"
 
 
 @operator("components", "vision")

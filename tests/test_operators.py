@@ -40,6 +40,12 @@ def test_reconcile_keeps_first_id():
     assert [k["id"] for k in kept] == ["a"] and kept[0]["box"] == (0, 0, 120, 60)
 
 
+def test_reconcile_keeps_the_surer_type():
+    row = lambda i, kind, sure, meaning: {"id": i, "type": kind, "text": "Save", "confidence": 0.5, "type_confidence": sure, "semantic": meaning, "box": (0, 0, 100, 50)}
+    (kept,) = folds.reconcile_page([row("a", "region", 0.4, None), row("b", "button", 0.9, "save"), row("c", "card", 0.6, "x")])
+    assert (kept["id"], kept["type"], kept["semantic"]) == ("a", "button", "save")
+
+
 def test_blend():
     box = (0, 0, 10, 10)
     assert folds.blend(box, 0.8, box, 0.99, 0) == pytest.approx(0.895)
