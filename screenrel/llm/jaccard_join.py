@@ -83,13 +83,13 @@ def pair_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of texts, the hashes that FEW texts or more of about RUN shingles share, with the number of these texts."""
+def frequent(batches: Iterator[pa.RecordBatch], width: int, few: int) -> Iterator[pa.RecordBatch]:
+    """Of texts, the hashes that a few texts or more of about RUN shingles share, with the number of these texts."""
     sets, held = [], 0
 
     def counted():
         keys, n = np.unique(np.concatenate(sets), return_counts=True)
-        keep = n >= FEW
+        keep = n >= few
         return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], ["key", "n"])
 
     for batch in batches:
@@ -106,7 +106,7 @@ def frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 def last_in_order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent hashes, sorted, and the place of each in the order after all others (from 1, the rarer first)."""
-    counts = docs.select("text").mapInArrow(partial(frequent, width=width), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(partial(frequent, width=width, few=FEW), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     keys = np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.int64).view(_U)
     order = np.argsort(keys)
     return keys[order], (len(keys) - np.arange(len(keys)))[order]
@@ -145,7 +145,7 @@ def make_points(batches: Iterator[pa.RecordBatch], width: int, percent: int, las
             )
 
 
-ENTRIES = "key bigint, point bigint, n bigint, head bigint, head_n bigint, tail bigint, tail_n bigint, shard_size bigint, rank bigint, low bigint, high bigint"
+SHARDS = "key bigint, chunk bigint, points array<bigint>, sizes array<int>, head bigint, head_n bigint, tail bigint, tail_n bigint, shard_size bigint, low bigint, high bigint"
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -> Iterator[pa.Table]:
@@ -168,8 +168,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 <<
         yield pa.Table.from_batches(held)
 
 
-def shared_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, point, n) in the order of keys: those of shards with two points or more, with the shard's first and last point, its size, the point's rank by size in it, and the first and last chunk of HOT ranks whose sizes allow links with its own chunk.
+def shared_keys(batches: Iterator[pa.RecordBatch], percent: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, point, n) in the order of keys: shards of two points or more, ordered by size and cut into chunks of `hot` points, a row each, with the shard's first and last point, its size, and the first and last chunk whose sizes allow links with the row's own.
 
     Near copies share many shards of the same points, so the key becomes a hash of these: one such shard is enough.
     """
@@ -180,35 +180,45 @@ def shared_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([start, [len(key)]]))
         keep = np.repeat(size, size) > 1
-        key, point, n, size = key[keep], point[keep], n[keep], size[size > 1]
-        if not len(key):
+        point, n, size = point[keep], n[keep], size[size > 1]
+        if not len(point):
             continue
         start = np.cumsum(size) - size
-        rank = np.arange(len(key)) - np.repeat(start, size)
         by_point = np.lexsort((point, np.repeat(start, size)))
-        head, tail = (np.repeat(by_point[x], size) for x in (start, start + size - 1))
-        members = np.add.reduceat(textvec.mix(point.view(_U) ^ _U(0x3D)), start)
-        low, high = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        for k in np.flatnonzero(size > HOT).tolist():
-            own = n[start[k] : start[k] + size[k]]
-            least = own[::HOT]
-            most = own[np.minimum(np.arange(HOT - 1, len(own) + HOT - 1, HOT), len(own) - 1)][: len(least)]
-            chunk = rank[start[k] : start[k] + size[k]] // HOT
-            high[start[k] : start[k] + size[k]] = (np.searchsorted(least * percent, most * 100, "right") - 1)[chunk]
-            low[start[k] : start[k] + size[k]] = np.searchsorted(most * 100, least * percent, "left")[chunk]
-        columns = (np.repeat(members.view(np.int64), size), point, n, point[head], n[head], point[tail], n[tail], np.repeat(size, size), rank, low, high)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], [c.split()[0] for c in ENTRIES.split(", ")])
-
-
-def live_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, label, ...) in the order of keys: those of shards with points of different components."""
+        head, tail = by_point[start], by_point[start + size - 1]
+        members = np.add.reduceat(textvec.mix(point.view(_U) ^ _U(0x3D)), start).view(np.int64)
+        chunks = -(-size // hot)
+        shard = np.repeat(np.arange(len(size)), chunks)
+        chunk = np.arange(len(shard)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        first = start[shard] + chunk * hot
+        last = np.minimum(first + hot, start[shard] + size[shard])
+        low, high = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
+        for k in np.flatnonzero(chunks > 1).tolist():
+            own = shard == k
+            least, most = n[first[own]], n[last[own] - 1]
+            high[own] = np.searchsorted(least * percent, most * 100, "right") - 1
+            low[own] = np.searchsorted(most * 100, least * percent, "left")
+        cut = np.concatenate([first, last[-1:]]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (point, n.astype(np.int32))]
+        rest = [x[shard] for x in (point[head], n[head], point[tail], n[tail], size)]
+        yield pa.RecordBatch.from_arrays([pa.array(members[shard]), pa.array(chunk), *lists, *(pa.array(x.astype(np.int64)) for x in (*rest, low, high))], [c.split()[0] for c in SHARDS.split(", ")])
+
+
+def live_shards(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, label, n, ...) in the order of keys: those whose shard has a point of another component and of a size that allows a link."""
     for table in whole_groups(batches, 1):
-        key, label = table.column(0).to_numpy(), table.column(1).to_numpy()
-        order = np.lexsort((label, key))
-        key, label = key[order], label[order]
+        key, label, n = (table.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((n, key))
+        key, label, n = key[order], label[order], n[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        stop = np.concatenate([start[1:], [len(key)]])
-        keep = np.repeat(label[start] != label[stop - 1], stop - start)
+        shard = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(key)]])))
+        # rows of the shard with sizes from percent of the own one to where the own one is percent of theirs
+        wide = int(n.max()) * 100 // percent + 2
+        place = shard * wide + n
+        first = np.searchsorted(place, shard * wide + -(-n * percent // 100))
+        last = np.searchsorted(place, shard * wide + n * 100 // percent, "right")
+        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        keep = change[last - 1] != change[first]
         yield from table.take(pa.array(order[keep])).to_batches(max_chunksize=1 << 16)
 
 
@@ -421,12 +431,18 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def own_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of (point, sig1, sig2, text), (point, text) of the rows whose text has the shingle set of these sums."""
+    """Of (point, sig1, sig2, text), (point, text) of the rows whose text has the shingle set of these sums, once a point and task."""
+    seen: set[int] = set()
     for batch in batches:
         sums = [[int(textvec.mix(s ^ _U(salt)).sum(dtype=_U)) for salt in SALTS] for c in textvec.chunks(batch.column(3)) for s in textvec.shingle_sets(c, width)]
         found = np.array(sums, _U).view(np.int64).reshape(-1, 2)
-        keep = (found[:, 0] == batch.column(1).to_numpy()) & (found[:, 1] == batch.column(2).to_numpy())
-        yield batch.select([0, 3]).filter(pa.array(keep))
+        fits = (found[:, 0] == batch.column(1).to_numpy()) & (found[:, 1] == batch.column(2).to_numpy())
+        keep = []
+        for k, point in zip(np.flatnonzero(fits).tolist(), batch.column(0).to_numpy()[fits].tolist(), strict=True):
+            if point not in seen:
+                seen.add(point)
+                keep.append(k)
+        yield batch.select([0, 3]).take(pa.array(keep, pa.int64()))
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -434,7 +450,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, p
     wanted = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct()
     wanted = written(points.join(wanted, "point", "left_semi").select("point", "doc_id", "sig1", "sig2"), "wanted")
     texts = probable(docs, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("point", "sig1", "sig2", "text")
-    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string").dropDuplicates(["point"]), "texts")
+    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string"), "texts")
     release(docs.sparkSession)
     both = pairs.join(texts.select(F.col("point").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("point").alias("b"), F.col("text").alias("right")), "b")
     links = written(both.select("a", "b", "left", "right").mapInArrow(partial(verify, width=width, percent=percent), PAIRS), "links")
@@ -456,16 +472,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     own = classes.select("sig1", "sig2", F.col("first").alias("doc_id"), "point")
     firsts = points.select("sig1", "sig2", "doc_id", F.col("n_shingles").alias("n"), "prefix").join(own, ["sig1", "sig2", "doc_id"])
     entries = firsts.select(F.explode("prefix").alias("key"), "point", "n").repartition(parts, "key").sortWithinPartitions("key")
-    entries = written(entries.mapInArrow(partial(shared_keys, percent=percent), ENTRIES).dropDuplicates(["key", "point"]), "entries")
+    shards = written(entries.mapInArrow(partial(shared_keys, percent=percent, hot=HOT), SHARDS).dropDuplicates(["key", "chunk"]), "shards")
     release(spark)
-    chosen = own.join(entries.select("point").distinct(), "point", "left_semi")
+    chosen = own.join(shards.select(F.explode("points").alias("point")).distinct(), "point", "left_semi")
     suspects = points.select("sig1", "sig2", "doc_id", F.col("n_shingles").alias("n"), "counts").join(chosen, ["sig1", "sig2", "doc_id"])
     suspects = written(suspects.dropDuplicates(["point"]), "suspects")
     forget(points)
     release(spark)
     labels = suspects.select("point", F.col("point").alias("label"))
 
-    stars = entries.select("point", "n", F.explode(F.array(F.struct(F.col("head").alias("other"), F.col("head_n").alias("size")), F.struct(F.col("tail").alias("other"), F.col("tail_n").alias("size")))).alias("o"))
+    placed = shards.select("key", "chunk", "head", "head_n", "tail", "tail_n", "shard_size", "low", "high", F.explode(F.arrays_zip("points", "sizes")).alias("p")).select("*", F.col("p.points").alias("point"), F.col("p.sizes").cast("bigint").alias("n"))
+    stars = placed.select("point", "n", F.explode(F.array(F.struct(F.col("head").alias("other"), F.col("head_n").alias("size")), F.struct(F.col("tail").alias("other"), F.col("tail_n").alias("size")))).alias("o"))
     stars = stars.where(f"point <> o.other and 100 * least(n, o.size) >= {percent} * greatest(n, o.size)").select(F.least("point", "o.other").alias("a"), F.greatest("point", "o.other").alias("b")).distinct()
     sides = [suspects.select(F.col("point").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")) for x in ("a", "b")]
     stars = stars.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
@@ -474,16 +491,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     labels = components(verified(stars, suspects, docs, width, percent), labels)
 
     # the stars hold all pairs of a shard of three points
-    todo, complete, grown = entries.where("shard_size > 3").select("key", "point", "rank", "low", "high"), False, None
+    todo, complete, grown = placed.where("shard_size > 3").select("key", "n", "point", "chunk", "low", "high"), False, None
     while True:
-        live = todo.join(labels, "point").select("key", "label", "point", "rank", "low", "high").repartition(parts, "key").sortWithinPartitions("key")
-        live = written(live.mapInArrow(live_shards, "key bigint, label bigint, point bigint, rank bigint, low bigint, high bigint"), "live")
-        if entries is not None:
-            forget(entries)
-            entries = None
+        live = todo.join(labels, "point").select("key", "label", "n", "point", "chunk", "low", "high").repartition(parts, "key").sortWithinPartitions("key")
+        live = written(live.mapInArrow(partial(live_shards, percent=percent), "key bigint, label bigint, n bigint, point bigint, chunk bigint, low bigint, high bigint"), "live")
+        if shards is not None:
+            forget(shards)
+            shards = None
         release(spark)
         # a shard of more than HOT points is dealt into cells of two chunks each; half tells the chunks apart, 2 is a cell of one chunk
-        rows = live.withColumn("chunk", F.expr(f"rank div {HOT}")).withColumn("other", F.explode(F.expr("sequence(low, high)"))).join(suspects.select("point", "n", "counts"), "point")
+        rows = live.withColumn("other", F.explode(F.expr("sequence(low, high)"))).join(suspects.select("point", "counts"), "point")
         cell = F.least("chunk", "other") * 1000003 + F.greatest("chunk", "other")
         half = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
         rows = rows.select("key", cell.alias("cell"), "point", "n", "label", half.cast("bigint").alias("half"), "counts")
