@@ -21,6 +21,7 @@ null conv_id are one conversation; other columns are ignored. Empty tables give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -117,13 +118,13 @@ def transfer(rows: list[str | None]) -> list[float]:
     return out
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def numbered(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Rows (conv_id, turn, role, text) in order, each with its partition, its chunk in it and its place in the chunk."""
     part, seq, place, last = TaskContext.get().partitionId(), -1, 0, object()
     for batch in batches:
         seqs, places = [], []
         for conv in batch.column(0).to_pylist():
-            if conv != last or place == SPAN:
+            if conv != last or place == span:
                 seq, place, last = seq + 1, 0, conv
             seqs.append(seq)
             places.append(place)
@@ -222,7 +223,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "role", "tie"]
     dealt = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "row").sortWithinPartitions(*order)
     dealt = dealt.select("conv_id", "turn", "role", "text")
-    turns = written(dealt.mapInArrow(numbered, "conv_id bigint, turn bigint, role string, text string, part bigint, seq bigint, place bigint"), "turns")
+    turns = written(dealt.mapInArrow(partial(numbered, span=SPAN), "conv_id bigint, turn bigint, role string, text string, part bigint, seq bigint, place bigint"), "turns")
     light = turns.select("part", "seq", "place", "conv_id", "role").repartition(parts, "part", "seq").sortWithinPartitions("part", "seq", "place")
     costs = light.select("part", "seq", "conv_id", "role").mapInArrow(matrices, "conv_id bigint, part bigint, seq bigint, costs array<double>, size bigint")
     ends = costs.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(chained, "part bigint, seq bigint, entry int, exit int, before bigint, final boolean")
