@@ -23,7 +23,7 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256, bytes and format (by magic bytes) of image files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     start = F.hex(F.substring("content", 1, 3))
-    kind = F.when(start.startswith("FFD8") & (F.length("content") > 3), "jpeg").when(F.hex(F.substring("content", 1, 4)) == "89504E47", "png").otherwise("unknown")
+    kind = F.when(start.startswith("FFD8") & (F.length("content") > 3), "jpeg").when((F.hex(F.substring("content", 1, 4)) == "89504E47") & (F.length("content") > 4), "png").otherwise("unknown")
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), kind.alias("format"))
 
 

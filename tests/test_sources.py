@@ -66,3 +66,11 @@ def test_result_cache(spark, tmp_path):
     assert sorted(r.present for r in store.has(wanted).collect()) == [False, True, True] and store.status()["entries"] == 2
     store.clear()
     assert store.status()["entries"] == 0 and not ResultCache(spark, str(tmp_path / "cache"), enabled=False).has(wanted).where("present").count()
+
+
+def test_tokens_and_export(spark, tmp_path):
+    (tmp_path / "ocr.json").write_text('[{"text":"a","bbox":[1,2,3,4],"confidence":0.5},{"text":"b","bbox":[1,2]}]')
+    assert [tuple(r) for r in files.scan_tokens(spark, str(tmp_path / "ocr.json")).collect()] == [("a", 1, 2, 3, 4, 0.5)]
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "page_id long, id string")
+    files.export_pages(rows, str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "out")).select("page_id", "id").collect())) == [(1, "x"), (2, "y")]
