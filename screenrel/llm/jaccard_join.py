@@ -450,11 +450,10 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, p
     wanted = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct()
     wanted = written(points.join(wanted, "point", "left_semi").select("point", "doc_id", "sig1", "sig2"), "wanted")
     texts = probable(docs, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("point", "sig1", "sig2", "text")
-    texts = written(texts.mapInArrow(partial(own_text, width=width), "point bigint, text string"), "texts")
-    release(docs.sparkSession)
+    # both sides read one exchange of the texts, which are written nowhere
+    texts = texts.mapInArrow(partial(own_text, width=width), "point bigint, text string").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point")
     both = pairs.join(texts.select(F.col("point").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("point").alias("b"), F.col("text").alias("right")), "b")
     links = written(both.select("a", "b", "left", "right").mapInArrow(partial(verify, width=width, percent=percent), PAIRS), "links")
-    forget(texts)
     release(docs.sparkSession)
     return links
 
