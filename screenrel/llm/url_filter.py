@@ -66,12 +66,12 @@ def templates(urls: DataFrame) -> DataFrame:
     for level in range(deepest):
         rows = rows.withColumn("_part", F.get("_parts", F.lit(level)))
         counts = rows.where("_part is not null").groupBy("host", "template", "_part").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a"))
-        nodes = counts.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
-        wild = nodes.where((F.col("kinds") > MANY) & (F.col("all") < F.col("kinds") * FEW)).select("host", "template", F.lit("*").alias("_wild"))
+        nodes = counts.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
+        wild = nodes.where((F.col("kinds") > MANY) & (F.col("total") < F.col("kinds") * FEW)).select("host", "template", F.lit("*").alias("_wild"))
         # a child against the other children of its node, over the counts (blocked, allowed, unjudged)
-        pairs = [("b", "all_b"), ("a", "all_a"), ("n - b - a", "all - all_b - all_a")]
-        chi = " + ".join(f"case when {t} = 0 then 0D else pow(({c}) - n * ({t}) / all, 2) / (n * ({t}) / all) * all / greatest(all - n, 1) end" for c, t in ((f"({c})", f"({t})") for c, t in pairs))
-        alike = counts.join(nodes.where(f"kinds > 1 and not (kinds > {MANY} and all < kinds * {FEW})"), ["host", "template"]).where(f"{chi} <= {CHI_SQUARE}").select("host", "template", "_part", F.lit("~").alias("_like"))
+        pairs = [("b", "all_b"), ("a", "all_a"), ("n - b - a", "total - all_b - all_a")]
+        chi = " + ".join(f"case when {t} = 0 then 0D else pow(({c}) - n * ({t}) / total, 2) / (n * ({t}) / total) * total / greatest(total - n, 1) end" for c, t in ((f"({c})", f"({t})") for c, t in pairs))
+        alike = counts.join(nodes.where(f"kinds > 1 and not (kinds > {MANY} and total < kinds * {FEW})"), ["host", "template"]).where(f"{chi} <= {CHI_SQUARE}").select("host", "template", "_part", F.lit("~").alias("_like"))
         rows = looked_up(rows, wild, ["host", "template"])
         rows = looked_up(rows, alike, ["host", "template", "_part"])
         rows = rows.withColumn("template", F.when(F.col("_part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_wild", "_like", "_part")))).drop("_wild", "_like", "_part")
