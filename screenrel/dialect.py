@@ -6,6 +6,18 @@ from __future__ import annotations
 class Spark:
     string, explode = "STRING", "explode"
 
+    def __init__(self, made: frozenset[str] = frozenset(), parts: int = 0):
+        """made: the relations that the query derives itself, which Spark takes to be as small as what they are exploded from; parts: partitions of these."""
+        self.made, self.parts = made, parts
+
+    def dealt(self, key: str) -> str:
+        """A hint that rows about to be exploded are dealt to all partitions by key: a list that is small itself would end in one."""
+        return f"/*+ REPARTITION({self.parts}, {key}) */ " if self.parts else ""
+
+    def small(self, name: str, large: str) -> str:
+        """A hint that the larger relation streams past a hash table of name in each partition: where it is derived here, Spark would broadcast it."""
+        return f"/*+ SHUFFLE_HASH({name}) */ " if large in self.made else ""
+
     def table(self, name: str) -> str:
         return name
 

@@ -39,7 +39,8 @@ def oracle(name: str) -> str:
 
 
 class _Tables(Spark):
-    def __init__(self, views: dict[str, str]):
+    def __init__(self, views: dict[str, str], made: frozenset[str], parts: int):
+        super().__init__(made, parts)
         self.views = views
 
     def table(self, name: str) -> str:
@@ -55,7 +56,13 @@ def over_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The operator over relations derived from the driver's tables."""
     if name in FOLDS:
         return FOLDS[name][1](relation(spark, sf_dir, FOLDS[name][0]))
-    return _select(spark, sf_dir, needed(name), OPERATORS[name].sql(Spark()))
+    relations = needed(name)
+    return _select(spark, sf_dir, relations, OPERATORS[name].sql(Spark(frozenset(relations))))
+
+
+def partitions(spark: SparkSession) -> int:
+    """For rows about to be exploded: more than a DISTINCT has, as Spark would leave out a second exchange by the same key and merge the partitions of the first."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _select(spark: SparkSession, sf_dir: str, relations: list[str], sql: str) -> DataFrame:
@@ -65,7 +72,7 @@ def _select(spark: SparkSession, sf_dir: str, relations: list[str], sql: str) ->
         if re.search(rf"\b{t}\b", text):
             views[t] = f"{t}_{uuid.uuid4().hex}"
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(views[t])
-    d = _Tables(views)
+    d = _Tables(views, frozenset(relations), partitions(spark))
     parts = [f"{r} AS ({RELATIONS[r](d)})" for r in relations]
     return spark.sql((f"WITH {', '.join(parts)} " if parts else "") + sql)
 
@@ -83,7 +90,12 @@ class Engine:
         """An operator over all pages, or over one: the page filter reaches the scans."""
         if name in FOLDS:
             return FOLDS[name][1](self.rows(FOLDS[name][0], page_id))
-        return self._select(OPERATORS[name].reads, page_id, OPERATORS[name].sql(Spark()))
+        reads = OPERATORS[name].reads
+        return self._select(reads, page_id, OPERATORS[name].sql(Spark(self.made(reads))))
+
+    def made(self, names: tuple[str, ...]) -> frozenset[str]:
+        """What is derived of the relations and those that they are made from."""
+        return frozenset(with_needs(names, frozenset(self.views))) - frozenset(self.views)
 
     def rows(self, relation: str, page_id: int | None = None) -> DataFrame:
         """A relation given, or one derived from those given."""
@@ -91,6 +103,6 @@ class Engine:
 
     def _select(self, names: tuple[str, ...], page_id: int | None, sql: str) -> DataFrame:
         relations = with_needs(names, frozenset(self.views))
-        d, where = Spark(), "" if page_id is None else f" WHERE page_id = {int(page_id)}"
+        d, where = Spark(self.made(names), partitions(self.spark)), "" if page_id is None else f" WHERE page_id = {int(page_id)}"
         parts = [f"{r} AS (SELECT * FROM {self.views[r]}{where})" if r in self.views else f"{r} AS ({RELATIONS[r](d)})" for r in relations]
         return self.spark.sql((f"WITH {', '.join(parts)} " if parts else "") + sql)

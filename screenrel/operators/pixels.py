@@ -14,9 +14,9 @@ BY = "PARTITION BY page_id, rect_id"
 CORNERED = "'card', 'region', 'panel', 'container'"
 
 
-def histogram(rects: str = "rects") -> str:
+def histogram(d, rects: str = "rects") -> str:
     """Opaque pixels of each colour by rectangle."""
-    return f"SELECT q.page_id, q.rect_id, p.r, p.g, p.b, count(*) AS n FROM {rects} q JOIN pixels p ON {INSIDE} AND p.a >= 128 GROUP BY q.page_id, q.rect_id, p.r, p.g, p.b"
+    return f"SELECT {d.small('q', 'pixels')}q.page_id, q.rect_id, p.r, p.g, p.b, count(*) AS n FROM {rects} q JOIN pixels p ON {INSIDE} AND p.a >= 128 GROUP BY q.page_id, q.rect_id, p.r, p.g, p.b"
 
 
 def centred(d, rows: str, weight: str = "n", name: str = "m") -> str:
@@ -43,17 +43,17 @@ def medians(d, rows: str) -> str:
 
 @operator("pixels", "rects")
 def sample_region(d):
-    return f"SELECT page_id, rect_id, r, g, b, {hex_of(d)} AS hex FROM ({medians(d, histogram(trimmed(d)))}) m"
+    return f"SELECT page_id, rect_id, r, g, b, {hex_of(d)} AS hex FROM ({medians(d, histogram(d, trimmed(d)))}) m"
 
 
 @operator("pixels", "rects")
 def component_colors(d):
     """The colour of each component's interior, as a measured fact."""
-    return f"SELECT page_id, rect_id, 'background' AS name, {hex_of(d)} AS hex, 'pixel_sampler' AS source, CAST(0.997 AS DOUBLE) AS confidence FROM ({medians(d, histogram(trimmed(d)))}) m"
+    return f"SELECT page_id, rect_id, 'background' AS name, {hex_of(d)} AS hex, 'pixel_sampler' AS source, CAST(0.997 AS DOUBLE) AS confidence FROM ({medians(d, histogram(d, trimmed(d)))}) m"
 
 
 def coverage(d) -> str:
-    return f"SELECT page_id, rect_id, max(mr) AS r, max(mg) AS g, max(mb) AS b, CAST(max(mt) AS BIGINT) AS n, CAST(sum(CASE WHEN {far()} <= 576 THEN n ELSE 0 END) AS DOUBLE) / CAST(max(mt) AS DOUBLE) AS coverage FROM ({centred(d, histogram())}) c GROUP BY page_id, rect_id"
+    return f"SELECT page_id, rect_id, max(mr) AS r, max(mg) AS g, max(mb) AS b, CAST(max(mt) AS BIGINT) AS n, CAST(sum(CASE WHEN {far()} <= 576 THEN n ELSE 0 END) AS DOUBLE) / CAST(max(mt) AS DOUBLE) AS coverage FROM ({centred(d, histogram(d))}) c GROUP BY page_id, rect_id"
 
 
 @operator("pixels", "rects")
@@ -70,7 +70,7 @@ def measure_region(d):
 def fill(d) -> str:
     """Medians of the pixels within 90 of the first medians, and the share of these within 24 of theirs."""
     body = f"CASE WHEN {far()} <= 8100 THEN n ELSE 0 END"
-    twice = centred(d, f"SELECT page_id, rect_id, r, g, b, n, mt, {body} AS f FROM ({centred(d, histogram())}) c", "f", "k")
+    twice = centred(d, f"SELECT page_id, rect_id, r, g, b, n, mt, {body} AS f FROM ({centred(d, histogram(d))}) c", "f", "k")
     return f"SELECT page_id, rect_id, max(kr) AS r, max(kg) AS g, max(kb) AS b, CAST(max(kt) AS BIGINT) AS fill_pixels, CAST(max(mt) AS BIGINT) AS opaque_pixels, CAST(sum(CASE WHEN {far('k')} <= 576 THEN f ELSE 0 END) AS DOUBLE) / CAST(max(kt) AS DOUBLE) AS coverage, 1 - CAST(max(kt) AS DOUBLE) / CAST(max(mt) AS DOUBLE) AS ink_fraction FROM ({twice}) t GROUP BY page_id, rect_id HAVING max(kt) > 0"
 
 

@@ -37,7 +37,7 @@ def pixels(d) -> str:
     bar = f"x >= 41 AND x < 62 AND (x - 41) % 7 < 4 AND y < 40 AND y >= 30 - (page_id * 7 + {d.div('x - 41', '7')} * 11) % 20"
     colour = lambda strip, on, body, stroke, page: f"CASE WHEN y < 8 THEN {strip} WHEN {panel} THEN CASE WHEN {ink} THEN {on} ELSE {body} END WHEN {bar} THEN {stroke} ELSE {page} END"
     r, g, b = colour("(x * 4 + page_id) % 256", "250", "page_id * 37 % 120", "7", "200 + page_id * 5 % 40"), colour("(x * 2 + y) % 256", "245", "60 + page_id * 11 % 60", "138", "200 + page_id * 3 % 40"), colour("(y * 30) % 256", "240", "30 + page_id * 7 % 90", "82", "200 + page_id % 40")
-    places = f"SELECT page_id, n % 64 AS x, {d.div('n', '64')} AS y, n FROM (SELECT page_id, {d.explode}({d.series('0', '3071')}) AS n FROM (SELECT DISTINCT page_id FROM components) p) e"
+    places = f"SELECT page_id, n % 64 AS x, {d.div('n', '64')} AS y, n FROM (SELECT page_id, {d.explode}({d.series('0', '3071')}) AS n FROM (SELECT {d.dealt('page_id')}DISTINCT page_id FROM components) p) e"
     return f"SELECT page_id, x, y, {r} AS r, {g} AS g, {b} AS b, CASE WHEN n % 97 = 0 THEN 0 ELSE 255 END AS a FROM ({places}) q"
 
 
@@ -46,7 +46,7 @@ def rects(d) -> str:
     sides = lambda *values: "CASE k " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
     kinds = sides("'panel'", "'chart'", "'region'", "'button'", "'icon'")
     x0, y0, x1, y1 = sides("4", "40", "0", "12 + page_id % 5", "page_id % 60"), sides("10", "8", "0", "16 + page_id % 4", "page_id % 44"), sides("36", "63", "64", "30", "page_id % 60 + 3"), sides("42", "42", "8", "28", "page_id % 44 + 2")
-    return f"SELECT page_id, page_id * 5 + k AS rect_id, {kinds} AS type, {x0} AS x0, {y0} AS y0, {x1} AS x1, {y1} AS y1 FROM (SELECT page_id, {d.explode}({d.series('0', '4')}) AS k FROM (SELECT DISTINCT page_id FROM components) p) e"
+    return f"SELECT page_id, page_id * 5 + k AS rect_id, {kinds} AS type, {x0} AS x0, {y0} AS y0, {x1} AS x1, {y1} AS y1 FROM (SELECT page_id, {d.explode}({d.series('0', '4')}) AS k FROM (SELECT {d.dealt('page_id')}DISTINCT page_id FROM components) p) e"
 
 
 def images(d) -> str:

@@ -34,6 +34,23 @@ def test_pages_join_by_key(spark, sf, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def streams(spark, sf, name):
+    """Pixels, which Spark takes to be as few as pages, are neither broadcast nor sorted, and are made in more partitions than a DISTINCT has."""
+    df = engine.over_tables(spark, sf, name)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ShuffledHashJoin [page_id") == 1 and ", 16), REPARTITION_BY_NUM" in plan
+
+
+def test_given_pixels_have_no_hint():
+    assert "SHUFFLE_HASH" not in engine.OPERATORS["measure_region"].sql(engine.Spark()) and "/*+" not in engine.oracle("measure_region")
+
+
+@pytest.mark.parametrize("name", ["component_colors", "fill_excluding_ink", "measure_fill", "measure_region", "region_coverage", "sample_region"])
+def test_derived_pixels_stream(spark, sf, name):
+    streams(spark, sf, name)
+
+
 def test_reconcile_keeps_first_id():
     rows = [{"id": "a", "type": "button", "text": None, "confidence": 0.8, "box": (0, 0, 100, 50)}, {"id": "b", "type": "button", "text": None, "confidence": 0.9, "box": (20, 10, 120, 60)}]
     kept = folds.reconcile_page(rows, 0.3)
