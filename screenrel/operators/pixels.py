@@ -88,7 +88,7 @@ def measure_fill(d):
 def dominant_colors(d):
     """The six most frequent colours of a grid of points, twelve or so each way, in each rectangle."""
     steps = f"(p.x - q.x0) % greatest(1, {d.div('q.x1 - q.x0', '12')}) = 0 AND (p.y - q.y0) % greatest(1, {d.div('q.y1 - q.y0', '12')}) = 0"
-    points = f"SELECT q.page_id, q.rect_id, {hex_of(d, 'p.r', 'p.g', 'p.b')} AS hex FROM rects q JOIN pixels p ON {INSIDE} AND p.a >= 128 AND {steps}"
+    points = f"SELECT {d.small('q', 'pixels')}q.page_id, q.rect_id, {hex_of(d, 'p.r', 'p.g', 'p.b')} AS hex FROM rects q JOIN pixels p ON {INSIDE} AND p.a >= 128 AND {steps}"
     return f"SELECT page_id, rect_id, hex, n, k FROM (SELECT page_id, rect_id, hex, count(*) AS n, row_number() OVER ({BY} ORDER BY count(*) DESC, hex) AS k FROM ({points}) c GROUP BY page_id, rect_id, hex) q WHERE k <= 6"
 
 
