@@ -130,7 +130,7 @@ def corner_style(d):
     spots |= {f"c{k}": (x, y) for k, (x, y) in enumerate((x, y) for y in (f"q.y0 + {inset}", f"q.y1 - {1 + inset}") for x in (f"q.x0 + {inset}", f"q.x1 - {1 + inset}"))}
     picks = ", ".join(f"max(CASE WHEN p.x = {x} AND p.y = {y} THEN p.{c} END) AS {name}{c}" for name, (x, y) in spots.items() for c in "rgb")
     sums = ", ".join(f"{d.div(f'sum(CASE WHEN {inner} THEN p.{c} ELSE 0 END)', f'greatest(1, count(CASE WHEN {inner} THEN 1 END))')} AS i{c}" for c in "rgb")
-    rows = f"SELECT q.page_id, q.rect_id, {sums}, {picks} FROM rects q JOIN pixels p ON p.page_id = q.page_id AND p.x >= q.x0 AND p.x < q.x1 AND p.y >= q.y0 - {probe} AND p.y <= q.y1 + {probe} WHERE q.type IN ({CORNERED}) AND q.x1 - q.x0 > {8 * inset} AND q.y1 - q.y0 > {8 * inset} GROUP BY q.page_id, q.rect_id"
+    rows = f"SELECT {d.small('q', 'pixels')}q.page_id, q.rect_id, {sums}, {picks} FROM rects q JOIN pixels p ON p.page_id = q.page_id AND p.x >= q.x0 AND p.x < q.x1 AND p.y >= q.y0 - {probe} AND p.y <= q.y1 + {probe} WHERE q.type IN ({CORNERED}) AND q.x1 - q.x0 > {8 * inset} AND q.y1 - q.y0 > {8 * inset} GROUP BY q.page_id, q.rect_id"
     outer = ", ".join(f"CASE WHEN upr IS NULL THEN down{c} ELSE up{c} END AS page{c}" for c in "rgb")
     away = lambda a, b: "(" + " + ".join(f"abs({a}{c} - {b}{c})" for c in "rgb") + ")"
     votes = " + ".join(f"CASE WHEN {away(f'c{k}', 'page')} < {away(f'c{k}', 'i')} THEN 1 ELSE 0 END" for k in range(4))
