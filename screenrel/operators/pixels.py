@@ -109,7 +109,7 @@ def mean_luminance(d):
 @operator("pixels", "rects")
 def bar_chart_gate(d):
     """Whether a region shows three bars or more: columns with ink (48 or more from the region's median colour) over a quarter of its height, of differing heights, on one baseline."""
-    rows = f"SELECT q.page_id, q.rect_id, q.x1 - q.x0 AS w, q.y1 - q.y0 AS h, p.x, p.y - q.y0 AS y, p.r, p.g, p.b, CASE WHEN p.a >= 128 THEN 1 ELSE 0 END AS n FROM rects q JOIN pixels p ON {INSIDE} WHERE q.x1 - q.x0 >= 12 AND q.y1 - q.y0 >= 24 AND q.x1 - q.x0 <= 6 * (q.y1 - q.y0)"
+    rows = f"SELECT {d.small('q', 'pixels')}q.page_id, q.rect_id, q.x1 - q.x0 AS w, q.y1 - q.y0 AS h, p.x, p.y - q.y0 AS y, p.r, p.g, p.b, CASE WHEN p.a >= 128 THEN 1 ELSE 0 END AS n FROM rects q JOIN pixels p ON {INSIDE} WHERE q.x1 - q.x0 >= 12 AND q.y1 - q.y0 >= 24 AND q.x1 - q.x0 <= 6 * (q.y1 - q.y0)"
     ink = "abs(r - mr) + abs(g - mg) + abs(b - mb) >= 48"
     columns = f"SELECT page_id, rect_id, x, max(h) AS h, count(CASE WHEN {ink} THEN 1 END) AS ink, max(CASE WHEN {ink} THEN y END) AS low FROM ({centred(d, rows)}) c GROUP BY page_id, rect_id, x"
     islands = f"SELECT page_id, rect_id, h, ink, low, x - row_number() OVER ({BY} ORDER BY x) AS island FROM ({columns}) c WHERE ink >= greatest(3, {d.div('h', '4')})"

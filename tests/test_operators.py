@@ -46,7 +46,7 @@ def test_given_pixels_have_no_hint():
     assert "SHUFFLE_HASH" not in engine.OPERATORS["measure_region"].sql(engine.Spark()) and "/*+" not in engine.oracle("measure_region")
 
 
-@pytest.mark.parametrize("name", ["component_colors", "fill_excluding_ink", "measure_fill", "measure_region", "region_coverage", "sample_region", "dominant_colors", "corner_style"])
+@pytest.mark.parametrize("name", ["component_colors", "fill_excluding_ink", "measure_fill", "measure_region", "region_coverage", "sample_region", "dominant_colors", "corner_style", "bar_chart_gate"])
 def test_derived_pixels_stream(spark, sf, name):
     streams(spark, sf, name)
 
