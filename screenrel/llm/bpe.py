@@ -182,13 +182,15 @@ def pieces(chunk: textvec.Chunk, special: dict[bytes, int]) -> tuple[np.ndarray,
     return np.concatenate([starts, [len(data)]]), np.searchsorted(starts, chunk.offsets)
 
 
+#: Bytes of text at a time.
+CHUNK = 1 << 18
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def encoded_chunks(column: pa.Array, path: str) -> Iterator[tuple[textvec.Chunk, PieceCache, np.ndarray, np.ndarray]]:
     """For each chunk: known pieces, the slot of each of its pieces, and the number of pieces before each text."""
     vocabulary, known = tools(path)
-    for chunk in textvec.chunks(column):
+    for chunk in textvec.chunks(column, CHUNK):
         at, before = pieces(chunk, vocabulary.special)
         raw = chunk.data.tobytes()
         hashes = chunk.hashes(at[:-1], at[1:], textvec.EXACT)
@@ -200,6 +202,7 @@ def encoded_chunks(column: pa.Array, path: str) -> Iterator[tuple[textvec.Chunk,
         yield chunk, known, known.slots_of(chunk.data, at[:-1], at[1:], hashes, encode), before
 
 
+@textvec.handing_back
 def digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocabulary, _ = tools(path)
     for batch in batches:
@@ -219,6 +222,7 @@ def digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+@textvec.handing_back
 def encode_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, ids)."""
     for batch in batches:
@@ -228,6 +232,7 @@ def encode_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.size).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], ["doc_id", "ids"])
 
 
+@textvec.handing_back
 def decode_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, ids) to (doc_id, text)."""
     vocabulary, _ = tools(path)

@@ -27,6 +27,8 @@ from screenrel.llm import textvec
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 MAX_LABELS = 256
+#: Bytes of text at a time: each takes about 150 bytes for its n-grams.
+CHUNK = 1 << 17
 _U = np.uint64
 
 
@@ -76,12 +78,13 @@ def grams(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(owners), count
 
 
+@textvec.handing_back
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (lang, text): one row a label and bucket of the whole task."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         names = batch.column(0).to_pylist()
-        for chunk in textvec.chunks(batch.column(1)):
+        for chunk in textvec.chunks(batch.column(1), CHUNK):
             value, owner, _ = grams(chunk)
             own = names[chunk.first : chunk.first + chunk.size]
             labels = sorted({*own})
@@ -109,12 +112,13 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return labels, prior, np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
 
 
+@textvec.handing_back
 def predict(batches: Iterator[pa.RecordBatch], model, place: int, schema: list[str]) -> Iterator[pa.RecordBatch]:
     """Each batch with two columns more; the text is the column at place."""
     labels, prior, matrix = model.value
     for batch in batches:
         picks, scores = [], []
-        for chunk in textvec.chunks(batch.column(place), 1 << 19):
+        for chunk in textvec.chunks(batch.column(place), CHUNK):
             value, owner, count = grams(chunk)
             size = np.bincount(owner, minlength=chunk.size)
             total = np.stack([np.bincount(owner, matrix[value, k], chunk.size) for k in range(len(labels))], 1) + prior if labels else np.zeros((chunk.size, 0))

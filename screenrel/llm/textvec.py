@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,26 @@ _U = np.uint64
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
+@cache
+def trim() -> Callable[[int], int]:
+    """The C library's malloc_trim, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def handing_back(task: Callable) -> Callable:
+    """A function over a task's batches that gives free memory back at the end: workers are kept, and later tasks of other queries need it."""
+
+    @wraps(task)
+    def run(*args, **kwargs):
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim()(0)
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> _U(33))

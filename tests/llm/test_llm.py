@@ -600,3 +600,18 @@ def test_registered_queries(spark, sf, name):
     assert found.columns[: len(want)] == want
     source = {"op6_chat_format": "conversations", "op9_url_filter": "pages"}.get(name, "documents")
     assert found.count() == spark.read.parquet(f"{sf}/{source}.parquet").count()
+
+
+def test_language_id_holds_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["some words of a text that is like all others " * 40] * 1200
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    language_id.letters()
+    tracemalloc.start()
+    list(language_id.count_grams(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48e6
