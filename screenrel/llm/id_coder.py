@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 
-LANES = 2048
+LANES = 8192
 STEPS = 512
 PAIR_BITS = 18
 CHANCE_BITS, FREQ_BITS = 15, 16

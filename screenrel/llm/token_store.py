@@ -33,9 +33,10 @@ from screenrel.llm import id_coder, textvec
 from screenrel.llm.piece_cache import PieceCache
 from screenrel.llm.shared import written
 
-MAGIC, VERSION = b"TIDS", 3
-BLOCK = 1 << 20
-FRAME = 1 << 22
+MAGIC, VERSION = b"TIDS", 4
+BLOCK = 1 << 22
+#: Ids from which a frame ends: with the chunk that comes to it, it still is one block as a rule.
+FRAME = BLOCK - (1 << 19)
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
